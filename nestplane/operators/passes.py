@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dense, heap
+from ..functions import dense
 from ..sources.shared import Workspace
 
 KEYS = ["dataset_id", "node_id"]
@@ -68,37 +68,50 @@ class Limits:
     gram_dim: int = 512  # widest D for which D x D scatter matrices are summed
 
 
-@dataclass(frozen=True)
 class NodeTable:
-    """A table with one row per node; ``held`` is its driver-side copy when small enough to broadcast."""
+    """A table with one row per node, computed once.
+
+    Small ones are ``held`` by the driver, ready to broadcast; the others are written tables.  Row-wise
+    changes are given as functions of an Arrow batch, so they read the same either way.
+    """
 
-    df: DataFrame
-    held: pa.Table | None = None
+    def __init__(self, spark: SparkSession, fields: Fields, held: pa.Table | None = None, written: DataFrame | None = None):
+        self.spark, self.fields, self.held, self._df = spark, fields, held, written
+
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            self._df = self.spark.createDataFrame(self.held, schema=ddl(self.fields))
+        return self._df
 
     def count(self) -> int:
         return self.held.num_rows if self.held is not None else self.df.count()
 
-    def where(self, condition) -> NodeTable:
-        return self.map(lambda df: df.where(condition))
+    def map(self, change, fields: Fields) -> NodeTable:
+        """Rows ``change(record)`` yields for each row, a dict."""
+
+        def changed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch_of([out for row in batch.to_pylist() for out in change(row)], fields)
 
-    def map(self, change) -> NodeTable:
-        """Apply a DataFrame change that does not enlarge rows."""
-        df = change(self.df)
-        if self.held is None:
-            return NodeTable(df)
-        return hold(df)
+        if self.held is not None:
+            done = [changed(b) for b in self.held.to_batches()]
+            return NodeTable(self.spark, fields, pa.Table.from_batches(done, schema=arrow_schema(fields)))
+        return NodeTable(self.spark, fields, written=self.df.mapInArrow(lambda it: map(changed, it), ddl(fields)))
 
+    def where(self, keep) -> NodeTable:
+        return self.map(lambda row: [tuple(row.values())] if keep(row) else [], self.fields)
 
-def hold(df: DataFrame) -> NodeTable:
-    table = df.toArrow()
-    return NodeTable(df.sparkSession.createDataFrame(table, schema=df.schema), table)
 
+def hold(df: DataFrame, fields: Fields) -> NodeTable:
+    table = df.select(*[n for n, _ in fields]).toArrow()
+    return NodeTable(df.sparkSession, fields, table.cast(arrow_schema(fields)))
 
-def pin(df: DataFrame, nbytes: int, limits: Limits, work: Workspace, name: str) -> NodeTable:
+
+def pin(df: DataFrame, fields: Fields, nbytes: int, limits: Limits, work: Workspace, name: str) -> NodeTable:
     """Compute a node table once: held if ``nbytes`` allows, else written to the shared folder."""
     if nbytes <= limits.broadcast_bytes:
-        return hold(df)
-    return NodeTable(work.write(df, name))
+        return hold(df, fields)
+    return NodeTable(df.sparkSession, fields, written=work.write(df.select(*[n for n, _ in fields]), name))
 
 
 def arrays_by_node(table: pa.Table, columns: Iterable[str]) -> dict[str, dict[int, tuple]]:
@@ -306,7 +319,6 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
 SUM_FIELDS: Fields = (
     ("dataset_id", "string"),
     ("node_id", "bigint"),
-    ("part", "int"),
     ("block", "int"),
     ("n", "bigint"),
     ("mark", "bigint"),
@@ -314,9 +326,9 @@ SUM_FIELDS: Fields = (
 )
 
 
-def blocks(part: int, n: int, mark: int, v: np.ndarray) -> Iterator[tuple]:
-    for b, start in enumerate(range(0, max(len(v), 1), BLOCK)):
-        yield part, b, n if b == 0 else 0, mark if b == 0 else 0, v[start : start + BLOCK]
+def blocks(n: int, mark: int, v: np.ndarray) -> Iterator[tuple]:
+    for b, start in enumerate(range(0, len(v), BLOCK)):
+        yield b, n if b == 0 else 0, mark if b == 0 else 0, v[start : start + BLOCK]
 
 
 class SumFold:
@@ -333,55 +345,57 @@ class SumFold:
         return acc[1].nbytes + 64
 
     def emit(self, acc):
-        yield from blocks(0, acc[0], 0, acc[1])
+        yield from blocks(acc[0], 0, acc[1])
 
 
 class SideFold:
-    """Row count, id fingerprint and vector sum of both sides of each node's pair of centers."""
+    """Both sides of each node's pair of centers: vector sums, sizes, and a fingerprint of the left ids.
+
+    The sum is one vector: left, right, then the two sizes (whole numbers, exact as doubles).
+    """
 
     params = ("left", "right")
     fields = SUM_FIELDS
 
     def add(self, acc, x, ids, params):
-        acc = acc or [[0, 0, np.zeros(x.shape[1])], [0, 0, np.zeros(x.shape[1])]]
-        side = dense.sides(x, *params)
-        for s, slot in enumerate(acc):
-            rows = side == s
-            if rows.any():
-                slot[0] += int(rows.sum())
-                slot[1] ^= dense.mark(ids[rows])
-                slot[2] = slot[2] + x[rows].sum(axis=0)
-        return acc
+        n, mark, v = (0, 0, 0.0) if acc is None else acc
+        side = dense.sides(x, *params).astype(bool)
+        right = x[side].sum(axis=0)
+        sizes = [len(x) - side.sum(), side.sum()]
+        total = np.concatenate([x[~side].sum(axis=0), right, sizes])
+        return n + len(x), mark ^ dense.mark(ids[~side]), v + total
 
     def size(self, acc):
-        return 2 * acc[0][2].nbytes + 128
+        return acc[2].nbytes + 64
 
     def emit(self, acc):
-        for s, (n, mark, v) in enumerate(acc):
-            if n:
-                yield from blocks(s, n, mark, v)
+        yield from blocks(*acc)
+
+
+FAR_FIELDS: Fields = (
+    ("dataset_id", "string"),
+    ("node_id", "bigint"),
+    ("d2", "double"),
+    ("point_id", "bigint"),
+    ("center", "array<double>"),
+    ("x", "array<double>"),
+)
 
 
 class FarFold:
     """The point of each node farthest from ``center``, smallest id among equals."""
 
     params = ("center",)
-    fields: Fields = (
-        ("dataset_id", "string"),
-        ("node_id", "bigint"),
-        ("d2", "double"),
-        ("point_id", "bigint"),
-        ("x", "array<double>"),
-    )
+    fields = FAR_FIELDS
 
     def add(self, acc, x, ids, params):
         at = dense.farthest(x, ids, params[0])
         d2 = float(dense.comparable(dense.squared_distances(x[at : at + 1], params[0]))[0])
-        found = (d2, int(ids[at]), x[at].copy())
+        found = (d2, int(ids[at]), params[0], x[at].copy())
         return found if acc is None or (found[0], -found[1]) > (acc[0], -acc[1]) else acc
 
     def size(self, acc):
-        return acc[2].nbytes + 64
+        return 2 * acc[3].nbytes + 64
 
     def emit(self, acc):
         yield acc
@@ -402,7 +416,7 @@ class ScatterFold:
         return acc[1].nbytes
 
     def emit(self, acc):
-        yield from blocks(0, acc[0], 0, dense.pack(acc[1]))
+        yield from blocks(acc[0], 0, dense.pack(acc[1]))
 
 
 class ProbeFold:
@@ -422,54 +436,59 @@ class ProbeFold:
         return acc[1].nbytes
 
     def emit(self, acc):
-        yield from blocks(0, acc[0], 0, acc[1].ravel())
+        yield from blocks(acc[0], 0, acc[1].ravel())
+
+
+TOTAL_FIELDS: Fields = (
+    ("dataset_id", "string"),
+    ("node_id", "bigint"),
+    ("n", "bigint"),
+    ("mark", "bigint"),
+    ("total", "array<double>"),
+)
 
 
 def sum_partials(partials: DataFrame) -> DataFrame:
-    """Add partial blocks by key; a block row is at most ``BLOCK`` doubles, so no reducer row is wide."""
-    return partials.groupBy(*KEYS, "part", "block").agg(
+    """Add partial blocks by key; a row is at most ``BLOCK`` doubles, so wide sums spread over reducers."""
+    return partials.groupBy(*KEYS, "block").agg(
         F.sum("n").alias("n"),
         F.bit_xor("mark").alias("mark"),
         vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"),
     )
 
 
-def joined_blocks(part: int) -> F.Column:
-    """The blocks of one part, back in order, as one array (inside a group by node)."""
-    listed = F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("block", "v"))))
-    return F.flatten(F.transform(listed, lambda b: b["v"]))
-
-
-def node_sums(partials: DataFrame) -> DataFrame:
-    """``(dataset_id, node_id, n, total)`` of single-part partials."""
+def node_totals(partials: DataFrame) -> DataFrame:
+    """Added partials with the blocks of a node put together, one row per node."""
+    ordered = F.sort_array(F.collect_list(F.struct("block", "v")))
     return (
         sum_partials(partials)
         .groupBy(*KEYS)
-        .agg(F.sum("n").alias("n"), joined_blocks(0).alias("total"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.bit_xor("mark").alias("mark"),
+            F.flatten(F.transform(ordered, lambda b: b["v"])).alias("total"),
+        )
     )
 
 
+def pin_totals(partials: DataFrame, nbytes: int, front: Front, name: str) -> NodeTable:
+    """``node_totals`` as a node table.  When it is held anyway, the blocks are put together on arrival."""
+    spark = partials.sparkSession
+    if nbytes > front.limits.broadcast_bytes:
+        return NodeTable(spark, TOTAL_FIELDS, written=front.work.write(node_totals(partials), name))
+    found: dict[tuple, list] = {}
+    for row in sum_partials(partials).toArrow().to_pylist():
+        found.setdefault((row["dataset_id"], row["node_id"]), []).append((row["block"], row["n"], row["mark"], row["v"]))
+    rows = []
+    for key, parts in found.items():
+        parts.sort(key=lambda p: p[0])
+        rows.append((*key, parts[0][1], parts[0][2], np.concatenate([p[3] for p in parts])))
+    return NodeTable(spark, TOTAL_FIELDS, pa.Table.from_batches([batch_of(rows, TOTAL_FIELDS)]))
+
+
 def farthest_of(partials: DataFrame) -> DataFrame:
     """Best candidate of each node over all tasks."""
-    best = F.max(F.struct("d2", (-F.col("point_id")).alias("neg_id"), "x")).alias("best")
+    best = F.max(F.struct("d2", (-F.col("point_id")).alias("neg_id"), "center", "x")).alias("b")
     return partials.groupBy(*KEYS).agg(best).select(
-        *KEYS, F.col("best.d2").alias("d2"), (-F.col("best.neg_id")).alias("point_id"), F.col("best.x").alias("center")
-    )
-
-
-def children_of(pairs_summed: DataFrame) -> DataFrame:
-    """Two rows per split node: the child's id, side, size and mean."""
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("side"), F.col("n_left").alias("n"), F.col("left").alias("center")),
-            F.struct(F.lit(1).alias("side"), F.col("n_right").alias("n"), F.col("right").alias("center")),
-        )
-    ).alias("c")
-    return pairs_summed.select("dataset_id", F.col("node_id").alias("parent_id"), sides).select(
-        "dataset_id",
-        heap.child(F.col("parent_id"), F.col("c.side")).alias("node_id"),
-        "parent_id",
-        F.col("c.side").alias("side"),
-        F.col("c.n").alias("n"),
-        F.col("c.center").alias("center"),
+        *KEYS, "b.d2", (-F.col("b.neg_id")).alias("point_id"), "b.center", "b.x"
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import heap
 from ..functions import vectors as V
-from .passes import KEYS, Front, Limits, SumFold, node_pass, node_sums
+from .passes import KEYS, Front, Limits, SumFold, node_pass, node_totals
 from ..sources.shared import Workspace
 
 PRUNE_COSINE = 0.99999  # siblings whose planes agree this closely are dropped
@@ -17,7 +17,7 @@ def vector_sums(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Row count and vector sum per node; ``node_id`` is taken from the points if they carry one."""
     placed = "node_id" in points.columns
     front = Front(points, limits, Workspace(points.sparkSession, "sums"), placed=placed)
-    return node_sums(node_pass(front, SumFold()))
+    return node_totals(node_pass(front, SumFold())).select(*KEYS, "n", "total")
 
 
 def node_centers(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -67,6 +67,11 @@ def sibling_cosine(nodes: DataFrame) -> DataFrame:
     return basis_traces(nodes).select(*KEYS, F.when(size > 0, F.col("trace_ab") / size).alias("split_cosine"))
 
 
-def kept_splits(cosines: DataFrame, prune: float = PRUNE_COSINE) -> DataFrame:
-    """Splits whose planes differ, or cannot be compared."""
-    return cosines.where(F.coalesce(F.col("split_cosine") < prune, F.lit(True)))
+def keep_split(cosine: Column, prune: float = PRUNE_COSINE) -> Column:
+    """Whether a split stays: its planes differ, or cannot be compared."""
+    return F.coalesce(cosine < F.lit(prune), F.lit(True))
+
+
+def prune_splits(cosines: DataFrame, prune: float = PRUNE_COSINE) -> DataFrame:
+    """Splits that stay."""
+    return cosines.where(keep_split(F.col("split_cosine"), prune))

@@ -7,25 +7,25 @@ assignment decides the sides.  Every step is one pass over the points, whatever
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import heap
-from ..functions import vectors as V
 from .passes import (
+    FAR_FIELDS,
     KEYS,
     FarFold,
+    Fields,
     Front,
     Limits,
     NodeTable,
     SideFold,
     SumFold,
     farthest_of,
-    joined_blocks,
     node_pass,
-    node_sums,
     pin,
-    sum_partials,
+    pin_totals,
 )
 from ..sources.shared import Workspace
 
@@ -37,41 +37,58 @@ def level_bytes(rows: int, dims: int, vectors: int = 1) -> int:
     return rows * (dims * 8 * vectors + 96)
 
 
-def root_centers(front: Front) -> DataFrame:
+CENTER_FIELDS: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("n", "bigint"), ("center", "array<double>"))
+PAIR_FIELDS: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("left", "array<double>"), ("right", "array<double>"))
+SIDE_FIELDS: Fields = PAIR_FIELDS + (("n_left", "bigint"), ("n_right", "bigint"), ("mark", "bigint"))
+
+
+def root_centers(front: Front, datasets: int, dims: int) -> NodeTable:
     """``(dataset_id, node_id=0, n, center)`` of every dataset."""
-    sums = node_sums(node_pass(front, SumFold()))
-    return sums.select(*KEYS, "n", V.scale(F.col("total"), F.lit(1.0) / F.col("n")).alias("center"))
+    totals = pin_totals(node_pass(front, SumFold()), level_bytes(datasets, dims), front, "roots")
+    return totals.map(center_rows, CENTER_FIELDS)
+
+
+def center_rows(row: dict):
+    yield row["dataset_id"], row["node_id"], row["n"], np.asarray(row["total"]) / row["n"]
 
 
 def seeds(front: Front, centers: NodeTable, nbytes: int, tag: str) -> NodeTable:
     """Starting pair of every node that has two different points."""
-    first = pin(farthest_of(node_pass(front, FarFold(), centers)), nbytes, front.limits, front.work, f"{tag}-far0")
-    second = farthest_of(node_pass(front, FarFold(), first))
-    both = (
-        first.df.select(*KEYS, F.col("center").alias("left"))
-        .join(second.where("d2 > 0").select(*KEYS, F.col("center").alias("right")), KEYS)
+
+    def far(params: NodeTable, name: str) -> NodeTable:
+        best = farthest_of(node_pass(front, FarFold(), params))
+        return pin(best, FAR_FIELDS, 2 * nbytes, front.limits, front.work, f"{tag}-{name}")
+
+    first = far(centers, "far0").map(
+        lambda r: [(r["dataset_id"], r["node_id"], 0, r["x"])], CENTER_FIELDS
+    )
+    return far(first, "far1").map(
+        lambda r: [(r["dataset_id"], r["node_id"], r["center"], r["x"])] if r["d2"] > 0 else [], PAIR_FIELDS
     )
-    return pin(both, 2 * nbytes, front.limits, front.work, f"{tag}-seeds")
 
 
 def recenter(front: Front, pairs: NodeTable, nbytes: int, name: str) -> NodeTable:
     """Assign to the nearer of each pair; sizes, fingerprint and means of both sides."""
-    summed = sum_partials(node_pass(front, SideFold(), pairs)).groupBy(*KEYS).agg(
-        F.sum(F.when(F.col("part") == 0, F.col("n")).otherwise(0)).alias("n_left"),
-        F.sum(F.when(F.col("part") == 1, F.col("n")).otherwise(0)).alias("n_right"),
-        F.bit_xor(F.when(F.col("part") == 0, F.col("mark")).otherwise(0)).alias("mark"),
-        joined_blocks(0).alias("sum_left"),
-        joined_blocks(1).alias("sum_right"),
-    )
-    means = summed.where("n_left > 0 and n_right > 0").select(
-        *KEYS,
-        "n_left",
-        "n_right",
-        "mark",
-        V.scale(F.col("sum_left"), F.lit(1.0) / F.col("n_left")).alias("left"),
-        V.scale(F.col("sum_right"), F.lit(1.0) / F.col("n_right")).alias("right"),
-    )
-    return pin(means, 2 * nbytes, front.limits, front.work, name)
+    totals = pin_totals(node_pass(front, SideFold(), pairs), 2 * nbytes, front, name)
+    return totals.map(side_rows, SIDE_FIELDS)
+
+
+def side_rows(row: dict):
+    v = np.asarray(row["total"])
+    left, right = np.split(v[:-2], 2)
+    n_left, n_right = int(v[-2]), int(v[-1])
+    if n_left and n_right:
+        yield row["dataset_id"], row["node_id"], left / n_left, right / n_right, n_left, n_right, row["mark"]
+
+
+def children_of(sides: NodeTable) -> NodeTable:
+    """Two rows per split node: the child's id, size and mean."""
+
+    def rows(r: dict):
+        yield r["dataset_id"], 2 * r["node_id"] + 1, r["n_left"], r["left"]
+        yield r["dataset_id"], 2 * r["node_id"] + 2, r["n_right"], r["right"]
+
+    return sides.map(rows, CENTER_FIELDS)
 
 
 def same_assignment(a: NodeTable, b: NodeTable) -> bool:
@@ -95,17 +112,16 @@ def two_means(front: Front, centers: NodeTable, rows: int, dims: int, steps: int
         after = recenter(front, pairs, nbytes, f"{tag}-step{step}")
         if step == steps or (before is not None and same_assignment(before, after)):
             return pairs, after
-        before, pairs = after, after
+        before = pairs = after
     raise AssertionError("unreachable")
 
 
 def split_roots(points: DataFrame, steps: int = STEPS, limits: Limits = Limits()):
-    """2-means of each dataset as one node: ``(pairs, sides)`` as DataFrames."""
+    """2-means of each dataset as one node: the points' front, the separating pairs, the resulting sides."""
     front = Front(points, limits, Workspace(points.sparkSession, "split"))
     shape = size_of(points)
-    centers = pin(root_centers(front), level_bytes(shape["datasets"], shape["dims"]), limits, front.work, "roots")
-    pairs, sides = two_means(front, centers, shape["datasets"], shape["dims"], steps)
-    return front, pairs, sides
+    centers = root_centers(front, shape["datasets"], shape["dims"])
+    return front, *two_means(front, centers, shape["datasets"], shape["dims"], steps)
 
 
 def size_of(points: DataFrame) -> dict[str, int]:
@@ -145,7 +161,7 @@ def assign_nearest(points: DataFrame, pairs: DataFrame, pair_rows: int, dims: in
     """Nearest of two given centers per dataset (``dataset_id, node_id=0, left, right``); left wins a tie."""
     work = Workspace(points.sparkSession, "assign")
     front = Front(points, limits, work)
-    table = pin(pairs, level_bytes(pair_rows, dims, 2), limits, work, "pairs")
+    table = pin(pairs, PAIR_FIELDS, level_bytes(pair_rows, dims, 2), limits, work, "pairs")
     moved = front.extend(table, "moved").located()
     return moved.select("dataset_id", "point_id", heap.side(F.col("node_id")).alias("side"))
 

@@ -22,8 +22,8 @@ from .passes import (
     ScatterFold,
     batch_of,
     ddl,
-    joined_blocks,
     node_pass,
+    node_totals,
     pin,
     sum_partials,
 )
@@ -73,7 +73,6 @@ def probe_planes(
     """Top ``d`` right singular vectors by repeated multiplication of a thin orthonormal probe."""
     width = d + oversample
     probe_fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("center", "array<double>"), ("probe", "array<double>"))
-    names = [n for n, _ in probe_fields]
 
     def started(batches):
         for batch in batches:
@@ -103,14 +102,14 @@ def probe_planes(
             yield batch_of(out, PLANE_FIELDS)
 
     def multiplied(probe: NodeTable) -> DataFrame:
-        return sum_partials(node_pass(front, ProbeFold(), probe)).groupBy(*KEYS).agg(joined_blocks(0).alias("total"))
+        return node_totals(node_pass(front, ProbeFold(), probe)).select(*KEYS, "total")
 
     size = level_bytes(rows, dims, width + 1)
-    probe = pin(centers.df.select(*KEYS, "center").mapInArrow(started, ddl(probe_fields)), size, front.limits, front.work, f"{tag}-probe0")
+    probe = pin(centers.df.select(*KEYS, "center").mapInArrow(started, ddl(probe_fields)), probe_fields, size, front.limits, front.work, f"{tag}-probe0")
     for k in range(1, passes):
         product = multiplied(probe).join(probe.df.select(*KEYS, "center"), KEYS)
-        turned = product.select(*KEYS, "center", "total").mapInArrow(orthonormal, ddl(probe_fields)).select(*names)
-        probe = pin(turned, size, front.limits, front.work, f"{tag}-probe{k}")
+        turned = product.select(*KEYS, "center", "total").mapInArrow(orthonormal, ddl(probe_fields))
+        probe = pin(turned, probe_fields, size, front.limits, front.work, f"{tag}-probe{k}")
     last = multiplied(probe).join(probe.df.select(*KEYS, F.size("center").alias("dims"), "probe"), KEYS)
     return last.select(*KEYS, "dims", "probe", "total").mapInArrow(solved, ddl(PLANE_FIELDS))
 

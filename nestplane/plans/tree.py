@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dense, heap
-from ..operators.passes import KEYS, Fields, Front, Limits, NodeTable, batch_of, children_of, ddl, matrix, pin
-from ..operators.planes import PRUNE_COSINE, kept_splits, sibling_cosine
-from ..operators.split import STEPS, level_bytes, root_centers, size_of, two_means
+from ..operators.passes import KEYS, Fields, Front, Limits, NodeTable, batch_of, ddl, matrix, pin
+from ..operators.planes import PRUNE_COSINE, keep_split, sibling_cosine
+from ..operators.split import CENTER_FIELDS, STEPS, children_of, level_bytes, root_centers, size_of, two_means
 from ..operators.svd import planes
 from ..sources.shared import Workspace
 
@@ -38,6 +38,15 @@ NODE_FIELDS: Fields = (
     ("split_right", "array<double>"),
 )
 NODE_COLUMNS = [n for n, _ in NODE_FIELDS]
+ROW_FIELDS = NODE_FIELDS[:9]  # known as soon as a node's plane is fitted
+SPLIT_FIELDS: Fields = (
+    ("dataset_id", "string"),
+    ("node_id", "bigint"),
+    ("split_left", "array<double>"),
+    ("split_right", "array<double>"),
+    ("split_cosine", "double"),
+    ("kept", "boolean"),
+)
 
 
 @dataclass(frozen=True)
@@ -71,14 +80,16 @@ def fit(
     if local_size(shape["rows"], dims, limits):
         return work.write(finish_locally(front.located(), what), "nodes")
 
-    small = is_small(F.col("n"), F.lit(dims), limits)
-    roots = pin(root_centers(front), level_bytes(shape["datasets"], dims), limits, work, "roots")
+    small = lambda row: local_size(row["n"], dims, limits)
+    large = lambda row: not small(row)
+    roots = root_centers(front, shape["datasets"], dims)
     waiting = [roots.where(small)]
-    live = roots.where(~small)
+    live = roots.where(large)
     rows = live.count()
-    levels = [work.write(node_rows(live.df, planes(front, live, d, rows, dims, "level0-planes")), "level0")]
+    top = node_rows(live.df, planes(front, live, d, rows, dims, "level0-planes"))
+    levels = [pin(top, ROW_FIELDS, level_bytes(rows, dims, d + 1), limits, work, "level0").df]
     splits: list[DataFrame] = []
-    live = live.where("n > 1")
+    live = live.where(lambda row: row["n"] > 1)
     rows = live.count()
     depth = 0
     while depth < max_depth and rows:
@@ -88,10 +99,9 @@ def fit(
         levels.append(step.nodes)
         splits.append(step.splits)
         if depth < max_depth:
-            open_nodes = step.nodes.where("n > 1").select(*KEYS, "n", "center")
-            opened = pin(open_nodes, level_bytes(2 * rows, dims), limits, work, f"level{depth}-open")
+            opened = pin(step.nodes.where("n > 1"), CENTER_FIELDS, level_bytes(2 * rows, dims), limits, work, f"level{depth}-open")
             waiting.append(opened.where(small))
-            live = opened.where(~small)
+            live = opened.where(large)
             rows = live.count()
     return work.write(assemble(levels, splits, front, waiting, what), "nodes")
 
@@ -100,10 +110,6 @@ def local_size(rows: int, dims: int, limits: Limits) -> bool:
     return rows <= limits.local_rows and rows * dims * 8 <= limits.local_bytes
 
 
-def is_small(n, dims, limits: Limits):
-    return (n <= limits.local_rows) & (n * dims * 8 <= limits.local_bytes)
-
-
 def node_rows(stats: DataFrame, planes_df: DataFrame) -> DataFrame:
     """Node columns known once a node has its size, center and plane."""
     node = F.col("node_id")
@@ -131,18 +137,17 @@ def expand_level(front: Front, live: NodeTable, rows: int, dims: int, what: Sett
     work, tag = front.work, f"level{depth}"
     pairs, sides = two_means(front, live, rows, dims, what.steps, tag)
     moved = front.extend(pairs, f"{tag}-moved")
-    children = sides.map(children_of)
-    fitted = work.write(
-        node_rows(children.df, planes(moved, children, what.d, 2 * rows, dims, f"{tag}-planes")), f"{tag}-fitted"
-    )
-    tried = sibling_cosine(fitted)
-    kept = kept_splits(tried, what.prune).select(*KEYS, F.lit(True).alias("kept"))
-    splits = work.write(
-        pairs.df.select(*KEYS, F.col("left").alias("split_left"), F.col("right").alias("split_right"))
-        .join(tried, KEYS)
-        .join(kept, KEYS, "left"),
-        f"{tag}-splits",
+    children = children_of(sides)
+    rows_of = node_rows(children.df, planes(moved, children, what.d, 2 * rows, dims, f"{tag}-planes"))
+    fitted = pin(rows_of, ROW_FIELDS, level_bytes(2 * rows, dims, what.d + 1), front.limits, work, f"{tag}-fitted").df
+    tried = sibling_cosine(fitted).join(pairs.df, KEYS).select(
+        *KEYS,
+        F.col("left").alias("split_left"),
+        F.col("right").alias("split_right"),
+        "split_cosine",
+        keep_split(F.col("split_cosine"), what.prune).alias("kept"),
     )
+    splits = pin(tried, SPLIT_FIELDS, level_bytes(rows, dims, 2), front.limits, work, f"{tag}-splits").df
     parents = splits.where("kept").select("dataset_id", F.col("node_id").alias("parent_id"))
     return Level(moved, fitted.join(parents, ["dataset_id", "parent_id"], "left_semi"), splits)
 
@@ -152,7 +157,7 @@ def expand_roots(points: DataFrame, d: int, prune: float = PRUNE_COSINE, steps:
     work = Workspace(points.sparkSession, "expand")
     shape = size_of(points)
     front = Front(points, limits, work)
-    roots = pin(root_centers(front), level_bytes(shape["datasets"], shape["dims"]), limits, work, "roots").where("n > 1")
+    roots = root_centers(front, shape["datasets"], shape["dims"]).where(lambda row: row["n"] > 1)
     return expand_level(front, roots, roots.count(), shape["dims"], Settings(d, 1, prune, steps), 1).nodes
 
 
