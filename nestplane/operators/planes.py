@@ -25,6 +25,13 @@ def node_centers(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return sums.select(*KEYS, "n", V.scale(F.col("total"), F.lit(1.0) / F.col("n")).alias("center"))
 
 
+def center_points(located: DataFrame, centers: DataFrame) -> DataFrame:
+    """Points of each node minus the node's center."""
+    return located.join(centers.select(*KEYS, "center"), KEYS).select(
+        *KEYS, "point_id", V.subtract(F.col("x"), F.col("center")).alias("x")
+    )
+
+
 def node_counts(located: DataFrame) -> DataFrame:
     return located.groupBy(*KEYS).agg(F.count("*").alias("n"))
 

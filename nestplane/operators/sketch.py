@@ -22,7 +22,6 @@ SKETCH_FIELDS: Fields = (
     ("rows", "array<double>"),
 )
 SALTS = 64
-MERGE_PARTITIONS = 256
 
 
 def update(sketch: np.ndarray | None, rows: np.ndarray, k: int) -> np.ndarray:
@@ -83,7 +82,7 @@ def merge_sketches(sketches: DataFrame, k: int, limits: Limits = Limits(), salts
 
     columns = [n for n, _ in SKETCH_FIELDS]
     salted = sketches.withColumn("salt", F.spark_partition_id() % salts)
-    first = salted.repartition(MERGE_PARTITIONS, "dataset_id", "salt").select(*columns).mapInArrow(merged, ddl(SKETCH_FIELDS))
+    first = salted.repartition("dataset_id", "salt").select(*columns).mapInArrow(merged, ddl(SKETCH_FIELDS))
     last = first.repartition("dataset_id").sortWithinPartitions("dataset_id", "n")
     return last.mapInArrow(merged, ddl(SKETCH_FIELDS))
 

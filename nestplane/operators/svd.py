@@ -36,14 +36,29 @@ PLANE_FIELDS: Fields = (
     ("singular_values", "array<double>"),
 )
 OVERSAMPLE = 10
-POWER_PASSES = 4
+POWER_PASSES = 5
 
 
-def packed_scatter(front: Front, centers: NodeTable) -> DataFrame:
-    """Scatter matrices about the node centers, upper triangles in blocks."""
+def scatter(front: Front, centers: NodeTable) -> DataFrame:
+    """Scatter matrices about the node centers, upper triangles packed row by row in blocks."""
     return sum_partials(node_pass(front, ScatterFold(), centers))
 
 
+def scatter_entries(packed: DataFrame) -> DataFrame:
+    """``(dataset_id, node_id, i, j, value)`` with ``i <= j``, counted from 1."""
+    fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("i", "int"), ("j", "int"), ("value", "double"))
+
+    def opened(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        values = table.column("v").combine_chunks().flatten().to_numpy()
+        i, j = np.triu_indices(dense.unpack(values).shape[0])
+        name, node = table.column("dataset_id")[0].as_py(), table.column("node_id")[0].as_py()
+        rows = [(name, node, int(a) + 1, int(b) + 1, v) for a, b, v in zip(i, j, values)]
+        return pa.Table.from_batches([batch_of(rows, fields)])
+
+    return packed.select(*KEYS, "block", "v").groupBy(*KEYS).applyInArrow(opened, ddl(fields))
+
+
 def gram_planes(front: Front, centers: NodeTable, d: int, tol: float = dense.SCATTER_TOL) -> DataFrame:
     """Top ``d`` right singular vectors of every node from its scatter matrix."""
 
@@ -54,7 +69,7 @@ def gram_planes(front: Front, centers: NodeTable, d: int, tol: float = dense.SCA
         row = (table.column("dataset_id")[0].as_py(), table.column("node_id")[0].as_py(), list(map(list, rows)), list(s))
         return pa.Table.from_batches([batch_of([row], PLANE_FIELDS)])
 
-    summed = packed_scatter(front, centers).select(*KEYS, "block", "v")
+    summed = scatter(front, centers).select(*KEYS, "block", "v")
     return summed.groupBy(*KEYS).applyInArrow(solve, ddl(PLANE_FIELDS))
 
 
@@ -70,7 +85,11 @@ def probe_planes(
     tol: float = dense.SCATTER_TOL,
     seed: int = 50,
 ) -> DataFrame:
-    """Top ``d`` right singular vectors by repeated multiplication of a thin orthonormal probe."""
+    """Top ``d`` right singular vectors by repeated multiplication of a thin orthonormal probe.
+
+    The error falls with each pass by the squared ratio of the first left-out singular value to the last
+    kept one.
+    """
     width = d + oversample
     probe_fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("center", "array<double>"), ("probe", "array<double>"))
 
@@ -95,10 +114,7 @@ def probe_planes(
             out = []
             for name, node, dims_, flat, y in zip(*(batch.column(c).to_pylist() for c in (*KEYS, "dims", "probe", "total"))):
                 q, z = (np.asarray(a).reshape(dims_, -1) for a in (flat, y))
-                core = q.T @ z
-                w, u = np.linalg.eigh((core + core.T) / 2.0)
-                s, basis = dense.top_components(np.sqrt(np.maximum(w, 0.0)), (q @ u).T, d, tol)
-                out.append((name, node, list(map(list, basis)), list(s)))
+                out.append((name, node, *nystrom(q, z, d, tol)))
             yield batch_of(out, PLANE_FIELDS)
 
     def multiplied(probe: NodeTable) -> DataFrame:
@@ -114,6 +130,22 @@ def probe_planes(
     return last.select(*KEYS, "dims", "probe", "total").mapInArrow(solved, ddl(PLANE_FIELDS))
 
 
+def nystrom(q: np.ndarray, z: np.ndarray, d: int, tol: float):
+    """Basis and singular values of a scatter matrix ``C`` from an orthonormal ``q`` and ``z = C q``.
+
+    The low-rank form ``z (q^T z)^-1 z^T`` (Tropp, Yurtsever, Udell and Cevher, 2017) gains one more
+    multiplication by ``C`` over diagonalising ``q^T C q``.
+    """
+    core = q.T @ z
+    w, u = np.linalg.eigh((core + core.T) / 2.0)
+    keep = w > 1e-15 * max(w.max(initial=0.0), 0.0)
+    if not keep.any() or w.max() <= 0:
+        return [], []
+    left, s, _ = np.linalg.svd(z @ (u[:, keep] / np.sqrt(w[keep])), full_matrices=False)
+    s, basis = dense.top_components(s, left.T, d, tol)
+    return list(map(list, basis)), list(s)
+
+
 def planes(front: Front, centers: NodeTable, d: int, rows: int, dims: int, tag: str = "planes") -> DataFrame:
     """``(dataset_id, node_id, basis, singular_values)`` of every node, by the way that suits the width."""
     if dims <= front.limits.gram_dim:
