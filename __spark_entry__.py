@@ -570,7 +570,9 @@ _QUERIES = {
 def _shipping(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        return query(spark, str(sf_dir).rstrip("/"))
+        df = query(spark, str(sf_dir).rstrip("/"))
+        whole = {f.name: F.col(f.name).cast("bigint") for f in df.schema if f.dataType.simpleString() == "int"}
+        return df.withColumns(whole) if whole else df
 
     run.__name__ = query.__name__
     run.__doc__ = query.__doc__

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .passes import Fields, batch_of, ddl, matrix, segments
+from .passes import Fields, Limits, batch_of, ddl, matrix, segments
+from .planes import node_centers
 
 TILE = 256  # side of the square tiles of a distributed product
 CHUNK = 4096  # columns per row of a transposed matrix
@@ -56,15 +57,15 @@ def subtract_row_scalar(a: DataFrame, scalars: DataFrame) -> DataFrame:
     return a.join(scalars.select("row", "amount"), "row").select("row", V.shift(F.col("x"), F.col("amount")).alias("x"))
 
 
-def column_means(a: DataFrame, by: str = "dataset_id") -> DataFrame:
-    """Mean vector of each ``by`` group, partially aggregated in every task."""
-    mean = vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("center")
-    return a.groupBy(by).agg(mean)
+def column_means(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Mean vector of each dataset, summed inside every task before anything is shuffled."""
+    return node_centers(points, limits).select("dataset_id", "center")
 
 
-def center_columns(a: DataFrame, by: str = "dataset_id") -> DataFrame:
-    """Subtract the column means of each ``by`` group.  Spark broadcasts the means only if they are small."""
-    return a.join(column_means(a, by), by).withColumn("x", V.subtract(F.col("x"), F.col("center"))).drop("center")
+def center_columns(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Subtract the column means of each dataset.  Spark broadcasts the means only if they are small."""
+    means = column_means(points, limits)
+    return points.join(means, "dataset_id").withColumn("x", V.subtract(F.col("x"), F.col("center"))).drop("center")
 
 
 def to_long(a: DataFrame) -> DataFrame:

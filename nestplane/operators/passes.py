@@ -17,6 +17,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from ..sources.shared import Workspace
 
 KEYS = ["dataset_id", "node_id"]
 BLOCK = 128  # doubles per shuffled row of a partial sum
+FILTER_DATASETS = 500  # up to this many datasets a pass names the ones it needs, so the scan can prune
 
 _ARROW = {
     "string": pa.string(),
@@ -91,7 +93,7 @@ class NodeTable:
         """Rows ``change(record)`` yields for each row, a dict."""
 
         def changed(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch_of([out for row in batch.to_pylist() for out in change(row)], fields)
+            return batch_of([out for row in records(batch) for out in change(row)], fields)
 
         if self.held is not None:
             done = [changed(b) for b in self.held.to_batches()]
@@ -114,12 +116,29 @@ def pin(df: DataFrame, fields: Fields, nbytes: int, limits: Limits, work: Worksp
     return NodeTable(df.sparkSession, fields, written=work.write(df.select(*[n for n, _ in fields]), name))
 
 
+def records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, with number lists as views of the column's memory."""
+    columns = []
+    for column in batch.columns:
+        if pa.types.is_list(column.type) and column.type.value_type == pa.float64():
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            columns.append(np.split(flat, ends[:-1]) if len(ends) else [])
+        else:
+            columns.append(column.to_pylist())
+    names = batch.schema.names
+    return (dict(zip(names, row)) for row in zip(*columns))
+
+
+def table_records(table: pa.Table) -> Iterator[dict]:
+    for batch in table.to_batches():
+        yield from records(batch)
+
+
 def arrays_by_node(table: pa.Table, columns: Iterable[str]) -> dict[str, dict[int, tuple]]:
     out: dict[str, dict[int, tuple]] = {}
-    parts = [[np.asarray(v, dtype=np.float64) for v in table.column(c).to_pylist()] for c in columns]
-    datasets, nodes = table.column("dataset_id").to_pylist(), table.column("node_id").to_pylist()
-    for i, (d, j) in enumerate(zip(datasets, nodes)):
-        out.setdefault(d, {})[j] = tuple(p[i] for p in parts)
+    for row in table_records(table):
+        out.setdefault(row["dataset_id"], {})[row["node_id"]] = tuple(row[c] for c in columns)
     return out
 
 
@@ -182,6 +201,13 @@ class Front:
     splits: dict[str, dict[int, tuple]] = field(default_factory=dict)
     split_bytes: int = 0
     placed: bool = False
+    sent: list = field(default_factory=list)
+
+    def tree(self) -> Broadcast:
+        """The separating centers, broadcast once however many passes read them."""
+        if not self.sent:
+            self.sent.append(self.points.sparkSession.sparkContext.broadcast(self.splits))
+        return self.sent[0]
 
     def located(self) -> DataFrame:
         columns = ["dataset_id", "node_id", "point_id", "x"]
@@ -191,7 +217,7 @@ class Front:
         if not self.splits:
             return base.withColumn("node_id", F.lit(0).cast("bigint")).select(*columns)
         fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("point_id", "bigint"), ("x", "array<double>"))
-        known = base.sparkSession.sparkContext.broadcast(self.splits)
+        known = self.tree()
         schema = arrow_schema(fields)
 
         def locate(batches):
@@ -213,7 +239,7 @@ class Front:
                 merged = {d: dict(m) for d, m in self.splits.items()}
                 for d, m in arrays_by_node(pairs.held, ("left", "right")).items():
                     merged.setdefault(d, {}).update(m)
-                return replace(self, splits=merged, split_bytes=grown)
+                return replace(self, splits=merged, split_bytes=grown, sent=[])
         fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("point_id", "bigint"), ("x", "array<double>"))
 
         def step(name, node, part, params):
@@ -224,7 +250,10 @@ class Front:
             )
 
         moved = map_attached(self.located(), pairs.df, ("left", "right"), step, fields)
-        return replace(self, points=self.work.write(moved, name), splits={}, split_bytes=0, placed=True)
+        written = self.work.write(moved, name)
+        if self.placed:
+            self.work.drop(self.points)  # superseded by the table just written
+        return replace(self, points=written, splits={}, split_bytes=0, placed=True, sent=[])
 
 
 def map_attached(located: DataFrame, params: DataFrame, columns: tuple[str, ...], step, fields: Fields) -> DataFrame:
@@ -294,9 +323,12 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
 
         return source.mapInArrow(run_joined, ddl(fold.fields))
 
-    context = front.points.sparkSession.sparkContext
-    tree = context.broadcast(front.splits)
-    wanted = context.broadcast(None if params is None else arrays_by_node(params.held, columns))
+    tree = front.tree()
+    points = front.points.select("dataset_id", "point_id", "x")
+    given = None if params is None else arrays_by_node(params.held, columns)
+    if given is not None and len(given) <= FILTER_DATASETS:
+        points = points.where(F.col("dataset_id").isin(list(given)))
+    wanted = points.sparkSession.sparkContext.broadcast(given)
 
     def run(batches):
         acc = Accumulators(fold, task_bytes)
@@ -313,7 +345,7 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
                         yield from acc.drain()
         yield from acc.drain(force=True)
 
-    return front.points.select("dataset_id", "point_id", "x").mapInArrow(run, ddl(fold.fields))
+    return points.mapInArrow(run, ddl(fold.fields))
 
 
 SUM_FIELDS: Fields = (
@@ -477,7 +509,7 @@ def pin_totals(partials: DataFrame, nbytes: int, front: Front, name: str) -> Nod
     if nbytes > front.limits.broadcast_bytes:
         return NodeTable(spark, TOTAL_FIELDS, written=front.work.write(node_totals(partials), name))
     found: dict[tuple, list] = {}
-    for row in sum_partials(partials).toArrow().to_pylist():
+    for row in table_records(sum_partials(partials).toArrow()):
         found.setdefault((row["dataset_id"], row["node_id"]), []).append((row["block"], row["n"], row["mark"], row["v"]))
     rows = []
     for key, parts in found.items():

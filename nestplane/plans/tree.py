@@ -84,8 +84,7 @@ def fit(
     large = lambda row: not small(row)
     roots = root_centers(front, shape["datasets"], dims)
     waiting = [roots.where(small)]
-    live = roots.where(large)
-    rows = live.count()
+    live, rows = settle(roots.where(large), dims, limits, work, "level0-live")
     top = node_rows(live.df, planes(front, live, d, rows, dims, "level0-planes"))
     levels = [pin(top, ROW_FIELDS, level_bytes(rows, dims, d + 1), limits, work, "level0").df]
     splits: list[DataFrame] = []
@@ -101,11 +100,18 @@ def fit(
         if depth < max_depth:
             opened = pin(step.nodes.where("n > 1"), CENTER_FIELDS, level_bytes(2 * rows, dims), limits, work, f"level{depth}-open")
             waiting.append(opened.where(small))
-            live = opened.where(large)
-            rows = live.count()
+            live, rows = settle(opened.where(large), dims, limits, work, f"level{depth}-live")
     return work.write(assemble(levels, splits, front, waiting, what), "nodes")
 
 
+def settle(nodes: NodeTable, dims: int, limits: Limits, work: Workspace, name: str) -> tuple[NodeTable, int]:
+    """Count a filtered node table, and hold it if what is left allows that."""
+    rows = nodes.count()
+    if nodes.held is None:
+        nodes = pin(nodes.df, nodes.fields, level_bytes(rows, dims), limits, work, name)
+    return nodes, rows
+
+
 def local_size(rows: int, dims: int, limits: Limits) -> bool:
     return rows <= limits.local_rows and rows * dims * 8 <= limits.local_bytes
 

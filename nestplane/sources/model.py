@@ -20,9 +20,17 @@ COORD_FIELDS = (
 
 def save_model(path: str, nodes: DataFrame, coords: DataFrame | None = None, mode: str = "errorifexists") -> None:
     """Write ``nodes`` and, if given, ``coords``, each laid out by dataset so that reads can prune."""
-    nodes.select(*[n for n, _ in NODE_FIELDS]).write.mode(mode).partitionBy("dataset_id").parquet(f"{path}/nodes")
+    by_dataset(nodes.select(*[n for n, _ in NODE_FIELDS])).write.mode(mode).partitionBy("dataset_id").parquet(f"{path}/nodes")
     if coords is not None:
-        coords.write.mode(mode).partitionBy("dataset_id").parquet(f"{path}/coords")
+        by_dataset(coords).write.mode(mode).partitionBy("dataset_id").parquet(f"{path}/coords")
+
+
+def by_dataset(df: DataFrame) -> DataFrame:
+    """Rows of a dataset brought together before a partitioned write, so that files stay few.
+
+    This is a rebalance, not a hash partitioning: AQE cuts a large dataset into many tasks.
+    """
+    return df.hint("rebalance", "dataset_id")
 
 
 def _read(spark: SparkSession, path: str, fields) -> DataFrame:
@@ -63,4 +71,4 @@ def vector_rows(nodes: DataFrame, coords: DataFrame) -> DataFrame:
 
 def export_vectors(path: str, nodes: DataFrame, coords: DataFrame, fmt: str = "parquet", mode: str = "append") -> None:
     """Append the long rows to ``path``, one folder per dataset, as parquet or CSV."""
-    vector_rows(nodes, coords).write.mode(mode).partitionBy("dataset_id").format(fmt).save(path)
+    by_dataset(vector_rows(nodes, coords)).write.mode(mode).partitionBy("dataset_id").format(fmt).save(path)

@@ -11,11 +11,22 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import dense
-from ..operators.passes import SUM_FIELDS, Fields, Front, Limits, batch_of, blocks, ddl, node_pass, node_totals
+from ..operators.passes import (
+    SUM_FIELDS,
+    Fields,
+    Front,
+    Limits,
+    batch_of,
+    blocks,
+    ddl,
+    node_pass,
+    node_totals,
+    records,
+    sum_partials,
+)
 from ..sources.shared import Workspace
 
 
@@ -40,9 +51,9 @@ class MomentFold:
 
 
 def batch_moments(points: DataFrame, shift: float = 0.0, limits: Limits = Limits()) -> DataFrame:
-    """``(dataset_id, node_id, n, mark, total)`` of a batch: sum, then packed products."""
+    """Summed blocks ``(dataset_id, node_id, block, n, mark, v)`` of a batch: vector sum, then packed products."""
     front = Front(points, limits, Workspace(points.sparkSession, "moments"))
-    return node_totals(node_pass(front, MomentFold(shift)))
+    return sum_partials(node_pass(front, MomentFold(shift)))
 
 
 def run_moments(points: DataFrame, path: str, checkpoint: str, shift: float = 0.0, limits: Limits = Limits(), **trigger) -> StreamingQuery:
@@ -57,27 +68,20 @@ def run_moments(points: DataFrame, path: str, checkpoint: str, shift: float = 0.
 
 def merged_moments(spark: SparkSession, path: str, shift: float = 0.0) -> DataFrame:
     """``(dataset_id, n, center, scatter)`` over all batches; ``scatter`` is packed by rows of its upper triangle."""
-    stored = spark.read.schema("dataset_id string, node_id bigint, n bigint, mark bigint, total array<double>").parquet(path)
-    cut = stored.select("dataset_id", "node_id", "n", "mark", F.posexplode("total").alias("p", "value"))
-    sums = cut.groupBy("dataset_id", "p").agg(F.sum("value").alias("value"))
-    sizes = stored.groupBy("dataset_id").agg(F.sum("n").alias("n"))
-    whole = (
-        sums.groupBy("dataset_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "value"))), lambda e: e["value"]).alias("total"))
-        .join(sizes, "dataset_id")
-    )
+    stored = spark.read.schema(ddl(SUM_FIELDS)).parquet(path)
     fields: Fields = (("dataset_id", "string"), ("n", "bigint"), ("center", "array<double>"), ("scatter", "array<double>"))
 
     def finish(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                n, total = row["n"], np.asarray(row["total"])
+            for row in records(batch):
+                n, total = row["n"], row["total"]
                 dims = int((np.sqrt(8 * total.size + 9) - 3) / 2)
                 mean = total[:dims] / n
                 out.append((row["dataset_id"], n, mean + shift, total[dims:] - n * dense.pack(np.outer(mean, mean))))
             yield batch_of(out, fields)
 
-    return whole.select("dataset_id", "n", "total").mapInArrow(finish, ddl(fields))
+    return node_totals(stored).select("dataset_id", "n", "total").mapInArrow(finish, ddl(fields))
 
 
 def moments_plane(moments: DataFrame, d: int) -> DataFrame:
@@ -87,8 +91,8 @@ def moments_plane(moments: DataFrame, d: int) -> DataFrame:
     def solve(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                s, basis = dense.plane_of_scatter(dense.unpack(np.asarray(row["scatter"])), d)
+            for row in records(batch):
+                s, basis = dense.plane_of_scatter(dense.unpack(row["scatter"]), d)
                 out.extend((row["dataset_id"], i + 1, float(s[i]), basis[i]) for i in range(len(s)))
             yield batch_of(out, fields)
 

@@ -53,7 +53,7 @@ def farthest(name: str, source: str, centers: str, column: str) -> str:
 
 def sided(source: str, pairs: str) -> str:
     return f"""SELECT s.dataset_id, s.node_id, s.point_id, s.x,
-      CASE WHEN list_distance(s.x, p.l) <= list_distance(s.x, p.r) THEN 0 ELSE 1 END AS side
+      CASE WHEN list_distance(s.x, p.l) <= list_distance(s.x, p.r) THEN 0::BIGINT ELSE 1::BIGINT END AS side
     FROM {source} s JOIN {pairs} p USING (dataset_id, node_id)"""
 
 
@@ -103,7 +103,7 @@ def planes(tag: str, source: str, d: int = 2, squarings: int = SQUARINGS) -> lis
   SELECT dataset_id, node_id, 0 AS step, m FROM {tag}_m{k}
   UNION ALL
   SELECT dataset_id, node_id, step + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / t)) FROM (
-    SELECT *, list_sum(list_transform(m, lambda a, i: list_dot_product(a, a))) AS t FROM {tag}_q{k} WHERE step < {squarings}))"""
+    SELECT *, greatest(list_sum(list_transform(m, lambda a, i: list_dot_product(a, a))), 1e-300) AS t FROM {tag}_q{k} WHERE step < {squarings}))"""
         )
         out.append(
             f"""{tag}_u{k} AS MATERIALIZED (
@@ -113,7 +113,7 @@ def planes(tag: str, source: str, d: int = 2, squarings: int = SQUARINGS) -> lis
         )
         out.append(
             f"""{tag}_v{k} AS MATERIALIZED (
-  SELECT dataset_id, node_id, m, {k} AS k,
+  SELECT dataset_id, node_id, m, {k}::BIGINT AS k,
     list_transform(v, lambda e: e * CASE WHEN -list_min(v) > list_max(v) THEN -1 ELSE 1 END) AS v,
     list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS e
   FROM {tag}_m{k} JOIN {tag}_u{k} USING (dataset_id, node_id))"""
@@ -122,10 +122,12 @@ def planes(tag: str, source: str, d: int = 2, squarings: int = SQUARINGS) -> lis
             f"""{tag}_m{k + 1} AS MATERIALIZED (
   SELECT dataset_id, node_id, list_transform(m, lambda r, i: list_transform(r, lambda a, j: a - e * v[i] * v[j])) AS m FROM {tag}_v{k})"""
         )
-    parts = " UNION ALL ".join(f"SELECT dataset_id, node_id, k, sqrt(e) AS s, v FROM {tag}_v{k}" for k in range(1, d + 1))
+    parts = " UNION ALL ".join(f"SELECT dataset_id, node_id, k, e, v FROM {tag}_v{k}" for k in range(1, d + 1))
+    # Rank cut: a component counts if its singular value exceeds 1e-7 of the first.
     out.append(
         f"""{tag}_planes AS MATERIALIZED (
-  SELECT dataset_id, node_id, c.n, c.c, p.k, p.s, p.v FROM ({parts}) p JOIN {tag}_c c USING (dataset_id, node_id))"""
+  SELECT p.dataset_id, p.node_id, c.n, c.c, p.k, sqrt(p.e) AS s, p.v FROM ({parts}) p JOIN {tag}_c c USING (dataset_id, node_id)
+  JOIN {tag}_v1 f USING (dataset_id, node_id) WHERE isfinite(p.e) AND isfinite(f.e) AND p.e > 0 AND p.e > 1e-14 * f.e)"""
     )
     return out
 
@@ -143,15 +145,22 @@ def tree(depth: int, d: int = 2, prune: float = 0.99999) -> list[str]:
         )
         out += two_means(f"s{k}", f"l{k}_open")
         out.append(f"l{k + 1} AS MATERIALIZED (SELECT dataset_id, node_id * 2 + 1 + side AS node_id, point_id, x FROM s{k}_sides)")
-    union = " UNION ALL ".join(f"SELECT {k} AS depth, * FROM l{k}" for k in range(depth + 1))
+    union = " UNION ALL ".join(f"SELECT {k}::BIGINT AS depth, * FROM l{k}" for k in range(depth + 1))
     out.append(f"tried AS MATERIALIZED ({union})")
     out += planes("tr", "tried", d)
+    out.append(
+        """ranks AS MATERIALIZED (
+  SELECT c.dataset_id, c.node_id, count(p.k) AS rank FROM tr_c c LEFT JOIN tr_planes p USING (dataset_id, node_id) GROUP BY ALL)"""
+    )
     out.append(
         """cosines AS MATERIALIZED (
-  SELECT a.dataset_id, (a.node_id - 1) // 2 AS node_id, sum(list_dot_product(a.v, b.v)) AS trace, count(*) AS rank,
-    sum(list_dot_product(a.v, b.v)) / count(*) AS cosine
-  FROM tr_planes a JOIN tr_planes b ON a.dataset_id = b.dataset_id AND a.k = b.k AND a.node_id % 2 = 1 AND b.node_id = a.node_id + 1
-  GROUP BY ALL)"""
+  SELECT *, CASE WHEN rank_a > 0 AND rank_b > 0 THEN trace / sqrt(rank_a * rank_b) END AS cosine FROM (
+    SELECT a.dataset_id, (a.node_id - 1) // 2 AS node_id, a.rank AS rank_a, b.rank AS rank_b,
+      coalesce(sum(list_dot_product(p.v, q.v)), 0) AS trace
+    FROM ranks a JOIN ranks b ON a.dataset_id = b.dataset_id AND a.node_id % 2 = 1 AND b.node_id = a.node_id + 1
+    LEFT JOIN tr_planes p ON p.dataset_id = a.dataset_id AND p.node_id = a.node_id
+    LEFT JOIN tr_planes q ON q.dataset_id = b.dataset_id AND q.node_id = b.node_id AND q.k = p.k
+    GROUP BY ALL))"""
     )
     dropped = " OR ".join(
         f"(depth >= {up} AND (dataset_id, ((node_id + 1) >> (depth - {up - 1})) - 1) IN (SELECT (dataset_id, node_id) FROM cosines WHERE cosine >= {prune}))"
@@ -177,7 +186,7 @@ def query(ctes: list[str], select: str) -> str:
 TREE_ROWS = f"""SELECT n.dataset_id, n.node_id, parent_id, depth, side, n.n, is_leaf, {num("coalesce(cosine, 2)")} AS split_cosine,
     kind, component, dim, {num("v")} AS value
   FROM nodes n LEFT JOIN cosines USING (dataset_id, node_id) JOIN (
-    SELECT dataset_id, node_id, 'center' AS kind, 0 AS component, unnest(range(1, len(c) + 1)) AS dim, unnest(c) AS v FROM nodes
+    SELECT dataset_id, node_id, 'center' AS kind, 0::BIGINT AS component, unnest(range(1, len(c) + 1)) AS dim, unnest(c) AS v FROM nodes
     UNION ALL SELECT dataset_id, node_id, 'basis', k, unnest(range(1, len(v) + 1)), unnest(v) FROM tr_planes
     UNION ALL SELECT dataset_id, node_id, 'singular', k, 1, s FROM tr_planes) USING (dataset_id, node_id)"""
 
@@ -188,7 +197,7 @@ COORDS = """coords AS MATERIALIZED (
   FROM loc l JOIN tr_planes p USING (dataset_id, node_id))"""
 
 VECTOR_ROWS = f"""SELECT dataset_id, node_id, kind, component, dim, {num("v")} AS value FROM (
-    SELECT dataset_id, node_id, 'center' AS kind, 0 AS component, unnest(range(1, len(c) + 1)) AS dim, unnest(c) AS v FROM nodes
+    SELECT dataset_id, node_id, 'center' AS kind, 0::BIGINT AS component, unnest(range(1, len(c) + 1)) AS dim, unnest(c) AS v FROM nodes
     UNION ALL SELECT dataset_id, node_id, 'basis', k, unnest(range(1, len(v) + 1)), unnest(v) FROM tr_planes SEMI JOIN nodes USING (dataset_id, node_id)
     UNION ALL SELECT dataset_id, node_id, 'coord', point_id, component, coord FROM coords)"""
 
@@ -203,7 +212,7 @@ def descent(depth: int, walkers: str = "walkers") -> list[str]:
   FROM w{k} w JOIN nodes a ON a.dataset_id = w.dataset_id AND a.node_id = 2 * w.node_id + 1
   JOIN nodes b ON b.dataset_id = w.dataset_id AND b.node_id = 2 * w.node_id + 2)"""
         )
-    union = " UNION ALL ".join(f"SELECT {k} AS depth, * FROM w{k}" for k in range(depth + 1))
+    union = " UNION ALL ".join(f"SELECT {k}::BIGINT AS depth, * FROM w{k}" for k in range(depth + 1))
     out.append(f"walked AS MATERIALIZED ({union})")
     return out
 
@@ -304,8 +313,8 @@ def statements() -> dict[str, str]:
             f"""SELECT traj_id, frame_id, dim, {num('v')} AS value FROM ({long('''(
   SELECT * FROM frames QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY frame_id) <= 30)''', 'traj_id, frame_id')})""",
         ),
-        "vector_sum": query([BY_LABEL], f"SELECT dataset_id, 0 AS node_id, count(*) AS n, dim, {num('sum(v)')} AS value FROM ({long('pts', 'dataset_id')}) GROUP BY dataset_id, dim"),
-        "node_centers": query([BY_LABEL], f"SELECT dataset_id, 0 AS node_id, count(*) AS n, dim, {num('avg(v)')} AS value FROM ({long('pts', 'dataset_id')}) GROUP BY dataset_id, dim"),
+        "vector_sum": query([BY_LABEL], f"SELECT dataset_id, 0::BIGINT AS node_id, count(*) AS n, dim, {num('sum(v)')} AS value FROM ({long('pts', 'dataset_id')}) GROUP BY dataset_id, dim"),
+        "node_centers": query([BY_LABEL], f"SELECT dataset_id, 0::BIGINT AS node_id, count(*) AS n, dim, {num('avg(v)')} AS value FROM ({long('pts', 'dataset_id')}) GROUP BY dataset_id, dim"),
         "node_scatter": query(
             [PRICES, means("c", "pts"), f"lg AS (SELECT l.*, l.v - c.c[l.dim] AS y FROM ({long('pts')}) l JOIN c USING (dataset_id, node_id))"],
             f"""SELECT a.dataset_id, a.node_id, a.dim AS i, b.dim AS j, {num('sum(a.y * b.y) / count(*)')} AS value
@@ -333,7 +342,7 @@ def statements() -> dict[str, str]:
         "two_means_centers": query(
             [*labelled, *two_means("t", "roots")],
             f"""SELECT dataset_id, side, dim, {num('v')} AS value FROM (
-    SELECT dataset_id, 0 AS side, unnest(range(1, len(l) + 1)) AS dim, unnest(l) AS v FROM t_pair
+    SELECT dataset_id, 0::BIGINT AS side, unnest(range(1, len(l) + 1)) AS dim, unnest(l) AS v FROM t_pair
     UNION ALL SELECT dataset_id, 1, unnest(range(1, len(r) + 1)), unnest(r) FROM t_pair)""",
         ),
         "two_means_assign": query([*labelled, *two_means("t", "roots")], "SELECT dataset_id, point_id, side FROM t_sides"),
@@ -372,12 +381,12 @@ def statements() -> dict[str, str]:
         "level_max": query(fitted, "SELECT dataset_id, depth, max(n) AS max_n FROM nodes GROUP BY ALL"),
         "tree_paths": query(
             fitted,
-            """SELECT dataset_id, node_id, depth, parent_id, side, (1 << depth) - 1 AS level_start, k AS step, ((node_id + 1) >> (depth - k)) - 1 AS ancestor
+            """SELECT dataset_id, node_id, depth, parent_id, side, ((1 << depth) - 1)::BIGINT AS level_start, k AS step, ((node_id + 1) >> (depth - k)) - 1 AS ancestor
   FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes)""",
         ),
         "sibling_cosine": query(fitted, f"SELECT dataset_id, node_id, {num('cosine')} AS split_cosine FROM cosines"),
-        "basis_trace": query(fitted, f"SELECT dataset_id, node_id, {num('trace')} AS trace_ab, rank::DOUBLE AS trace_aa, rank::DOUBLE AS trace_bb FROM cosines"),
-        "prune_splits": query([BY_LABEL, *tree(2)], f"SELECT dataset_id, node_id, {num('cosine')} AS split_cosine FROM cosines WHERE cosine < 0.5"),
+        "basis_trace": query(fitted, f"SELECT dataset_id, node_id, {num('trace')} AS trace_ab, rank_a::DOUBLE AS trace_aa, rank_b::DOUBLE AS trace_bb FROM cosines"),
+        "prune_splits": query([BY_LABEL, *tree(2)], f"SELECT dataset_id, node_id, {num('cosine')} AS split_cosine FROM cosines WHERE coalesce(cosine < 0.5, true)"),
         "project_points": query([*fitted, cloud("walkers", REVERSED), *descent(2)], WALKED_COORDS),
         "project_points_joined": query([*fitted, cloud("walkers", REVERSED), *descent(2)], WALKED_COORDS),
         "leaf_of_point": query([*fitted, cloud("walkers", REVERSED), *descent(2)], "SELECT dataset_id, point_id, max(depth) AS depth, arg_max(node_id, depth) AS node_id FROM walked GROUP BY ALL"),
