@@ -34,6 +34,7 @@ from nestplane.sources import points as src  # noqa: E402
 from nestplane.sources.shared import Workspace  # noqa: E402
 from nestplane.streaming import moments as sm  # noqa: E402
 from nestplane.streaming import score as ss  # noqa: E402
+from nestplane.streaming import sketch as sks  # noqa: E402
 
 EMBEDDING_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 WIDE = Limits(local_rows=0)  # every node by level-wide passes
@@ -473,6 +474,17 @@ def stream_moments(spark, sf):
     )
 
 
+def stream_sketch(spark, sf):
+    """Running SVD of uncentered points, with room for the full rank."""
+    stream = sm.stream_points(spark, sf, EMBEDDING_SCHEMA, "embeddings.parquet")
+    x = harmonic(F.col("embedding").cast("array<double>"))
+    points = src.as_points(stream, "vec_id", x, F.col("label"))
+    path = Workspace(spark, "sketches").path
+    sks.run_sketches(points, f"{path}/sketches", f"{path}/progress", 64).awaitTermination()
+    found = sk.sketch_components(sks.merged_sketch(spark, f"{path}/sketches", 64), 2)
+    return plane_rows(found.withColumn("node_id", F.lit(0).cast("bigint")))
+
+
 def stream_project(spark, sf):
     nodes = tr.fit(scaled(spark, sf), 2, 2)
     stream = sm.stream_points(spark, sf, EMBEDDING_SCHEMA, "embeddings.parquet")
@@ -560,6 +572,7 @@ _QUERIES = {
     "export_vectors": export_vectors,
     "model_roundtrip": model_roundtrip,
     "stream_moments": stream_moments,
+    "stream_sketch": stream_sketch,
     "stream_project": stream_project,
     "frames_cross_cov": frames_cross_cov,
     "frames_superpose": frames_superpose,

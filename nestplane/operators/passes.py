@@ -83,7 +83,8 @@ class NodeTable:
     @property
     def df(self) -> DataFrame:
         if self._df is None:
-            self._df = self.spark.createDataFrame(self.held, schema=ddl(self.fields))
+            rows = self.held if self.held.num_rows else []
+            self._df = self.spark.createDataFrame(rows, schema=ddl(self.fields))
         return self._df
 
     def count(self) -> int:

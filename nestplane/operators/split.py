@@ -22,6 +22,7 @@ from .passes import (
     NodeTable,
     SideFold,
     SumFold,
+    arrow_schema,
     farthest_of,
     node_pass,
     pin,
@@ -107,6 +108,8 @@ def two_means(front: Front, centers: NodeTable, rows: int, dims: int, steps: int
     """
     nbytes = level_bytes(rows, dims)
     pairs = seeds(front, centers, nbytes, tag)
+    if pairs.count() == 0:
+        return pairs, NodeTable(pairs.spark, SIDE_FIELDS, held=arrow_schema(SIDE_FIELDS).empty_table())
     before = None
     for step in range(steps + 1):
         after = recenter(front, pairs, nbytes, f"{tag}-step{step}")

@@ -82,12 +82,13 @@ def two_means(tag: str, source: str, steps: int = STEPS) -> list[str]:
     return out
 
 
-def planes(tag: str, source: str, d: int = 2, squarings: int = SQUARINGS) -> list[str]:
+def planes(tag: str, source: str, d: int = 2, squarings: int = SQUARINGS, centered: bool = True) -> list[str]:
     """CTEs ending in ``{tag}_planes (dataset_id, node_id, n, c, k, s, v)``, one row per component."""
+    middle = "m.c[l.dim]" if centered else "0"
     out = [
         means(f"{tag}_c", source),
         f"""{tag}_long AS MATERIALIZED (
-  SELECT l.dataset_id, l.node_id, l.point_id, l.dim, l.v - m.c[l.dim] AS v
+  SELECT l.dataset_id, l.node_id, l.point_id, l.dim, l.v - {middle} AS v
   FROM ({long(source)}) l JOIN {tag}_c m USING (dataset_id, node_id))""",
         f"""{tag}_m1 AS MATERIALIZED (
   SELECT dataset_id, node_id, list(r ORDER BY i) AS m FROM (
@@ -396,6 +397,7 @@ def statements() -> dict[str, str]:
             [BY_LABEL, ROOTS, *planes("r", "roots")],
             f"SELECT dataset_id, n, k AS component, {num('s')} AS singular_value, unnest(range(1, len(v) + 1)) AS dim, unnest(list_transform(c, lambda e: {num('e')})) AS center, unnest(list_transform(v, lambda e: {num('e')})) AS value FROM r_planes",
         ),
+        "stream_sketch": query([*labelled, *planes("r", "roots", centered=False)], f"{PLANE_ROWS} FROM r_planes"),
         "stream_project": query([*fitted, cloud("walkers", REVERSED), *descent(2)], WALKED_COORDS),
         "frames_cross_cov": query(rotations(), f"SELECT traj_id, frame_id, i, j, {num('h')} AS value FROM cov"),
         "frames_superpose": query(rotations(), f"SELECT traj_id, frame_id, pos AS atom, axis, {num('v')} AS value FROM turned"),
