@@ -8,6 +8,7 @@ import sys
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,11 +223,25 @@ def matrix_multiply(spark, sf):
     return gram(spark, sf).select("row", "dim", six("value").alias("value"))
 
 
-def matrix_multiply_rows(spark, sf):
+def matrix_multiply_transposed(spark, sf):
+    product = mx.multiply_transposed(a_rows(spark, sf), b_rows(spark, sf))
+    return product.select("row", "dim", six("value").alias("value"))
+
+
+def matrix_multiply_chain(spark, sf):
+    """A times (A^T B), both products distributed."""
     product = mx.multiply(mx.to_long(a_rows(spark, sf)), gram(spark, sf))
     return product.select("row", "dim", six("value").alias("value"))
 
 
+def matrix_multiply_rows(spark, sf):
+    """The same with the 64 x 64 factor on the driver."""
+    small = np.zeros((64, 64))
+    for r in mx.multiply_transposed(a_rows(spark, sf), b_rows(spark, sf)).collect():
+        small[r["row"] - 1, r["dim"] - 1] = r["value"]
+    return long(mx.multiply_rows(a_rows(spark, sf), small), ["row"])
+
+
 def validate_points(spark, sf):
     points = by_label(spark, sf)
     checked = pt.validate_points(points)
@@ -528,6 +543,8 @@ _QUERIES = {
     "center_columns": center_columns,
     "matrix_transpose": matrix_transpose,
     "matrix_multiply": matrix_multiply,
+    "matrix_multiply_transposed": matrix_multiply_transposed,
+    "matrix_multiply_chain": matrix_multiply_chain,
     "matrix_multiply_rows": matrix_multiply_rows,
     "validate_points": validate_points,
     "row_index": row_index,

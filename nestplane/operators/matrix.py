@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .passes import Fields, Limits, batch_of, ddl, matrix, segments
+from .passes import BLOCK, Fields, Limits, batch_of, ddl, matrix, segments
 from .planes import node_centers
 
 TILE = 256  # side of the square tiles of a distributed product
@@ -82,13 +82,19 @@ def transposed_rows(long: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     ``(row, chunk, dims, x)``: ``dims`` are the original row keys of the entries of ``x``, in order.
     """
-    swapped = transpose(long).withColumn("chunk", F.floor(F.col("dim") / F.lit(chunk)).cast("bigint"))
+    swapped = transpose(long).withColumn("chunk", _block_of("dim", chunk))
     entries = F.sort_array(F.collect_list(F.struct("dim", "value")))
     return swapped.groupBy("row", "chunk").agg(entries.alias("e")).select(
         "row", "chunk", F.transform("e", lambda e: e["dim"]).alias("dims"), F.transform("e", lambda e: e["value"]).alias("x")
     )
 
 
+def _block_of(column: str, size: int):
+    """Whole-number quotient rounded down, exact for every BIGINT."""
+    size_ = F.lit(size).cast("bigint")
+    return F.call_function("div", F.col(column) - F.pmod(F.col(column), size_), size_)
+
+
 TILE_FIELDS: Fields = (("i", "bigint"), ("j", "bigint"), ("r", "int"), ("v", "array<double>"))
 
 
@@ -96,9 +102,7 @@ def _tiles(long: DataFrame, tile: int) -> DataFrame:
     """Long entries gathered into square tiles of at most ``tile * tile`` numbers."""
     size = F.lit(tile).cast("bigint")
     entry = F.struct(F.pmod("row", size).cast("int").alias("r"), F.pmod("dim", size).cast("int").alias("c"), "value")
-    return long.groupBy(
-        F.floor(F.col("row") / size).alias("ti"), F.floor(F.col("dim") / size).alias("tj")
-    ).agg(F.collect_list(entry).alias("entries"))
+    return long.groupBy(_block_of("row", tile).alias("ti"), _block_of("dim", tile).alias("tj")).agg(F.collect_list(entry).alias("entries"))
 
 
 def multiply(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
@@ -144,6 +148,33 @@ def _tile_rows(acc: dict):
             yield batch_of([(i, j, int(r), block[r]) for r in used], TILE_FIELDS)
 
 
+def multiply_transposed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Long form of ``A^T B`` for two tall matrices in row form.
+
+    Rows meet by key and are multiplied where they meet; each task shuffles one D x D sum, whatever
+    the number of rows.
+    """
+    fields: Fields = (("row", "bigint"), ("block", "int"), ("v", "array<double>"))
+
+    def products(batches):
+        acc = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                acc = acc + matrix(batch.column("ax")).T @ matrix(batch.column("bx"))
+        if isinstance(acc, np.ndarray):
+            for i, line in enumerate(acc):
+                cuts = range(0, len(line), BLOCK)
+                yield batch_of([(i + 1, k, line[at : at + BLOCK]) for k, at in enumerate(cuts)], fields)
+
+    pairs = a.select("row", F.col("x").alias("ax")).join(b.select("row", F.col("x").alias("bx")), "row").select("ax", "bx")
+    summed = pairs.mapInArrow(products, ddl(fields)).groupBy("row", "block").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")
+    )
+    return summed.select("row", "block", F.posexplode("v").alias("p", "value")).select(
+        "row", (F.col("block") * BLOCK + F.col("p") + 1).cast("bigint").alias("dim"), "value"
+    )
+
+
 def multiply_rows(a: DataFrame, small: np.ndarray) -> DataFrame:
     """Rows times a small dense matrix known to the driver, one narrow pass."""
     known = a.sparkSession.sparkContext.broadcast(np.asarray(small, dtype=np.float64))

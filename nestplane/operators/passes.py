@@ -392,11 +392,10 @@ class SideFold:
 
     def add(self, acc, x, ids, params):
         n, mark, v = (0, 0, 0.0) if acc is None else acc
-        side = dense.sides(x, *params).astype(bool)
-        right = x[side].sum(axis=0)
-        sizes = [len(x) - side.sum(), side.sum()]
-        total = np.concatenate([x[~side].sum(axis=0), right, sizes])
-        return n + len(x), mark ^ dense.mark(ids[~side]), v + total
+        side = dense.sides(x, *params)
+        member = np.stack([1.0 - side, side])
+        total = np.concatenate([(member @ x).ravel(), member.sum(axis=1)])
+        return n + len(x), mark ^ dense.mark(ids[side == 0]), v + total
 
     def size(self, acc):
         return acc[2].nbytes + 64

@@ -298,7 +298,7 @@ def statements() -> dict[str, str]:
         "center_columns": query([BY_LABEL], f"SELECT dataset_id, point_id, dim, {num('v - avg(v) OVER (PARTITION BY dataset_id, dim)')} AS value FROM ({long('pts', 'dataset_id, point_id')})"),
         "matrix_transpose": query([*BASES, *LONG_AB], f"SELECT dim AS row, row AS dim, {num('v')} AS value FROM al"),
         "matrix_multiply": query([*BASES, *LONG_AB], f"SELECT al.dim AS row, bl.dim AS dim, {num('sum(al.v * bl.v)')} AS value FROM al JOIN bl USING (row) GROUP BY ALL"),
-        "matrix_multiply_rows": query(
+        "matrix_multiply_chain": query(
             [*BASES, *LONG_AB, "g AS (SELECT p.dim AS row, q.dim AS dim, sum(p.v * q.v) AS v FROM al p JOIN bl q USING (row) GROUP BY ALL)"],
             f"SELECT al.row, g.dim, {num('sum(al.v * g.v)')} AS value FROM al JOIN g ON g.row = al.dim GROUP BY ALL",
         ),
@@ -410,4 +410,6 @@ def statements() -> dict[str, str]:
             TREE_ROWS,
         ),
     }
+    out["matrix_multiply_transposed"] = out["matrix_multiply"]
+    out["matrix_multiply_rows"] = out["matrix_multiply_chain"]
     return out

@@ -130,6 +130,12 @@ def test_product_with_a_missing_row_counts_zero(spark):
     assert np.allclose(dense_of(mx.multiply(mx.to_long(rows(spark, a)), lb, 2), (4, 2)), a @ b)
 
 
+def test_transposed_product(spark):
+    a, b = data(40, 3), data(40, 5, 1)
+    got = mx.multiply_transposed(rows(spark, a).repartition(4), rows(spark, b))
+    assert np.allclose(dense_of(got.withColumn("row", F.col("row") - 1), (3, 5)), a.T @ b)
+
+
 def test_rows_times_small_matrix(spark):
     a, g = data(6, 3), data(3, 2, 1)
     got = {r.row: r.x for r in mx.multiply_rows(rows(spark, a), g).collect()}
