@@ -41,8 +41,10 @@ def sides(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def farthest(x: np.ndarray, ids: np.ndarray, c: np.ndarray) -> int:
     """Row farthest from ``c``; among equals the smallest id."""
-    d2 = comparable(squared_distances(x, c))
-    best = np.flatnonzero(d2 == d2.max())
+    d2 = squared_distances(x, c)
+    close = np.flatnonzero(d2 >= d2.max() * (1.0 - 1e-10))  # only these can be equal after rounding
+    rounded = comparable(d2[close])
+    best = close[rounded == rounded.max()]
     return int(best[np.argmin(ids[best])])
 
 
