@@ -101,6 +101,17 @@ class NodeTable:
             return NodeTable(self.spark, fields, pa.Table.from_batches(done, schema=arrow_schema(fields)))
         return NodeTable(self.spark, fields, written=self.df.mapInArrow(lambda it: map(changed, it), ddl(fields)))
 
+    def groups(self, rows: int) -> Iterator[NodeTable]:
+        """Held pieces of about ``rows`` rows, neighbours by dataset together where the order is known."""
+        if self.held is not None:
+            table = self.held.sort_by([(k, "ascending") for k in KEYS])
+            for at in range(0, max(table.num_rows, 1), rows):
+                yield NodeTable(self.spark, self.fields, table.slice(at, rows))
+        else:
+            parts = -(-self.count() // rows)
+            for g in range(parts):
+                yield hold(self.df.where(F.pmod(F.xxhash64(*KEYS), F.lit(parts)) == g), self.fields)
+
     def where(self, keep) -> NodeTable:
         return self.map(lambda row: [tuple(row.values())] if keep(row) else [], self.fields)
 
@@ -192,6 +203,14 @@ def walk(x: np.ndarray, splits: dict[int, tuple]) -> np.ndarray:
 # --- where the points currently are ------------------------------------------------------------
 
 
+LOCATED_FIELDS: Fields = (
+    ("dataset_id", "string"),
+    ("node_id", "bigint"),
+    ("point_id", "bigint"),
+    ("x", "array<double>"),
+)
+
+
 @dataclass(frozen=True)
 class Front:
     """Points together with what is needed to tell the node each of them is in."""
@@ -217,9 +236,8 @@ class Front:
         base = self.points.select("dataset_id", "point_id", "x")
         if not self.splits:
             return base.withColumn("node_id", F.lit(0).cast("bigint")).select(*columns)
-        fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("point_id", "bigint"), ("x", "array<double>"))
         known = self.tree()
-        schema = arrow_schema(fields)
+        schema = arrow_schema(LOCATED_FIELDS)
 
         def locate(batches):
             for batch in batches:
@@ -230,7 +248,7 @@ class Front:
                         schema=schema,
                     )
 
-        return base.mapInArrow(locate, ddl(fields))
+        return base.mapInArrow(locate, ddl(LOCATED_FIELDS))
 
     def extend(self, pairs: NodeTable, name: str) -> Front:
         """Move the points of freshly split nodes to the nearer child."""
@@ -241,35 +259,37 @@ class Front:
                 for d, m in arrays_by_node(pairs.held, ("left", "right")).items():
                     merged.setdefault(d, {}).update(m)
                 return replace(self, splits=merged, split_bytes=grown, sent=[])
-        fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("point_id", "bigint"), ("x", "array<double>"))
-
-        def step(name, node, part, params):
-            child = 2 * node + 1 + dense.sides(matrix(part.column("x")), *params)
-            return pa.RecordBatch.from_arrays(
-                [part.column("dataset_id"), pa.array(child), part.column("point_id"), part.column("x")],
-                schema=arrow_schema(fields),
-            )
-
-        moved = map_attached(self.located(), pairs.df, ("left", "right"), step, fields)
+        moved = move_joined(self.located(), pairs.df, keep=True)
         written = self.work.write(moved, name)
         if self.placed:
             self.work.drop(self.points)  # superseded by the table just written
         return replace(self, points=written, splits={}, split_bytes=0, placed=True, sent=[])
 
 
-def map_attached(located: DataFrame, params: DataFrame, columns: tuple[str, ...], step, fields: Fields) -> DataFrame:
-    """Join node parameters to the points by key and map each node's rows of a batch."""
-    joined = located.join(params.select(*KEYS, *columns), KEYS)
+def move_joined(located: DataFrame, pairs: DataFrame, keep: bool) -> DataFrame:
+    """Move points of split nodes to the nearer child by joining the pairs on the node key.
+
+    Points of other nodes stay where they are with ``keep``, else they are left out.
+    """
+    joined = located.join(pairs.select(*KEYS, "left", "right"), KEYS, "left" if keep else "inner")
+    schema = arrow_schema(LOCATED_FIELDS)
 
     def run(batches):
         for batch in batches:
-            for name, part in by_dataset(batch):
+            for _, part in by_dataset(batch):
                 for node, rows in segments(part.column("node_id").to_numpy()):
                     chunk = part.take(pa.array(rows))
-                    given = tuple(np.asarray(chunk.column(c)[0].as_py(), dtype=np.float64) for c in columns)
-                    yield step(name, node, chunk, given)
+                    left, right = chunk.column("left")[0].as_py(), chunk.column("right")[0].as_py()
+                    if left is None:
+                        place = chunk.column("node_id")
+                    else:
+                        side = dense.sides(matrix(chunk.column("x")), np.asarray(left), np.asarray(right))
+                        place = pa.array(2 * node + 1 + side)
+                    yield pa.RecordBatch.from_arrays(
+                        [chunk.column("dataset_id"), place, chunk.column("point_id"), chunk.column("x")], schema=schema
+                    )
 
-    return joined.mapInArrow(run, ddl(fields))
+    return joined.mapInArrow(run, ddl(LOCATED_FIELDS))
 
 
 # --- folds -------------------------------------------------------------------------------------
@@ -303,47 +323,43 @@ class Accumulators:
 
 
 def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
-    """Partials of ``fold`` for every node in ``params`` (for the root of every dataset if None)."""
-    columns, task_bytes = fold.params, front.limits.task_bytes
-    if front.placed or (params is not None and params.held is None):
-        source = front.located()
-        if params is not None:
-            source = source.join(params.df.select(*KEYS, *columns), KEYS)
-
-        def run_joined(batches):
-            acc = Accumulators(fold, task_bytes)
-            for batch in batches:
-                for name, part in by_dataset(batch):
-                    x, ids = matrix(part.column("x")), part.column("point_id").to_numpy()
-                    for node, rows in segments(part.column("node_id").to_numpy()):
-                        first = int(rows[0])
-                        given = tuple(np.asarray(part.column(c)[first].as_py(), dtype=np.float64) for c in columns)
-                        acc.add((name, node), x[rows], ids[rows], given)
-                        yield from acc.drain()
-            yield from acc.drain(force=True)
-
-        return source.mapInArrow(run_joined, ddl(fold.fields))
-
-    tree = front.tree()
-    points = front.points.select("dataset_id", "point_id", "x")
-    given = None if params is None else arrays_by_node(params.held, columns)
-    if given is not None and len(given) <= FILTER_DATASETS:
-        points = points.where(F.col("dataset_id").isin(list(given)))
-    wanted = points.sparkSession.sparkContext.broadcast(given)
+    """Partials of ``fold`` for every node in ``params`` (without it: for every node the points are in)."""
+    columns, task_bytes, placed = fold.params, front.limits.task_bytes, front.placed
+    held = params is not None and params.held is not None
+    attached = params is not None and not held
+    points = front.located() if placed or attached else front.points.select("dataset_id", "point_id", "x")
+    known, tree = None, None
+    if attached:
+        points = points.join(params.df.select(*KEYS, *columns), KEYS)
+    else:
+        context = points.sparkSession.sparkContext
+        if held:
+            nodes = arrays_by_node(params.held, columns)
+            if len(nodes) <= FILTER_DATASETS:
+                points = points.where(F.col("dataset_id").isin(list(nodes)))
+            known = context.broadcast(nodes)
+        if not placed:
+            tree = front.tree()
 
     def run(batches):
         acc = Accumulators(fold, task_bytes)
         for batch in batches:
             for name, part in by_dataset(batch):
-                here = {0: ()} if wanted.value is None else wanted.value.get(name)
-                if not here:
+                here = known.value.get(name) if known is not None else None
+                if known is not None and not here:
                     continue
                 x, ids = matrix(part.column("x")), part.column("point_id").to_numpy()
-                for node, rows in segments(walk(x, tree.value.get(name, {}))):
-                    if node in here:
-                        whole = rows.size == len(x)
-                        acc.add((name, node), x if whole else x[rows], ids if whole else ids[rows], here[node])
-                        yield from acc.drain()
+                place = walk(x, tree.value.get(name, {})) if tree is not None else part.column("node_id").to_numpy()
+                for node, rows in segments(place):
+                    if attached:
+                        given = tuple(np.asarray(part.column(c)[int(rows[0])].as_py(), dtype=np.float64) for c in columns)
+                    elif here is None or node in here:
+                        given = here[node] if here else ()
+                    else:
+                        continue
+                    whole = rows.size == len(x)
+                    acc.add((name, node), x if whole else x[rows], ids if whole else ids[rows], given)
+                    yield from acc.drain()
         yield from acc.drain(force=True)
 
     return points.mapInArrow(run, ddl(fold.fields))

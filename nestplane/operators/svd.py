@@ -7,6 +7,8 @@ bounded task per node.  Wider points use a randomized range finder (Halko, Marti
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,7 @@ from .passes import (
     ScatterFold,
     batch_of,
     ddl,
+    hold,
     node_pass,
     node_totals,
     pin,
@@ -88,7 +91,8 @@ def probe_planes(
     """Top ``d`` right singular vectors by repeated multiplication of a thin orthonormal probe.
 
     The error falls with each pass by the squared ratio of the first left-out singular value to the last
-    kept one.
+    kept one.  Probes are the widest node parameters, so nodes are taken in groups whose probes fit a
+    broadcast; a group's passes name its datasets, so a table laid out by dataset is read about once.
     """
     width = d + oversample
     probe_fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("center", "array<double>"), ("probe", "array<double>"))
@@ -120,14 +124,19 @@ def probe_planes(
     def multiplied(probe: NodeTable) -> DataFrame:
         return node_totals(node_pass(front, ProbeFold(), probe)).select(*KEYS, "total")
 
-    size = level_bytes(rows, dims, width + 1)
-    probe = pin(centers.df.select(*KEYS, "center").mapInArrow(started, ddl(probe_fields)), probe_fields, size, front.limits, front.work, f"{tag}-probe0")
-    for k in range(1, passes):
-        product = multiplied(probe).join(probe.df.select(*KEYS, "center"), KEYS)
-        turned = product.select(*KEYS, "center", "total").mapInArrow(orthonormal, ddl(probe_fields))
-        probe = pin(turned, probe_fields, size, front.limits, front.work, f"{tag}-probe{k}")
-    last = multiplied(probe).join(probe.df.select(*KEYS, F.size("center").alias("dims"), "probe"), KEYS)
-    return last.select(*KEYS, "dims", "probe", "total").mapInArrow(solved, ddl(PLANE_FIELDS))
+    def of_group(group: NodeTable, name: str) -> NodeTable:
+        start = group.df.select(*KEYS, "center").mapInArrow(started, ddl(probe_fields))
+        probe = hold(start, probe_fields)
+        for _ in range(1, passes):
+            product = multiplied(probe).join(probe.df.select(*KEYS, "center"), KEYS)
+            probe = hold(product.select(*KEYS, "center", "total").mapInArrow(orthonormal, ddl(probe_fields)), probe_fields)
+        last = multiplied(probe).join(probe.df.select(*KEYS, F.size("center").alias("dims"), "probe"), KEYS)
+        found = last.select(*KEYS, "dims", "probe", "total").mapInArrow(solved, ddl(PLANE_FIELDS))
+        return pin(found, PLANE_FIELDS, level_bytes(rows, dims, d), front.limits, front.work, name)
+
+    at_once = max(1, front.limits.broadcast_bytes // level_bytes(1, dims, width + 1))
+    done = [of_group(g, f"{tag}-group{i}").df for i, g in enumerate(centers.groups(at_once))]
+    return reduce(DataFrame.unionByName, done)
 
 
 def nystrom(q: np.ndarray, z: np.ndarray, d: int, tol: float):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dense, heap
-from ..operators.passes import KEYS, Fields, Limits, arrow_schema, by_dataset, ddl, map_attached, matrix, segments
+from ..operators.passes import KEYS, Fields, Limits, arrow_schema, by_dataset, ddl, matrix, move_joined, segments
 
 PLACE_FIELDS: Fields = (("dataset_id", "string"), ("point_id", "bigint"), ("depth", "int"), ("node_id", "bigint"))
 MEASURES: dict[str, str] = {
@@ -146,16 +146,8 @@ def as_plane(center, basis) -> tuple[np.ndarray, np.ndarray]:
 
 def place_joined(points, nodes, pairs, wanted, fields, deepest_only, centered, depth) -> DataFrame:
     """Level by level, joining only that level's nodes; nothing is broadcast by request."""
-    moved_fields: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("point_id", "bigint"), ("x", "array<double>"))
     schema = arrow_schema(fields)
 
-    def step(name, node, part, params):
-        child = 2 * node + 1 + dense.sides(matrix(part.column("x")), *params)
-        return pa.RecordBatch.from_arrays(
-            [part.column("dataset_id"), pa.array(child), part.column("point_id"), part.column("x")],
-            schema=arrow_schema(moved_fields),
-        )
-
     def located_rows(batches):
         for batch in batches:
             for _, part in by_dataset(batch):
@@ -182,7 +174,7 @@ def place_joined(points, nodes, pairs, wanted, fields, deepest_only, centered, d
         if level < depth:
             first, last = (1 << level) - 1, (2 << level) - 2
             ways = pairs.where(F.col("node_id").between(first, last))
-            current = map_attached(current, ways, ("left", "right"), step, moved_fields)
+            current = move_joined(current, ways, keep=False)
     return out
 
 
