@@ -45,7 +45,7 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application."""
+    """Send the package to the executors once per application; Spark copies the archive to them itself."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         folder = tempfile.mkdtemp(prefix="nestplane-ship-")
@@ -475,7 +475,7 @@ def model_roundtrip(spark, sf):
 
 
 def stream_moments(spark, sf):
-    stream = sm.stream_points(spark, sf, EMBEDDING_SCHEMA, "embeddings.parquet")
+    stream = sm.stream_points(spark, f"{sf}/embeddings.parquet", EMBEDDING_SCHEMA)
     x = harmonic(F.col("embedding").cast("array<double>"))
     points = src.as_points(stream, "vec_id", x, F.col("label"))
     path = Workspace(spark, "moments").path
@@ -491,7 +491,7 @@ def stream_moments(spark, sf):
 
 def stream_sketch(spark, sf):
     """Running SVD of uncentered points, with room for the full rank."""
-    stream = sm.stream_points(spark, sf, EMBEDDING_SCHEMA, "embeddings.parquet")
+    stream = sm.stream_points(spark, f"{sf}/embeddings.parquet", EMBEDDING_SCHEMA)
     x = harmonic(F.col("embedding").cast("array<double>"))
     points = src.as_points(stream, "vec_id", x, F.col("label"))
     path = Workspace(spark, "sketches").path
@@ -502,7 +502,7 @@ def stream_sketch(spark, sf):
 
 def stream_project(spark, sf):
     nodes = tr.fit(scaled(spark, sf), 2, 2)
-    stream = sm.stream_points(spark, sf, EMBEDDING_SCHEMA, "embeddings.parquet")
+    stream = sm.stream_points(spark, f"{sf}/embeddings.parquet", EMBEDDING_SCHEMA)
     points = src.as_points(stream, "vec_id", harmonic(F.reverse(F.col("embedding").cast("array<double>"))))
     path = Workspace(spark, "scores").path
     ss.score_stream(points, nodes, f"{path}/coords", f"{path}/progress").awaitTermination()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dense, heap
 from ..operators.passes import KEYS, Fields, Limits, arrow_schema, by_dataset, ddl, matrix, move_joined, segments
+from ..sources.shared import Workspace
 
 PLACE_FIELDS: Fields = (("dataset_id", "string"), ("point_id", "bigint"), ("depth", "int"), ("node_id", "bigint"))
 MEASURES: dict[str, str] = {
@@ -145,7 +146,11 @@ def as_plane(center, basis) -> tuple[np.ndarray, np.ndarray]:
 
 
 def place_joined(points, nodes, pairs, wanted, fields, deepest_only, centered, depth) -> DataFrame:
-    """Level by level, joining only that level's nodes; nothing is broadcast by request."""
+    """Level by level, joining only that level's nodes; nothing is broadcast by request.
+
+    In batch the moved points are written once per level, so no level repeats the joins above it.
+    """
+    work = None if points.isStreaming else Workspace(points.sparkSession, "place")
     schema = arrow_schema(fields)
 
     def located_rows(batches):
@@ -175,6 +180,8 @@ def place_joined(points, nodes, pairs, wanted, fields, deepest_only, centered, d
             first, last = (1 << level) - 1, (2 << level) - 2
             ways = pairs.where(F.col("node_id").between(first, last))
             current = move_joined(current, ways, keep=False)
+            if work is not None:
+                current = work.write(current, f"level{level + 1}")
     return out
 
 

@@ -101,7 +101,10 @@ def fit(
             opened = pin(step.nodes.where("n > 1"), CENTER_FIELDS, level_bytes(2 * rows, dims), limits, work, f"level{depth}-open")
             waiting.append(opened.where(small))
             live, rows = settle(opened.where(large), dims, limits, work, f"level{depth}-live")
-    return work.write(assemble(levels, splits, front, waiting, what), "nodes")
+    nodes = work.write(assemble(levels, splits, front, waiting, what), "nodes")
+    if front.placed:
+        work.drop(front.points)
+    return nodes
 
 
 def settle(nodes: NodeTable, dims: int, limits: Limits, work: Workspace, name: str) -> tuple[NodeTable, int]:

@@ -30,19 +30,19 @@ class Workspace:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/nestplane/{purpose}-{uuid.uuid4().hex}"
-        self.written: dict[int, str] = {}
+        self.written: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as parquet and give back a reader of it."""
         where = f"{self.path}/{name}"
         df.write.parquet(where)
         stored = self.spark.read.schema(df.schema).parquet(where)
-        self.written[id(stored)] = where
+        self.written[id(stored)] = (stored, where)
         return stored
 
     def drop(self, stored: DataFrame) -> None:
         """Delete a table this workspace wrote, once nothing reads it any more."""
-        where = self.written.pop(id(stored), None)
+        _, where = self.written.pop(id(stored), (None, None))
         if where is not None:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -99,6 +99,9 @@ def moments_plane(moments: DataFrame, d: int) -> DataFrame:
     return moments.select("dataset_id", "scatter").mapInArrow(solve, ddl(fields))
 
 
-def stream_points(spark: SparkSession, folder: str, schema: str, pattern: str) -> DataFrame:
-    """A stream over the parquet files of ``folder`` that match ``pattern``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def stream_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream over one parquet table, whether ``path`` is a folder of part files or a single file.
+
+    The file source takes folders and patterns only, so the path is given as a pattern that matches itself.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
