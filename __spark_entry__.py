@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
-import shutil
 import sys
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -33,6 +32,7 @@ from nestplane.plans.batch import fit_trajectories  # noqa: E402
 from nestplane.sources import model as md  # noqa: E402
 from nestplane.sources import points as src  # noqa: E402
 from nestplane.sources.shared import Workspace  # noqa: E402
+from nestplane.sources.ship import ship  # noqa: E402
 from nestplane.streaming import moments as sm  # noqa: E402
 from nestplane.streaming import score as ss  # noqa: E402
 from nestplane.streaming import sketch as sks  # noqa: E402
@@ -41,18 +41,6 @@ EMBEDDING_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 WIDE = Limits(local_rows=0)  # every node by level-wide passes
 JOINED = Limits(local_rows=0, broadcast_bytes=0)  # ... with node parameters joined, not broadcast
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application; Spark copies the archive to them itself."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        folder = tempfile.mkdtemp(prefix="nestplane-ship-")
-        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "nestplane"), "zip", HERE, "nestplane"))
-        _shipped.add(app)
-
-
 # --- inputs -------------------------------------------------------------------------------------
 
 
@@ -609,12 +597,23 @@ def _shipping(query):
     return run
 
 
+def _corpus():
+    """The corpus queries, if that subpackage is there."""
+    if importlib.util.find_spec("nestplane.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return None
+    from nestplane.llm import queries as corpus
+
+    return corpus
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipping(query) for name, query in _QUERIES.items()}
+    corpus = _corpus()
+    return {name: _shipping(query) for name, query in _QUERIES.items()} | (corpus.QUERIES if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    corpus = _corpus()
+    return oracles.statements() | (corpus.ORACLE_SQL if corpus else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
