@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestplane.llm import decontam, langid, packing, quality, simhash
+from nestplane.llm import caps, decontam, html, langid, packing, quality, quotes, simhash, tokens, urls
 from nestplane.sources.ship import ship
 
 
@@ -44,19 +44,71 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    found = quotes.link(table(spark, sf, "conversations"))
+    return found.withColumn("chat", quotes.rendered())
+
+
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scorer = quality.fit(docs, table(spark, sf, "labels"))
     return quality.scored(docs, scorer).select("doc_id", "low_score", "toxic_score", (~quality.rejected()).alias("kept"))
 
 
+def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf, "embeddings"))
+
+
+def sample_edits(id_col: str = "doc_id", text_col: str = "text", edits: int = 3):
+    """Edits made from a document itself: at places drawn by its id, a few characters give way to others of its own."""
+    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    draw = lambda k, n: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), n)
+
+    def edit(k: int):
+        taken = F.substring(F.coalesce(F.col(text_col), F.lit("")), (draw(3 * k + 1, size + 1) + 1).cast("int"), F.lit(24))
+        return F.struct(draw(3 * k, size + 1).alias("pos"), draw(3 * k + 2, F.lit(40)).alias("del"), taken.alias("ins"))
+
+    return F.array(*[edit(k) for k in range(edits)])
+
+
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("edits", sample_edits())
+    found = tokens.edited_counts(docs, "edits")
+    return found.drop("text_edited")
+
+
+#: The rules of the contract (fixed values).
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    found = urls.judge(table(spark, sf, "pages").select("page_id", "url"), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
 
 
-_ALL = [op1_best_fit_packing, op2_language_id, op3_decontamination, op4_simhash, op6_quality, pipeline]
+_ALL = [
+    op1_best_fit_packing,
+    op2_language_id,
+    op3_decontamination,
+    op4_simhash,
+    op5_chat_formatting,
+    op6_quality,
+    op7_html_extraction,
+    op8_embedding_near_dedup,
+    op9_token_counts,
+    op10_url_filters,
+    pipeline,
+]
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]):

@@ -171,7 +171,8 @@ class Encoder:
 
     def counts(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Number of ids of each pre-token."""
-        return self.size[self.lookup(data, start)]
+        which = self.lookup(data, start)  # may grow the table
+        return self.size[which]
 
     def lookup(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
         end = np.append(start[1:], len(data)) if len(start) else start
@@ -218,6 +219,7 @@ def byte_letters() -> dict[int, str]:
 # --- edit-aware counts --------------------------------------------------------------------------
 
 SEGMENT = 64  # pre-tokens a segment has at least, unless the text ends
+SHORT = 16 * SEGMENT  # characters up to which an edited stretch stays one segment
 EDIT_TYPE = "array<struct<pos:bigint,del:bigint,ins:string>>"
 
 
@@ -326,7 +328,10 @@ def apply_edits(enc: Encoder, tree: CountTree, edits: list[dict]) -> int:
         while b < len(tree.texts) and not safe(text, tree.texts[b]):
             text += tree.texts[b]
             b += 1
-        new, counts = next(segments(enc, pa.array([text]))) if text else ([], [])
+        if len(text) <= SHORT:
+            new, counts = ([text], [len(enc.bpe.encode_ordinary(text))]) if text else ([], [])
+        else:
+            new, counts = next(segments(enc, pa.array([text])))
         again += len(text)
         tree.replace(a, b, new, counts)
     return again
