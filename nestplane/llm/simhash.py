@@ -28,6 +28,8 @@ SEED = 42
 MOST_BITS = 2
 #: Signatures with more fingerprints than this are linked through shared neighbours; either way is exact.
 CROWD = 8
+#: Signatures of three fingerprints or more that may be broadcast (16 bytes each).
+BROADCAST_KEYS = 2_000_000
 BLOCK = 1 << 15  # shingles whose bits are counted at once
 
 
@@ -83,7 +85,10 @@ def links(fps: DataFrame, space: Workspace) -> DataFrame:
     shared = signatures(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     shared = space.write(shared.where("n > 1"), "shared")
     twos = shared.where("n = 2").select("a", "b")
-    several = signatures(fps).join(shared.where("n > 2").select("key", "n"), "key")
+    crowded = shared.where("n > 2").select("key", "n")
+    if crowded.count() <= BROADCAST_KEYS:  # else a shuffle of the signatures
+        crowded = F.broadcast(crowded)
+    several = signatures(fps).join(crowded, "key")
     several = space.write(several, "several")
     few = several.where(F.col("n") <= CROWD)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
