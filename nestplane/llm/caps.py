@@ -28,37 +28,45 @@ from nestplane.llm.components import components
 from nestplane.sources.shared import Workspace
 
 COSINE = 0.93
-SHARED = 14.0
+SHARED = 20.0
 STRAY = 0.25
 STEEPEST = 5.0  # threshold in standard deviations, at most
+PRODUCT = 16  # dimensions from which on the code is a product
 BLOCK = 1024
 SEED = 20240229
 
 
-def both_exceed(t: float, cosine: float) -> float:
-    """Chance that two standard normals of that correlation are both above ``t``."""
-    normal, z = NormalDist(), np.linspace(t, t + 8, 4001)
-    spread = math.sqrt(1 - cosine * cosine)
-    tail = np.array([1 - normal.cdf((t - cosine * x) / spread) for x in z])
-    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    return float(np.trapezoid(tail * density, z))
+def both_exceed(least: float, cosine: float, dims: int) -> float:
+    """Chance that a random unit direction has a product of ``least`` or more with both of two vectors at that cosine."""
+    u = np.linspace(least, 1, 2001)[:, None]
+    lowest = np.maximum((least - cosine * u) / math.sqrt(1 - cosine * cosine), -np.sqrt(1 - u * u))
+    room = np.sqrt(np.maximum(0, 1 - u * u))
+    v = lowest + (room - lowest) * np.linspace(0, 1, 801)[None, :]
+    density = np.maximum(0, 1 - u * u - v * v) ** ((dims - 4) / 2) * (lowest < room)
+    inner = np.trapezoid(density, v, axis=1)
+    return float((dims - 2) / (2 * math.pi) * np.trapezoid(inner, u[:, 0]))
 
 
 class Code:
-    """Rotation, two lists of unit vectors, threshold."""
+    """Rotation, two lists of unit vectors, threshold. Below ``PRODUCT`` dimensions the second list is empty: plain directions."""
 
     def __init__(self, dims: int, vectors: int, cosine: float):
-        t = min(STEEPEST, max(1.5, NormalDist().inv_cdf(1 - min(0.4, STRAY / max(1, vectors)))))
-        self.k = max(2, math.ceil(math.sqrt(SHARED / both_exceed(t, cosine))))
         rng = np.random.default_rng(SEED)
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        self.cut = max(1, dims // 2)
-        self.left = unit(rng.standard_normal((self.k, self.cut)))
-        self.right = unit(rng.standard_normal((self.k, dims - self.cut))) if dims > 1 else np.zeros((1, 0))
+        stray = min(0.2, STRAY / max(1, vectors))
+        if dims < PRODUCT:
+            u = unit(rng.standard_normal((400_000, dims)))
+            self.least = float(np.quantile(u[:, 0], 1 - max(stray, 0.002))) - 1e-9
+            other = cosine * u[:, 0] + (math.sqrt(1 - cosine * cosine) * u[:, 1] if dims > 1 else 0)
+            self.cut, self.k = dims, math.ceil(SHARED / max(1e-4, float(((u[:, 0] >= self.least) & (other >= self.least)).mean())))
+            self.left, self.right = unit(rng.standard_normal((self.k, dims))), np.zeros((1, 0))
+            return
+        self.least = min(STEEPEST, max(1.5, NormalDist().inv_cdf(1 - stray))) / math.sqrt(dims)
+        self.k = max(2, math.ceil(math.sqrt(SHARED / both_exceed(self.least, cosine, dims))))
+        self.cut = dims // 2
         # random directions of the whole space: each half carries its share of the length
-        self.left *= math.sqrt(self.cut / dims)
-        self.right *= math.sqrt(1 - self.cut / dims)
-        self.least = t / math.sqrt(dims)
+        self.left = unit(rng.standard_normal((self.k, self.cut))) * math.sqrt(self.cut / dims)
+        self.right = unit(rng.standard_normal((self.k, dims - self.cut))) * math.sqrt(1 - self.cut / dims)
 
     def filters(self, x: np.ndarray) -> list[np.ndarray]:
         """Numbers of all directions that each unit vector exceeds, ascending."""

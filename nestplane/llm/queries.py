@@ -122,5 +122,32 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]):
 
 QUERIES = {q.__name__: _shipping(q) for q in _ALL}
 
-#: None of these is an SQL statement of reasonable cost on whole tables; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL can express at reasonable cost; tests/llm compares the others with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+with dw as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), iw as (
+    select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), wins as (
+    select distinct item_id, least(13, len(w)) as size, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') as win
+    from (select item_id, w, unnest(range(1, greatest(2, len(w) - 11))) as k from iw where len(w) > 0)
+), sizes as (
+    select distinct size from wins
+), places as (
+    select doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') as win
+    from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from dw, sizes where len(w) >= size)
+), found as (
+    select doc_id, p.size, k, item_id from places p join wins using (win, size)
+), hits as (
+    select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(k, k + size)) as spot from found) group by 1
+), items as (
+    select doc_id, list_sort(list(distinct item_id)) as ids from found group by 1
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items,
+    sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join hits using (doc_id) left join items using (doc_id)
+""",
+}

@@ -19,7 +19,8 @@ from nestplane.sources.shared import Workspace
 DEPTH = 6  # levels of the tree; what lies deeper is one more segment
 LEAST = 5  # urls that a literal branch needs ...
 SHARE = 0.02  # ... and its least share of its node, so a node has at most 50 literal branches
-SMOOTH = 5.0  # labelled urls' worth of the overall share in a template's purity
+SMOOTH = 5.0  # labelled urls' worth of ...
+PRIOR = 0.25  # ... the blocked share that a template without labels is given
 Z = 1.96  # branches that differ by less, in standard errors, are alike
 WILD = "*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,9 +93,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
         F.count("*").alias("n"), F.sum((F.coalesce("verdict", F.lit("")) == "block").cast("bigint")).alias("blocked"), F.count("verdict").alias("labelled")
     )
     grown = space.write(templates(space.write(distinct, "paths"), space), "templates")
-    total = grown.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l")).first()
-    overall = total["b"] / total["l"] if total["l"] else 0.0
-    each = grown.groupBy("host", "template").agg(((F.sum("blocked") + SMOOTH * overall) / (F.sum("labelled") + SMOOTH)).alias("purity"))
+    each = grown.groupBy("host", "template").agg(((F.sum("blocked") + SMOOTH * PRIOR) / (F.sum("labelled") + SMOOTH)).alias("purity"))
     decided = grown.where(F.col("labelled") == 0).join(each, ["host", "template"]).select("host", "path", "template", "purity")
     open_ = read.where("rule is null").drop("verdict").join(decided, ["host", "path"])
     method = open_.withColumn("verdict", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
