@@ -26,6 +26,7 @@ PREFIXES = (6, 8, 11, 1 << 30)  # bytes of a word's beginning; the last is the w
 #: Documents the scorer learns from: human-labelled ones first, then by hash of the id.
 SAMPLE = 12_000
 ROUNDS = 25  # Newton steps
+TOGETHER = 500  # documents whose features are counted at once
 SHRINK = 10  # documents' worth of prior on a feature's class shares
 STRENGTHS = (0.0, 1.0, 2.0)  # evidence counted from these sizes on
 HUMAN = 0.995  # how often a human label is right
@@ -201,12 +202,24 @@ class Scorer(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def evidence(f: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log ratio of each hashed feature's share of class 1 and class 0, shrunk to 0 where it is rare."""
-    one, zero = y.sum(), (1 - y).sum()
-    have, lack = np.bincount(f, y[doc], 1 << BITS), np.bincount(f, 1 - y[doc], 1 << BITS)
-    k = SHRINK / max(1e-9, one + zero)
-    return np.log((have + k * one) / max(1e-9, one)) - np.log((lack + k * zero) / max(1e-9, zero)) if one > 0 and zero > 0 else np.zeros(1 << BITS)
+def stretches(sample: list, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sample's ``rows`` some at a time: their numbers, all their features, and the row of each feature."""
+    for k in range(0, len(rows), TOGETHER):
+        own = rows[k : k + TOGETHER]
+        yield own, np.concatenate([sample[i][0] for i in own]), np.repeat(np.arange(len(own)), [len(sample[i][0]) for i in own])
+
+
+def evidence(sample: list, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log ratio of each hashed feature's share of class 1 and class 0 in some rows, shrunk to 0 where it is rare."""
+    one, zero = y[rows].sum(), (1 - y[rows]).sum()
+    if one <= 0 or zero <= 0:
+        return np.zeros(1 << BITS)
+    have, lack = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for own, f, at in stretches(sample, rows):
+        have += np.bincount(f, y[own][at], 1 << BITS)
+        lack += np.bincount(f, 1 - y[own][at], 1 << BITS)
+    k = SHRINK / (one + zero)
+    return np.log((have + k * one) / one) - np.log((lack + k * zero) / zero)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -226,23 +239,21 @@ def learn(sample: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Scorer:
     column counts is fitted on the halves of the sample that the evidence was not taken from.
     """
     n = len(sample)
-    size = np.array([len(f) for f, _, _ in sample])
-    doc, f = np.repeat(np.arange(n), size), np.concatenate([f for f, _, _ in sample]).astype(np.int64)
     style, target = np.stack([s for _, s, _ in sample]).astype(np.float64), np.stack([p for _, _, p in sample]).astype(np.float64)
-    norm = np.sqrt(np.maximum(size, 1))
+    norm = np.sqrt([max(1, len(f)) for f, _, _ in sample])
     out = Scorer(np.zeros((len(TASKS), 1 << BITS), np.float32), np.zeros((len(TASKS), style.shape[1]), np.float32), np.zeros(len(TASKS), np.float32))
-    half = np.arange(n) % 2 == 0
+    halves = np.arange(0, n, 2), np.arange(1, n, 2)
     for t in range(len(TASKS)):
         y = target[:, t]
         sums = np.zeros((n, len(STRENGTHS)))
-        for own in (half, ~half):
-            r = evidence(f[own[doc]], doc[own[doc]], y)
-            other = ~own[doc]
-            for k, least in enumerate(STRENGTHS):
-                sums[:, k] += np.bincount(doc[other], np.where(np.abs(r) >= least, r, 0)[f[other]], minlength=n) / norm
+        for taken, judged in (halves, halves[::-1]):
+            r = evidence(sample, taken, y)
+            for own, f, at in stretches(sample, judged):
+                for k, least in enumerate(STRENGTHS):
+                    sums[own, k] = np.bincount(at, np.where(np.abs(r) >= least, r, 0)[f], minlength=len(own)) / norm[own]
         weight = np.abs(2 * y - 1)  # undecided posteriors teach little
         v = logistic(np.column_stack([sums, style, np.ones(n)]), (y > 0.5).astype(float), weight)
-        r = evidence(f, doc, y)
+        r = evidence(sample, np.arange(n), y)
         out.hashed[t] = sum(v[k] * np.where(np.abs(r) >= least, r, 0) for k, least in enumerate(STRENGTHS))
         out.style[t], out.bias[t] = v[len(STRENGTHS) : -1], v[-1]
     return out

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 STEP = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(STEP, -1, 1 << 64)
 
