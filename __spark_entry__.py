@@ -277,7 +277,7 @@ def node_scatter(spark, sf):
 
 def node_planes(spark, sf):
     front, centers, shape = root_front(prices(spark, sf))
-    planes = sv.components(sv.planes(front, centers, 2, shape["datasets"], shape["dims"]))
+    planes = sv.components(sv.planes(front, centers, 2))
     sized = planes.join(centers.df.select("dataset_id", "node_id", "n"), ["dataset_id", "node_id"])
     spread = sized.withColumn("spread", six(F.col("singular_value") / F.sqrt("n")))
     return long(spread, ["dataset_id", "node_id", "n", "spread", "component"], "v")
@@ -285,7 +285,7 @@ def node_planes(spark, sf):
 
 def svd_topk(spark, sf):
     front, centers, shape = root_front(scaled(spark, sf))
-    wide = sv.planes(front, centers, 5, shape["datasets"], shape["dims"])
+    wide = sv.planes(front, centers, 5)
     return plane_rows(sv.components(sv.first_components(wide, 2)))
 
 
@@ -513,7 +513,7 @@ def frames_superpose(spark, sf):
 def fit_trajectory_files(spark, sf):
     """The batch job from frames to a saved model, read back."""
     path = Workspace(spark, "batch").path
-    fit_trajectories(frames(spark, sf, harmonic), path, d=2, max_depth=1, first_n=40)
+    fit_trajectories(frames(spark, sf, harmonic), path, d=2, max_depth=1)
     return tree_rows(md.load_nodes(spark, path))
 
 

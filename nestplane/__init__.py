@@ -1,6 +1,7 @@
 """Multi-scale planes over large point tables, as Spark jobs."""
 
 from .operators.passes import Limits
+from .plans.batch import fit_trajectories
 from .plans.score import assignments, coords, leaf_of_point, level_error, project_points, reconstruct
 from .plans.tree import fit
 from .sources.model import export_vectors, load_coords, load_nodes, save_model
@@ -13,6 +14,7 @@ __all__ = [
     "coords",
     "export_vectors",
     "fit",
+    "fit_trajectories",
     "leaf_of_point",
     "level_error",
     "load_coords",

@@ -53,8 +53,11 @@ def row_means(a: DataFrame) -> DataFrame:
 
 
 def subtract_row_scalar(a: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Subtract ``scalars (row, amount)`` from every entry of its row."""
-    return a.join(scalars.select("row", "amount"), "row").select("row", V.shift(F.col("x"), F.col("amount")).alias("x"))
+    """Subtract ``scalars (row, amount)`` from every entry of its row; a row without a partner is an error."""
+    both = a.select("row", "x").join(scalars.select("row", "amount"), "row", "full")
+    trouble = F.concat(F.lit("no partner for row "), F.col("row"))
+    x = F.when(F.col("x").isNotNull() & F.col("amount").isNotNull(), V.shift(F.col("x"), F.col("amount")))
+    return both.select("row", x.otherwise(F.raise_error(trouble).cast("array<double>")).alias("x"))
 
 
 def column_means(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -108,6 +111,9 @@ def _tiles(long: DataFrame, tile: int) -> DataFrame:
 def multiply(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
     """Product of two long matrices: ``sum_k a[i, k] b[k, j]``, absent entries counting as zero.
 
+    Every row of ``a`` and column of ``b`` whose tiles meet has its entry, zero or not; NaN and infinite entries
+    spread along their own row or column only.
+
     Tiles meet on the tile of the inner index, each pair is one dense product, and the products are
     added per output tile row.  Shuffled volume is that of the tiles, not of single entries.
     """
@@ -120,12 +126,18 @@ def multiply(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
         return out
 
     def products(batches):
-        acc: dict[tuple[int, int], np.ndarray] = {}
+        acc: dict[tuple[int, int], list] = {}  # product and the rows it has
         for batch in batches:
             ea, eb = batch.column("ea"), batch.column("eb")
             for at, (i, j) in enumerate(zip(batch.column("i").to_pylist(), batch.column("j").to_pylist())):
+                rows, cols = np.zeros(tile, dtype=bool), np.ones(tile, dtype=bool)
+                rows[ea[at].values.field("r").to_numpy()] = True
+                cols[eb[at].values.field("c").to_numpy()] = False
                 part = dense_tile(ea[at].values) @ dense_tile(eb[at].values)
-                acc[i, j] = acc[i, j] + part if (i, j) in acc else part
+                part[:, cols] = 0.0  # padding beyond the matrix, where NaN times zero would stand
+                part[~rows] = 0.0
+                held = acc.setdefault((i, j), [0.0, np.zeros(tile, dtype=bool)])
+                held[0], held[1] = held[0] + part, held[1] | rows
                 if len(acc) >= 256:
                     yield from _tile_rows(acc)
                     acc = {}
@@ -138,12 +150,13 @@ def multiply(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
         .agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
     )
     entries = summed.select((F.col("i") * tile + F.col("r")).alias("row"), "j", F.posexplode("v").alias("c", "value"))
-    return entries.select("row", (F.col("j") * tile + F.col("c")).alias("dim"), "value").where("value != 0")
+    entries = entries.select("row", (F.col("j") * tile + F.col("c")).alias("dim"), "value")
+    return entries.join(b.select("dim").distinct(), "dim", "left_semi").select("row", "dim", "value")
 
 
 def _tile_rows(acc: dict):
-    for (i, j), block in acc.items():
-        used = np.flatnonzero(block.any(axis=1))
+    for (i, j), (block, rows) in acc.items():
+        used = np.flatnonzero(rows)
         if used.size:
             yield batch_of([(i, j, int(r), block[r]) for r in used], TILE_FIELDS)
 
@@ -152,7 +165,7 @@ def multiply_transposed(a: DataFrame, b: DataFrame) -> DataFrame:
     """Long form of ``A^T B`` for two tall matrices in row form.
 
     Rows meet by key and are multiplied where they meet; each task shuffles one D x D sum, whatever
-    the number of rows.
+    the number of rows. A row without a partner is an error.
     """
     fields: Fields = (("row", "bigint"), ("block", "int"), ("v", "array<double>"))
 
@@ -166,7 +179,9 @@ def multiply_transposed(a: DataFrame, b: DataFrame) -> DataFrame:
                 cuts = range(0, len(line), BLOCK)
                 yield batch_of([(i + 1, k, line[at : at + BLOCK]) for k, at in enumerate(cuts)], fields)
 
-    pairs = a.select("row", F.col("x").alias("ax")).join(b.select("row", F.col("x").alias("bx")), "row").select("ax", "bx")
+    both = a.select("row", F.col("x").alias("ax")).join(b.select("row", F.col("x").alias("bx")), "row", "full")
+    alone = F.raise_error(F.concat(F.lit("no partner for row "), F.col("row"))).cast("array<double>")
+    pairs = both.select(F.coalesce("ax", alone).alias("ax"), F.coalesce("bx", alone).alias("bx"))
     summed = pairs.mapInArrow(products, ddl(fields)).groupBy("row", "block").agg(
         vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")
     )

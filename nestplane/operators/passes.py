@@ -67,7 +67,6 @@ class Limits:
     task_bytes: int = 256 << 20  # accumulators of one task before they are emitted
     local_rows: int = 20_000  # a node up to this size is finished in one task
     local_bytes: int = 128 << 20  # ... and up to this many bytes of coordinates
-    gram_dim: int = 512  # widest D for which D x D scatter matrices are summed
 
 
 class NodeTable:

@@ -26,9 +26,10 @@ def node_centers(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def center_points(located: DataFrame, centers: DataFrame) -> DataFrame:
-    """Points of each node minus the node's center."""
-    return located.join(centers.select(*KEYS, "center"), KEYS).select(
-        *KEYS, "point_id", V.subtract(F.col("x"), F.col("center")).alias("x")
+    """Points of each node minus the node's center; a node without one is an error."""
+    alone = F.raise_error(F.concat(F.lit("no center for node "), F.col("node_id"))).cast("array<double>")
+    return located.join(centers.select(*KEYS, "center"), KEYS, "left").select(
+        *KEYS, "point_id", V.subtract(F.col("x"), F.coalesce("center", alone)).alias("x")
     )
 
 

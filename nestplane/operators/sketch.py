@@ -32,19 +32,17 @@ def update(sketch: np.ndarray | None, rows: np.ndarray, k: int) -> np.ndarray:
     return s[:keep, None] * vt[:keep]
 
 
-def _fold(batches, k: int, read, task_bytes: int):
+def _fold(batches, k: int, read):
+    """One sketch per dataset of rows sorted by dataset: each goes out when the next dataset begins."""
     state: dict[str, tuple[int, np.ndarray]] = {}
-    size = 0
     for batch in batches:
         for name, part in by_dataset(batch):
+            done = {d: state.pop(d) for d in list(state) if d != name}
+            if done:
+                yield _sketch_batch(done)
             for n, rows in read(part):
                 seen, sketch = state.get(name, (0, None))
-                if sketch is None:
-                    size += k * rows.shape[1] * 8
                 state[name] = (seen + n, update(sketch, rows, k))
-        if size > task_bytes:
-            yield _sketch_batch(state)
-            state, size = {}, 0
     if state:
         yield _sketch_batch(state)
 
@@ -70,7 +68,7 @@ def sketch_partitions(points: DataFrame, k: int, limits: Limits = Limits()) -> D
     ordered = points.select("dataset_id", "point_id", "x").sortWithinPartitions("dataset_id", "point_id")
     chunk = max(4 * k, 256)
     return ordered.mapInArrow(
-        lambda batches: _fold(batches, k, lambda p: _blocks(p, chunk), limits.task_bytes), ddl(SKETCH_FIELDS)
+        lambda batches: _fold(batches, k, lambda p: _blocks(p, chunk)), ddl(SKETCH_FIELDS)
     )
 
 
@@ -78,11 +76,12 @@ def merge_sketches(sketches: DataFrame, k: int, limits: Limits = Limits(), salts
     """One sketch per dataset.  Partials of one dataset are spread over ``salts`` tasks before the last merge."""
 
     def merged(batches):
-        return _fold(batches, k, _stored, limits.task_bytes)
+        return _fold(batches, k, _stored)
 
     columns = [n for n, _ in SKETCH_FIELDS]
     salted = sketches.withColumn("salt", F.spark_partition_id() % salts)
-    first = salted.repartition("dataset_id", "salt").select(*columns).mapInArrow(merged, ddl(SKETCH_FIELDS))
+    dealt = salted.repartition("dataset_id", "salt").sortWithinPartitions("dataset_id", "n").select(*columns)
+    first = dealt.mapInArrow(merged, ddl(SKETCH_FIELDS))
     last = first.repartition("dataset_id").sortWithinPartitions("dataset_id", "n")
     return last.mapInArrow(merged, ddl(SKETCH_FIELDS))
 

@@ -22,11 +22,11 @@ def fit_trajectories(
     path: str,
     d: int = 10,
     max_depth: int = 8,
-    first_n: int | None = 80_000,
+    first_n: int | None = None,
     align_to: np.ndarray | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """Fit every trajectory, save nodes and coordinates under ``path``, and return the nodes."""
+    """Fit every trajectory (its first ``first_n`` frames, if given), save nodes and coordinates under ``path``, and return the nodes."""
     chosen = frames if first_n is None else first_n_frames(frames, first_n)
     aligned = chosen if align_to is None else superpose(chosen, align_to)
     points = flatten_frames(aligned)

@@ -85,7 +85,7 @@ def fit(
     roots = root_centers(front, shape["datasets"], dims)
     waiting = [roots.where(small)]
     live, rows = settle(roots.where(large), dims, limits, work, "level0-live")
-    top = node_rows(live.df, planes(front, live, d, rows, dims, "level0-planes"))
+    top = node_rows(live.df, planes(front, live, d))
     levels = [pin(top, ROW_FIELDS, level_bytes(rows, dims, d + 1), limits, work, "level0").df]
     splits: list[DataFrame] = []
     live = live.where(lambda row: row["n"] > 1)
@@ -147,7 +147,7 @@ def expand_level(front: Front, live: NodeTable, rows: int, dims: int, what: Sett
     pairs, sides = two_means(front, live, rows, dims, what.steps, tag)
     moved = front.extend(pairs, f"{tag}-moved")
     children = children_of(sides)
-    rows_of = node_rows(children.df, planes(moved, children, what.d, 2 * rows, dims, f"{tag}-planes"))
+    rows_of = node_rows(children.df, planes(moved, children, what.d))
     fitted = pin(rows_of, ROW_FIELDS, level_bytes(2 * rows, dims, what.d + 1), front.limits, work, f"{tag}-fitted").df
     tried = sibling_cosine(fitted).join(pairs.df, KEYS).select(
         *KEYS,

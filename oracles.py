@@ -404,7 +404,7 @@ def statements() -> dict[str, str]:
         "fit_trajectories": query(
             [
                 f"""pts AS (SELECT label::VARCHAR AS dataset_id, vec_id AS point_id, list_concat({HARMONIC}, [0.0::DOUBLE, 0.0::DOUBLE]) AS x
-  FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 40)""",
+  FROM embeddings)""",
                 *tree(1),
             ],
             TREE_ROWS,

@@ -275,3 +275,44 @@ def test_stream_scores_equal_batch_scores(spark, make_points):
     ss.score_stream(stream, nodes, f"{base}/out", f"{base}/progress").awaitTermination()
     key = lambda df: {(r.point_id, r.depth, r.node_id, round(r.coord[0], 9) if r.coord else None) for r in df.collect()}
     assert key(spark.read.parquet(f"{base}/out")) == key(N.project_points(pts, nodes))
+
+
+def long_of(spark, array):
+    entries = [(i, j, float(v)) for i, line in enumerate(array) for j, v in enumerate(line)]
+    return spark.createDataFrame(entries, "row bigint, dim bigint, value double")
+
+
+def test_product_keeps_zeros_and_spreads_nan_by_row(spark):
+    a, b = np.array([[1.0, 0.0], [np.nan, 2.0], [0.0, 0.0]]), np.array([[0.0, 3.0], [4.0, np.inf]])
+    got = {(r.row, r.dim): r.value for r in mx.multiply(long_of(spark, a), long_of(spark, b)).collect()}
+    with np.errstate(invalid="ignore"):
+        want = a @ b
+    assert set(got) == {(i, j) for i in range(3) for j in range(2)}
+    for (i, j), v in got.items():
+        assert v == want[i, j] or (np.isnan(v) and np.isnan(want[i, j]))
+
+
+@pytest.mark.parametrize("gap", [0, 1])
+def test_rows_without_a_partner_raise(spark, gap):
+    a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "row bigint, x array<double>")
+    one = a.where("row = 1")
+    left, right = (a, one) if gap else (one, a)
+    with pytest.raises(Exception, match="no partner for row 2"):
+        mx.multiply_transposed(left, right).collect()
+    with pytest.raises(Exception, match="no partner for row 2"):
+        mx.subtract_row_scalar(left, right.selectExpr("row", "1.0d as amount")).collect()
+
+
+def test_one_sketch_per_dataset_over_many_batches(spark):
+    x = np.random.default_rng(4).standard_normal((600, 8))
+    rows = [(f"d{i % 6}", i, v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "dataset_id string, point_id bigint, x array<double>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        merged = sk.merge_sketches(sk.sketch_partitions(points, 8), 8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.dataset_id, r.n) for r in merged) == [(f"d{i}", 100) for i in range(6)]
+    for r in merged:
+        own = x[int(r.dataset_id[1:]) :: 6]
+        assert np.allclose(np.linalg.norm(np.array(r.rows).reshape(-1, 8), axis=1), np.linalg.svd(own, compute_uv=False))
