@@ -26,7 +26,8 @@ from nestplane.llm.text import parts, prefix_sums, stretch_hash
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Known pre-tokens a worker keeps before it starts afresh.
-KNOWN = 2_000_000
+KNOWN = 600_000
+FIRST_ROOM = 150_000
 #: Contractions that the pattern takes as one pre-token (fixed values).
 CONTRACTED = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,17 +68,17 @@ def encoder(path: str | None = None) -> Encoder:
 class Encoder:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.special = [t["content"] for t in spec["added_tokens"]]
         byte_of = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.forget()
 
-    def forget(self, room: int = KNOWN) -> None:
+    def forget(self, room: int = FIRST_ROOM) -> None:
         self.room, bits = room, (3 * room).bit_length()
         self.shift, self.mask = 64 - bits, (1 << bits) - 1
         self.slots = np.zeros(1 << bits, np.uint64)  # open addressing: hashes, and the entry of each
@@ -184,7 +185,7 @@ class Encoder:
             if self.known + len(fresh) > self.room:
                 fresh, one = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-                self.forget(max(KNOWN, len(fresh)))  # a very long text may need a larger table
+                self.forget(max(min(KNOWN, 4 * self.room), len(fresh)))  # a very long text may need a larger table
             raw, one = data.tobytes(), new[one]
             self.learn(fresh, [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
             out, _ = self.find(h)
@@ -195,6 +196,12 @@ class Encoder:
         step = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
         return self.ids[np.repeat(self.first[which] - step, size) + np.arange(total)]
 
+    def marked(self, text: str) -> list[int]:
+        """Ids of a text that holds a special token's string: that stays one token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
+
     def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """``(row, ids)`` of every text; null counts as empty."""
         for p in parts(column):
@@ -204,7 +211,7 @@ class Encoder:
             for i in range(p.last - p.first):
                 own = raw[p.offsets[i] : p.offsets[i + 1]] if odd else b""
                 if any(s.encode() in own for s in self.special):
-                    yield p.first + i, np.array(self.whole.encode(own.decode("utf-8"), add_special_tokens=False).ids, dtype=np.uint32)
+                    yield p.first + i, np.array(self.marked(own.decode("utf-8")), dtype=np.uint32)
                 else:
                     yield p.first + i, ids[first[i] : first[i + 1]]
 
