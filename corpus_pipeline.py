@@ -13,6 +13,9 @@ from nestplane.llm import decontam, langid, packing, quality, simhash
 from nestplane.sources.shared import Workspace
 from nestplane.sources.ship import ship
 
+#: Row numbers of dropped copies that may be broadcast.
+BROADCAST_ROWS = 4_000_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no learned language explains better than all others together (or without a letter)."""
@@ -34,8 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "dedup")
     whole = space.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = simhash.near_duplicates(whole.select(F.struct("doc_id", "_row").alias("key"), "text"), "key")
-    best = found.where(F.col("key") == F.col("component_id")).select(F.col("key._row").alias("_row"))
-    return whole.join(best, "_row", "left_semi").select(*docs.columns)
+    copies = space.write(found.where(F.col("key") != F.col("component_id")).select(F.col("key._row").alias("_row")), "copies")
+    if copies.count() <= BROADCAST_ROWS:  # 8 bytes each; else texts and row numbers are shuffled
+        copies = F.broadcast(copies)
+    return whole.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
