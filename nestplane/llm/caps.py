@@ -98,46 +98,76 @@ def usable(x):
 
 
 def listed(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """``classes`` of each dimension with the list of filters they exceed."""
+    """``classes`` with ``x`` as unit vectors and the list of filters they exceed."""
     shared = classes.sparkSession.sparkContext.broadcast(codes)  # 2 * k vectors per dimension, k bounded by STEEPEST
     at = classes.columns.index("x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            units: list[np.ndarray] = [np.zeros(0)] * batch.num_rows
             size = np.diff(np.asarray(batch.column(at).offsets))
             for dims in np.unique(size):
                 rows = np.flatnonzero(size == dims)
                 x = matrix(batch.column(at).take(pa.array(rows)))
-                for r, f in zip(rows, shared.value[int(dims)].filters(unit(x / np.abs(x).max(axis=1, keepdims=True))), strict=True):
-                    found[r] = f
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "filters"])
+                x = unit(x / np.abs(x).max(axis=1, keepdims=True))
+                for r, u, f in zip(rows, x, shared.value[int(dims)].filters(x), strict=True):
+                    units[r], found[r] = u, f
+            columns = [*batch.columns[:at], pa.array(units, pa.list_(pa.float64())), *batch.columns[at + 1 :], pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "filters"])
 
     return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("filters", T.ArrayType(T.LongType()))]))
 
 
-def compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, lists: list[np.ndarray], own: int, part: np.ndarray, p: int, q: int, cosine: float):
-    """``(member, links, star)`` of one filter's blocks ``p`` and ``q``: pairs that reach the cosine and share no earlier filter."""
-    a, b = np.flatnonzero(part == p), np.flatnonzero(part == q)
-    hit = x[a] @ x[b].T >= cosine
+class Met:
+    """Rows of many block pairs as numpy arrays; the rows of a pair stand together."""
+
+    def __init__(self, rows: pa.Table):
+        plain = ("rep", "copies", "part", "filter", "p", "q")
+        self.rep, self.copies, self.part, self.filter, self.p, self.q = (rows[c].to_numpy() for c in plain)
+        self.x, self.at = flat(rows["x"])
+        self.filters, self.cuts = flat(rows["filters"])
+
+    def earlier(self, row: int) -> np.ndarray:
+        """Filters of a row before the one it is met in."""
+        own = self.filters[self.cuts[row] : self.cuts[row + 1]]
+        return own[: np.searchsorted(own, self.filter[row])]
+
+
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each list begins."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(), np.concatenate([[0], np.cumsum(whole.value_lengths().to_numpy())])
+
+
+def compare(met: Met, s: int, e: int, cosine: float):
+    """``(member, links, star)`` of the block pair in rows ``s`` to ``e``: pairs that reach the cosine and share no earlier filter."""
+    p, q, part = met.p[s], met.q[s], met.part[s:e]
+    x = met.x[met.at[s] : met.at[e]].reshape(e - s, -1)
     if p == q:
+        a = b = np.arange(e - s)
+        hit = x @ x.T >= cosine
         np.fill_diagonal(hit, False)
+    else:
+        a, b = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        hit = x[a] @ x[b].T >= cosine
+    if not hit.any():
+        return None
     rows, cols = hit.any(axis=1), hit.any(axis=0)
     a, b, hit = a[rows], b[cols], hit[rows][:, cols]
-    if not hit.size:
-        return None
-    before = [f[f < own] for f in lists]
-    every = np.unique(np.concatenate([before[i] for i in [*a, *b]]))
+    before = {i: met.earlier(s + i) for i in {*a.tolist(), *b.tolist()}}
+    every = np.unique(np.concatenate(list(before.values())))
     if len(every):
         def marks(side):
             m = np.zeros((len(side), len(every)), dtype=np.float32)
-            for r, i in enumerate(side):
+            for r, i in enumerate(side.tolist()):
                 m[r, np.searchsorted(every, before[i])] = 1
             return m
 
         hit &= marks(a) @ marks(b).T == 0
     if not hit.any():
         return None
+    ids, copies = met.rep[s:e], met.copies[s:e].astype(np.float64)
     member = np.concatenate([a, b]) if p != q else a
     links = np.concatenate([hit @ copies[b], hit.T @ copies[a]]) if p != q else hit @ copies[b]
     la, lb = ids[a].copy(), ids[b].copy()
@@ -158,15 +188,6 @@ def verified(met: DataFrame, cosine: float) -> DataFrame:
     """Partial results of all block pairs; rows of a pair stand together in their partition."""
     keys = ["label", "dims", "filter", "p", "q"]
 
-    def flush(rows: pa.Table, out: list) -> None:
-        one = rows.slice(0, 1).to_pylist()[0]
-        x = matrix(rows["x"].combine_chunks())
-        x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-        lists = [np.asarray(v) for v in rows["filters"].to_pylist()]
-        got = compare(rows["rep"].to_numpy(), rows["copies"].to_numpy().astype(np.float64), x, [v.astype(np.int64) for v in lists], one["filter"], rows["part"].to_numpy(), one["p"], one["q"], cosine)
-        if got:
-            out.append(got)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         out: list = []
@@ -176,21 +197,27 @@ def verified(met: DataFrame, cosine: float) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["rep", "links", "star"])
 
+        def judge(table: pa.Table, limits: list[int]) -> None:
+            rows = Met(table)
+            for s, e in zip(limits[:-1], limits[1:], strict=True):
+                if e - s > 1 and (got := compare(rows, s, e, cosine)):
+                    out.append(got)
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             changes = np.zeros(held.num_rows, dtype=bool)
             for k in keys:
-                v = held[k].combine_chunks()
-                changes[1:] |= np.asarray(v.slice(1).to_numpy(zero_copy_only=False) != v.slice(0, len(v) - 1).to_numpy(zero_copy_only=False))
+                v = held[k].to_numpy()
+                changes[1:] |= v[1:] != v[:-1]
             limits = [0, *np.flatnonzero(changes).tolist()]
-            for s, e in zip(limits[:-1], limits[1:], strict=True):
-                flush(held.slice(s, e - s), out)
+            if len(limits) > 1:
+                judge(held.slice(0, limits[-1]), limits)
             held = held.slice(limits[-1])
             if out:
                 yield release()
         if held is not None and held.num_rows:
-            flush(held, out)
+            judge(held, [0, held.num_rows])
         if out:
             yield release()
 
