@@ -29,6 +29,7 @@ from nestplane.operators.passes import Limits  # noqa: E402
 from nestplane.plans import score as sc  # noqa: E402
 from nestplane.plans import tree as tr  # noqa: E402
 from nestplane.plans.batch import fit_trajectories  # noqa: E402
+from nestplane.plans.decompose import svd  # noqa: E402
 from nestplane.sources import model as md  # noqa: E402
 from nestplane.sources import points as src  # noqa: E402
 from nestplane.sources.shared import Workspace  # noqa: E402
@@ -362,16 +363,16 @@ def expand_level(spark, sf):
 
 
 def fit_by_dataset(spark, sf):
-    return tree_rows(tr.fit(by_label(spark, sf), 2, 1))
+    return tree_rows(tr.fit(by_label(spark, sf), 2, 1, limits=WIDE))
 
 
 def fit_pruned(spark, sf):
-    return tree_rows(tr.fit(by_label(spark, sf), 2, 2, prune=0.9))
+    return tree_rows(tr.fit(by_label(spark, sf), 2, 2, prune=0.9, limits=WIDE))
 
 
 def fit_coords(spark, sf):
     points = scaled(spark, sf)
-    return coord_rows(sc.coords(points, tr.fit(points, 2, 2)))
+    return coord_rows(sc.coords(points, tr.fit(points, 2, 2, limits=WIDE)))
 
 
 def fit_coords_uncentered(spark, sf):
@@ -517,6 +518,25 @@ def fit_trajectory_files(spark, sf):
     return tree_rows(md.load_nodes(spark, path))
 
 
+def fit_trajectories_aligned(spark, sf):
+    """The same with every frame first turned onto the very first one."""
+    every, path = frames(spark, sf), Workspace(spark, "batch").path
+    fit_trajectories(every, path, d=2, max_depth=1, align_to=fr.reference_frame(every))
+    return tree_rows(md.load_nodes(spark, path))
+
+
+def svd_call(spark, sf):
+    """The one-call SVD of uncentered points: components."""
+    found = svd(by_label(spark, sf), 2).components
+    return plane_rows(found.withColumn("node_id", F.lit(0).cast("bigint")))
+
+
+def svd_call_left(spark, sf):
+    """The one-call SVD of uncentered points: left vectors."""
+    found = svd(by_label(spark, sf), 2, compute_u=True).left
+    return long(found, ["dataset_id", "point_id"], "u").withColumnRenamed("dim", "component")
+
+
 _QUERIES = {
     "points_scan": points_scan,
     "frames_flatten": frames_flatten,
@@ -547,6 +567,8 @@ _QUERIES = {
     "svd_sketch": svd_sketch,
     "svd_by_group": svd_by_group,
     "svd_left": svd_left,
+    "svd_call": svd_call,
+    "svd_call_left": svd_call_left,
     "two_means_centers": two_means_centers,
     "two_means_assign": two_means_assign,
     "two_means_split": two_means_split,
@@ -582,6 +604,7 @@ _QUERIES = {
     "frames_cross_cov": frames_cross_cov,
     "frames_superpose": frames_superpose,
     "fit_trajectories": fit_trajectory_files,
+    "fit_trajectories_aligned": fit_trajectories_aligned,
 }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .passes import BLOCK, Fields, Limits, batch_of, ddl, matrix, segments
+from .passes import BLOCK, Fields, Limits, attach, batch_of, ddl, matrix, segments
 from .planes import node_centers
 
 TILE = 256  # side of the square tiles of a distributed product
@@ -66,9 +66,9 @@ def column_means(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def center_columns(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Subtract the column means of each dataset.  Spark broadcasts the means only if they are small."""
-    means = column_means(points, limits)
-    return points.join(means, "dataset_id").withColumn("x", V.subtract(F.col("x"), F.col("center"))).drop("center")
+    """Subtract the column means of each dataset, in a narrow pass while the means fit a broadcast."""
+    centered = attach(points, column_means(points, limits), ["dataset_id"], limits=limits)
+    return centered.withColumn("x", V.subtract(F.col("x"), F.col("center"))).drop("center")
 
 
 def to_long(a: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ from ..sources.shared import Workspace
 
 KEYS = ["dataset_id", "node_id"]
 BLOCK = 128  # doubles per shuffled row of a partial sum
-FILTER_DATASETS = 500  # up to this many datasets a pass names the ones it needs, so the scan can prune
+FILTER_DATASETS = 500  # up to this many datasets a pass names the ones it needs, beyond it it joins them; either way the scan can prune
+SALTS = 32  # parts of a node's points when they are joined with parameters too large to broadcast
 
 _ARROW = {
     "string": pa.string(),
@@ -270,7 +271,7 @@ def move_joined(located: DataFrame, pairs: DataFrame, keep: bool) -> DataFrame:
 
     Points of other nodes stay where they are with ``keep``, else they are left out.
     """
-    joined = located.join(pairs.select(*KEYS, "left", "right"), KEYS, "left" if keep else "inner")
+    joined = spread_join(located, pairs.select(*KEYS, "left", "right"), KEYS, "left" if keep else "inner")
     schema = arrow_schema(LOCATED_FIELDS)
 
     def run(batches):
@@ -291,6 +292,23 @@ def move_joined(located: DataFrame, pairs: DataFrame, keep: bool) -> DataFrame:
     return joined.mapInArrow(run, ddl(LOCATED_FIELDS))
 
 
+def spread_join(points: DataFrame, nodes: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join points with one row per node, each node's points dealt over ``SALTS`` parts so that none is one task's."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    dealt = points.withColumn("_salt", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(nodes.select("*", salts), [*keys, "_salt"], how).drop("_salt")
+
+
+def attach(points: DataFrame, nodes: DataFrame, keys: list[str], how: str = "inner", limits: Limits = Limits()) -> DataFrame:
+    """Points with the columns of their node: a narrow join while the nodes' measured bytes allow a broadcast."""
+    stored = Workspace(points.sparkSession, "attach").write(nodes, "nodes")
+    lists = [f.name for f in stored.schema if f.dataType.typeName() == "array"]
+    width = F.lit(96) + sum((8 * F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(0))
+    if (stored.agg(F.sum(width)).first()[0] or 0) <= limits.broadcast_bytes:
+        return points.join(F.broadcast(stored), keys, how)
+    return spread_join(points, stored, keys, how)
+
+
 # --- folds -------------------------------------------------------------------------------------
 
 
@@ -329,13 +347,16 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
     points = front.located() if placed or attached else front.points.select("dataset_id", "point_id", "x")
     known, tree = None, None
     if attached:
-        points = points.join(params.df.select(*KEYS, *columns), KEYS)
+        points = spread_join(points, params.df.select(*KEYS, *columns), KEYS)
     else:
         context = points.sparkSession.sparkContext
         if held:
             nodes = arrays_by_node(params.held, columns)
             if len(nodes) <= FILTER_DATASETS:
                 points = points.where(F.col("dataset_id").isin(list(nodes)))
+            else:
+                named = points.sparkSession.createDataFrame([(d,) for d in nodes], "dataset_id string")
+                points = points.join(F.broadcast(named), "dataset_id", "left_semi")  # fewer rows than the held parameters
             known = context.broadcast(nodes)
         if not placed:
             tree = front.tree()
@@ -424,13 +445,11 @@ FAR_FIELDS: Fields = (
     ("node_id", "bigint"),
     ("d2", "double"),
     ("point_id", "bigint"),
-    ("center", "array<double>"),
-    ("x", "array<double>"),
 )
 
 
 class FarFold:
-    """The point of each node farthest from ``center``, smallest id among equals."""
+    """The id of the point of each node farthest from ``center``, smallest id among equals; no vector leaves a task."""
 
     params = ("center",)
     fields = FAR_FIELDS
@@ -438,11 +457,11 @@ class FarFold:
     def add(self, acc, x, ids, params):
         at = dense.farthest(x, ids, params[0])
         d2 = float(dense.comparable(dense.squared_distances(x[at : at + 1], params[0]))[0])
-        found = (d2, int(ids[at]), params[0], x[at].copy())
+        found = (d2, int(ids[at]))
         return found if acc is None or (found[0], -found[1]) > (acc[0], -acc[1]) else acc
 
     def size(self, acc):
-        return 2 * acc[3].nbytes + 64
+        return 64
 
     def emit(self, acc):
         yield acc
@@ -535,7 +554,5 @@ def pin_totals(partials: DataFrame, nbytes: int, front: Front, name: str) -> Nod
 
 def farthest_of(partials: DataFrame) -> DataFrame:
     """Best candidate of each node over all tasks."""
-    best = F.max(F.struct("d2", (-F.col("point_id")).alias("neg_id"), "center", "x")).alias("b")
-    return partials.groupBy(*KEYS).agg(best).select(
-        *KEYS, "b.d2", (-F.col("b.neg_id")).alias("point_id"), "b.center", "b.x"
-    )
+    best = F.max(F.struct("d2", (-F.col("point_id")).alias("neg_id"))).alias("b")
+    return partials.groupBy(*KEYS).agg(best).select(*KEYS, "b.d2", (-F.col("b.neg_id")).alias("point_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import heap
 from ..functions import vectors as V
-from .passes import KEYS, Front, Limits, SumFold, node_pass, node_totals
+from .passes import KEYS, Front, Limits, SumFold, attach, node_pass, node_totals
 from ..sources.shared import Workspace
 
 PRUNE_COSINE = 0.99999  # siblings whose planes agree this closely are dropped
@@ -25,10 +25,10 @@ def node_centers(points: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return sums.select(*KEYS, "n", V.scale(F.col("total"), F.lit(1.0) / F.col("n")).alias("center"))
 
 
-def center_points(located: DataFrame, centers: DataFrame) -> DataFrame:
+def center_points(located: DataFrame, centers: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Points of each node minus the node's center; a node without one is an error."""
     alone = F.raise_error(F.concat(F.lit("no center for node "), F.col("node_id"))).cast("array<double>")
-    return located.join(centers.select(*KEYS, "center"), KEYS, "left").select(
+    return attach(located, centers.select(*KEYS, "center"), KEYS, "left", limits).select(
         *KEYS, "point_id", V.subtract(F.col("x"), F.coalesce("center", alone)).alias("x")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..sources.shared import Workspace
 
+BROADCAST_ROWS = 500_000  # trajectory ids with a frame id that may be broadcast
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row within its partition in the low 33 bits
 
 
@@ -19,7 +20,7 @@ def point_report(points: DataFrame) -> DataFrame:
         F.max(F.size("x")).alias("hi"),
         F.sum(F.col("x").isNull().cast("bigint")).alias("null_rows"),
         F.sum(
-            F.coalesce(F.size(F.filter("x", lambda v: v.isNull() | F.isnan(v))), F.lit(0)).cast("bigint")
+            F.coalesce(F.size(F.filter("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))), F.lit(0)).cast("bigint")
         ).alias("bad_values"),
     )
     report = ids.groupBy("dataset_id").agg(
@@ -50,7 +51,8 @@ def validate_points(points: DataFrame) -> DataFrame:
         & (F.col("repeated_ids") == 0)
     )
     text = F.concat(
-        F.lit("dataset "), F.col("dataset_id"), F.lit(": dims "), F.col("min_dims"), F.lit(" to "), F.col("max_dims"),
+        F.lit("dataset "), F.col("dataset_id"), F.lit(": "),
+        F.when(F.col("min_dims") < F.col("max_dims"), "points differ in dimension, ").otherwise(""), F.lit("dims "), F.col("min_dims"), F.lit(" to "), F.col("max_dims"),
         F.lit(", null rows "), F.col("null_rows"), F.lit(", bad values "), F.col("bad_values"),
         F.lit(", repeated ids "), F.col("repeated_ids"),
     )
@@ -92,8 +94,17 @@ def row_index(
 def first_n_frames(frames: DataFrame, n: int, dense: bool = False) -> DataFrame:
     """The first ``n`` frames of each trajectory in frame order.
 
+    Only keys are sorted: the id of a trajectory's ``n``-th frame then filters the frames, which stay where they are.
     With ``dense`` the frame ids are known to count from 0, and a filter that reaches the scan is enough.
     """
+    if n < 1:
+        return frames.limit(0)
     if dense:
         return frames.where(F.col("frame_id") < n)
-    return row_index(frames, ["frame_id"], ("traj_id",), "_row").where(F.col("_row") <= n).drop("_row")
+    numbered = row_index(frames.select("traj_id", "frame_id"), ["frame_id"], ("traj_id",), "_row")
+    last = numbered.where(F.col("_row") == n).select("traj_id", F.col("frame_id").alias("_last"))
+    last = Workspace(frames.sparkSession, "first").write(last, "last")  # a row per trajectory of n frames or more
+    if last.count() <= BROADCAST_ROWS:
+        last = F.broadcast(last)
+    chosen = frames.join(last, "traj_id", "left").where(F.col("_last").isNull() | (F.col("frame_id") <= F.col("_last")))
+    return chosen.select(*frames.columns)

@@ -28,6 +28,7 @@ from .passes import (
     pin,
     pin_totals,
 )
+from .points import validate_points
 from ..sources.shared import Workspace
 
 STEPS = 10
@@ -54,18 +55,24 @@ def center_rows(row: dict):
 
 
 def seeds(front: Front, centers: NodeTable, nbytes: int, tag: str) -> NodeTable:
-    """Starting pair of every node that has two different points."""
+    """Starting pair of every node that has two different points.
 
-    def far(params: NodeTable, name: str) -> NodeTable:
+    A pass finds each node's farthest id; the vectors of these few ids are then fetched by key.
+    """
+
+    def far(params: NodeTable, name: str) -> DataFrame:
+        """``(dataset_id, node_id, d2, x)`` of each node's farthest point."""
         best = farthest_of(node_pass(front, FarFold(), params))
-        return pin(best, FAR_FIELDS, 2 * nbytes, front.limits, front.work, f"{tag}-{name}")
+        best = pin(best, FAR_FIELDS, nbytes, front.limits, front.work, f"{tag}-{name}")
+        wanted = F.broadcast(best.df) if best.held is not None else best.df
+        points = front.points.select("dataset_id", "point_id", "x")
+        return points.join(wanted, ["dataset_id", "point_id"]).select(*KEYS, "d2", "x")
 
-    first = far(centers, "far0").map(
-        lambda r: [(r["dataset_id"], r["node_id"], 0, r["x"])], CENTER_FIELDS
-    )
-    return far(first, "far1").map(
-        lambda r: [(r["dataset_id"], r["node_id"], r["center"], r["x"])] if r["d2"] > 0 else [], PAIR_FIELDS
-    )
+    start = far(centers, "far0").select(*KEYS, F.lit(0).cast("bigint").alias("n"), F.col("x").alias("center"))
+    first = pin(start, CENTER_FIELDS, nbytes, front.limits, front.work, f"{tag}-seed0")
+    other = far(first, "far1").where("d2 > 0").select(*KEYS, F.col("x").alias("right"))
+    both = first.df.select(*KEYS, F.col("center").alias("left")).join(other, KEYS)
+    return pin(both, PAIR_FIELDS, 2 * nbytes, front.limits, front.work, f"{tag}-seed1")
 
 
 def recenter(front: Front, pairs: NodeTable, nbytes: int, name: str) -> NodeTable:
@@ -122,7 +129,7 @@ def two_means(front: Front, centers: NodeTable, rows: int, dims: int, steps: int
 def split_roots(points: DataFrame, steps: int = STEPS, limits: Limits = Limits()):
     """2-means of each dataset as one node: the points' front, the separating pairs, the resulting sides."""
     front = Front(points, limits, Workspace(points.sparkSession, "split"))
-    shape = size_of(points)
+    shape = checked_size(points)
     centers = root_centers(front, shape["datasets"], shape["dims"])
     return front, *two_means(front, centers, shape["datasets"], shape["dims"], steps)
 
@@ -136,6 +143,14 @@ def size_of(points: DataFrame) -> dict[str, int]:
     return row.asDict()
 
 
+def checked_size(points: DataFrame) -> dict[str, int]:
+    """``size_of`` points that are sound: one width a dataset, finite numbers, no id twice; others raise."""
+    row = validate_points(points).agg(
+        F.count("*").alias("datasets"), F.coalesce(F.max("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("dims"), F.lit(0)).alias("dims")
+    ).first()
+    return row.asDict()
+
+
 def two_means_centers(points: DataFrame, steps: int = STEPS, limits: Limits = Limits()) -> DataFrame:
     """Trained centers: the means after the last recentering, one row per side."""
     _, pairs, _ = split_roots(points, steps, limits)

@@ -22,6 +22,7 @@ from .passes import (
     NodeTable,
     ProbeFold,
     ScatterFold,
+    attach,
     batch_of,
     ddl,
     hold,
@@ -178,7 +179,7 @@ def components(planes_df: DataFrame) -> DataFrame:
 def left_vectors(coords: DataFrame, planes_df: DataFrame) -> DataFrame:
     """Left singular vectors: centered coordinates over singular values, row by row."""
     u = F.zip_with("coord", "singular_values", lambda c, s: c / s)
-    return coords.join(planes_df.select(*KEYS, "singular_values"), KEYS).select(*KEYS, "point_id", u.alias("u"))
+    return attach(coords, planes_df.select(*KEYS, "singular_values"), KEYS).select(*KEYS, "point_id", u.alias("u"))
 
 
 def first_components(planes_df: DataFrame, d: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import dense, heap
 from ..operators.passes import KEYS, Fields, Front, Limits, NodeTable, batch_of, ddl, matrix, pin
 from ..operators.planes import PRUNE_COSINE, keep_split, sibling_cosine
-from ..operators.split import CENTER_FIELDS, STEPS, children_of, level_bytes, root_centers, size_of, two_means
+from ..operators.split import CENTER_FIELDS, STEPS, checked_size, children_of, level_bytes, root_centers, two_means
 from ..operators.svd import planes
 from ..sources.shared import Workspace
 
@@ -69,12 +69,13 @@ def fit(
 ) -> DataFrame:
     """Nodes of the tree of every dataset in ``points (dataset_id, point_id, x)``.
 
-    The result is a written table.  ``split_left`` / ``split_right`` are the centers that separated a
+    The result is a written table.  Points are checked first: uneven widths, numbers that are not finite and
+    repeated ids raise.  ``split_left`` / ``split_right`` are the centers that separated a
     node's points; ``center`` is the mean of the points that ended up in it.
     """
     what = Settings(d, max_depth, prune, steps)
     work = Workspace(points.sparkSession, "fit")
-    shape = size_of(points)
+    shape = checked_size(points)
     dims = shape["dims"]
     front = Front(points, limits, work)
     if local_size(shape["rows"], dims, limits):
@@ -164,7 +165,7 @@ def expand_level(front: Front, live: NodeTable, rows: int, dims: int, what: Sett
 def expand_roots(points: DataFrame, d: int, prune: float = PRUNE_COSINE, steps: int = STEPS, limits: Limits = Limits()):
     """One level under every root: the children kept, as node rows."""
     work = Workspace(points.sparkSession, "expand")
-    shape = size_of(points)
+    shape = checked_size(points)
     front = Front(points, limits, work)
     roots = root_centers(front, shape["datasets"], shape["dims"]).where(lambda row: row["n"] > 1)
     return expand_level(front, roots, roots.count(), shape["dims"], Settings(d, 1, prune, steps), 1).nodes

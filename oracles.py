@@ -338,6 +338,12 @@ def statements() -> dict[str, str]:
         "svd_left": query(
             [SCALED, ROOTS, *planes("r", "roots")],
             f"""SELECT l.dataset_id, l.point_id, p.k AS component, {num("sum(l.v * p.v[l.dim]) / any_value(p.s)")} AS value
+  FROM r_long l JOIN r_planes p USING (dataset_id, node_id) GROUP BY l.dataset_id, l.point_id, p.k""",
+        ),
+        "svd_call": query([*labelled, *planes("r", "roots", centered=False)], f"{PLANE_ROWS} FROM r_planes"),
+        "svd_call_left": query(
+            [*labelled, *planes("r", "roots", centered=False)],
+            f"""SELECT l.dataset_id, l.point_id, p.k AS component, {num("sum(l.v * p.v[l.dim]) / any_value(p.s)")} AS value
   FROM r_long l JOIN r_planes p USING (dataset_id, node_id) GROUP BY l.dataset_id, l.point_id, p.k""",
         ),
         "two_means_centers": query(
@@ -409,6 +415,15 @@ def statements() -> dict[str, str]:
             ],
             TREE_ROWS,
         ),
+        "fit_trajectories_aligned": query(
+            [
+                *rotations(),
+                """pts AS MATERIALIZED (SELECT traj_id AS dataset_id, frame_id AS point_id, list(v ORDER BY pos, axis) AS x
+  FROM turned GROUP BY traj_id, frame_id)""",
+                *tree(1),
+            ],
+            TREE_ROWS,
+        ),
     }
     out["matrix_multiply_transposed"] = out["matrix_multiply"]
     out["matrix_multiply_rows"] = out["matrix_multiply_chain"]

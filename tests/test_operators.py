@@ -316,3 +316,78 @@ def test_one_sketch_per_dataset_over_many_batches(spark):
     for r in merged:
         own = x[int(r.dataset_id[1:]) :: 6]
         assert np.allclose(np.linalg.norm(np.array(r.rows).reshape(-1, 8), axis=1), np.linalg.svd(own, compute_uv=False))
+
+
+# --- sized joins, checks and the batch job
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=0)])
+def test_centering_is_the_same_broadcast_or_spread(spark, make_points, limits):
+    x = data(60, 3)
+    got = {r.point_id: r.x for r in mx.center_columns(make_points(x.tolist()), limits).collect()}
+    assert len(got) == 60
+    np.testing.assert_allclose([got[i] for i in range(60)], x - x.mean(axis=0), atol=1e-12)
+
+
+def test_centering_moves_no_points(spark, make_points):
+    """Without automatic broadcasts the points still stay where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mx.center_columns(make_points(data(20, 3).tolist()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("bad", [[("all", 1, [1.0]), ("all", 1, [2.0])], [[1.0], [float("inf")]], [[1.0], [float("nan")]]])
+def test_unsound_points_stop_a_fit(make_points, bad):
+    with pytest.raises(Exception, match="dataset all"):
+        N.fit(make_points(bad), 1, 1)
+
+
+def test_seed_partials_carry_no_vectors():
+    from nestplane.operators.passes import FarFold
+
+    assert all("array" not in kind for _, kind in FarFold.fields)
+
+
+def test_first_n_sorts_keys_only(spark):
+    frames = spark.range(0, 40).select(
+        (F.col("id") % 2).cast("string").alias("traj_id"), (F.col("id") * 3).alias("frame_id"), F.array(F.array(F.col("id").cast("double"))).alias("atoms")
+    )
+    got = pt.first_n_frames(frames, 7)
+    assert sorted((r.traj_id, r.frame_id) for r in got.collect()) == sorted((str(i % 2), i * 3) for i in range(14))
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert pt.first_n_frames(frames, 100).count() == 40 and pt.first_n_frames(frames, 0).count() == 0
+
+
+def test_batch_job_aligned_and_cut(spark):
+    """Rigid motions of one frame are one point once aligned; only the first frames count."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 3))
+    rows = []
+    for i in range(12):
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        turn[:, 0] *= np.sign(np.linalg.det(turn))
+        moved = base @ turn + rng.normal(size=3) if i < 8 else rng.normal(size=(6, 3))
+        rows.append(("t", i, (base if i == 0 else moved).tolist()))
+    frames = spark.createDataFrame(rows, "traj_id string, frame_id bigint, atoms array<array<double>>")
+    nodes = N.fit_trajectories(frames, Workspace(spark, "aligned").path, d=2, max_depth=0, first_n=8, align_to=base)
+    root = nodes.first()
+    assert root.n == 8
+    np.testing.assert_allclose(np.reshape(root.center, (6, 3)), base, atol=1e-9)
+
+
+@pytest.mark.parametrize("centered", [False, True])
+def test_svd_call(make_points, centered):
+    x = data(50, 4) + 1.0
+    m = x - x.mean(axis=0) if centered else x
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    found = N.svd(make_points(x.tolist()), 3, compute_u=True, centered=centered)
+    top = sorted(found.components.collect(), key=lambda r: r.component)
+    np.testing.assert_allclose([r.singular_value for r in top], s[:3], rtol=1e-9)
+    np.testing.assert_allclose(np.abs(np.sum(np.array([r.v for r in top]) * vt[:3], axis=1)), 1, atol=1e-9)
+    left = np.array([r.u for r in sorted(found.left.collect(), key=lambda r: r.point_id)])
+    np.testing.assert_allclose(np.abs(np.sum(left * u[:, :3], axis=0)), 1, atol=1e-9)
+    assert N.svd(make_points(x.tolist()), 4, tol=0.9999).components.count() == 1
