@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .passes import BLOCK, Fields, Limits, attach, batch_of, ddl, matrix, segments
+from .passes import BLOCK, SALTS, Fields, Limits, attach, batch_of, ddl, matrix, segments
 from .planes import node_centers
+from ..sources.shared import Workspace
 
 TILE = 256  # side of the square tiles of a distributed product
 CHUNK = 4096  # columns per row of a transposed matrix
@@ -143,7 +144,16 @@ def multiply(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
                     acc = {}
         yield from _tile_rows(acc)
 
-    pairs = left.join(right, "k").select("i", "j", "ea", "eb")
+    # few inner tiles (a tall left factor has one) would be few tasks: then outer tiles split the work as well
+    right = Workspace(a.sparkSession, "product").write(right, "right")
+    shape = right.agg(F.count_distinct("k").alias("k"), F.count_distinct("j").alias("j")).first()
+    parts_j = max(1, min(shape["j"], SALTS)) if shape["k"] < SALTS else 1
+    parts_i = -(-SALTS // parts_j) if shape["k"] < SALTS else 1
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumns({"si": own("i", parts_i), "sj": every(parts_j)})
+    right = right.withColumns({"sj": own("j", parts_j), "si": every(parts_i)})
+    pairs = left.join(right, ["k", "si", "sj"]).select("i", "j", "ea", "eb")
     summed = (
         pairs.mapInArrow(products, ddl(TILE_FIELDS))
         .groupBy("i", "j", "r")

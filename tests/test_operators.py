@@ -379,6 +379,14 @@ def test_batch_job_aligned_and_cut(spark):
     np.testing.assert_allclose(np.reshape(root.center, (6, 3)), base, atol=1e-9)
 
 
+def test_tall_product_meets_in_many_parts(spark):
+    """A tall left factor has one inner tile, yet its rows spread over the parts of the outer one."""
+    a, b = data(70, 3), data(3, 9, 1)
+    got = mx.multiply(mx.to_long(rows(spark, a)), mx.to_long(rows(spark, b, 1)), tile=4)
+    np.testing.assert_allclose(dense_of(got, (70, 9)), a @ b, atol=1e-12)
+    assert "si#" in got._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("centered", [False, True])
 def test_svd_call(make_points, centered):
     x = data(50, 4) + 1.0
