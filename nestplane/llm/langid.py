@@ -5,6 +5,10 @@ training documents and frozen. A byte's code length walks from the longest conte
 costs ``-log2(c / (T + D))``; otherwise the escape ``-log2(D / (T + D))`` is paid and the next shorter
 context is asked (method C; T occurrences and D different successors), down to one of 256 bytes. The
 language with the shortest code for the whole text wins.
+
+All counts stay in a written table. Code lengths of the most frequent four-byte strings are broadcast (a
+fixed number of them); a document lists its other strings with their counts, and these are priced by
+joins with the tables of counts. So nothing is cut from the statistics, however large they grow.
 """
 
 from __future__ import annotations
@@ -12,19 +16,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nestplane.llm.text import LOWER, parts
+from nestplane.sources.shared import Workspace
 
 ORDER = 3
-#: Four-byte strings of all languages together in the model; the rarest of each language go if there are more.
-MODEL_GRAMS = 1 << 21
+#: Code lengths (a string's, in one language) that are broadcast; the others are found by joins.
+HEAD = 1 << 22
 #: Four-byte strings a training task holds before it passes them on.
 HELD = 1 << 22
+#: Parts over which the documents that hold one string are dealt when its code lengths are joined to them.
+SALTS = 16
+#: Documents decided by joins whose verdicts may be broadcast (about 50 bytes each).
+BROADCAST_ROWS = 500_000
 UNKNOWN = "und"
 HAS_LETTER = r"\p{L}"
 
@@ -46,7 +55,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[put], lengths
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model_grams: int = MODEL_GRAMS) -> Model | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", head: int = HEAD) -> Model | None:
     """Frozen statistics of all rows with a language and a text; null if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,99 +92,142 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model
         yield from flush()
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    space = Workspace(docs.sparkSession, "langid")
     counts = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.cache()
-    try:
-        langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        most = model_grams // max(1, len(langs))
-        tables = {}
-        for lang in langs:  # at most model_grams rows in all
-            table = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(most).toPandas()
-            tables[lang] = table.sort_values("gram")
-    finally:
-        counts.unpersist()
-    return Model(tables) if tables else None
+    counts = space.write(counts, "counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    return Model(langs, counts, space, head) if langs else None
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(keys, asked)
-    at[at == len(keys)] = 0
-    return at, keys[at] == asked
+def _suffix(k: int) -> Column:
+    """The last ``k + 1`` bytes of a string."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
 
 
 class Model:
-    """Code lengths of bytes by context, one tree a language, kept as sorted arrays by depth."""
-
-    def __init__(self, tables: dict[str, pd.DataFrame]):
-        self.langs = sorted(tables)
-        self.trees = []
-        for lang in self.langs:
-            gram, n = tables[lang]["gram"].to_numpy(np.int64), tables[lang]["n"].to_numpy(np.float64)
-            levels = []
-            for k in range(ORDER, -1, -1):
-                key, back = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-                count = np.bincount(back, n)
-                context, of = np.unique(key >> 8, return_inverse=True)
-                total, distinct = np.bincount(of, count), np.bincount(of)
-                cost = -np.log2(count / (total + distinct)[of])
-                levels.append((key, cost.astype(np.float32), context, (-np.log2(distinct / (total + distinct))).astype(np.float32)))
-            self.trees.append(levels)
-
-    def costs(self, asked: np.ndarray) -> np.ndarray:
-        """Code length in bits of each four-byte string's last byte, a column a language."""
-        out = np.zeros((len(asked), len(self.langs)), dtype=np.float32)
-        for j, levels in enumerate(self.trees):
-            todo, cost = np.arange(len(asked)), np.zeros(len(asked), dtype=np.float32)
-            for k, (key, bits, context, escape) in zip(range(ORDER, -1, -1), levels, strict=True):
-                own = asked[todo] & ((1 << 8 * (k + 1)) - 1)
-                at, seen = _find(key, own)
-                cost[todo[seen]] += bits[at[seen]]
-                todo, own = todo[~seen], own[~seen]
-                at, known = _find(context, own >> 8)
-                cost[todo[known]] += escape[at[known]]
-            cost[todo] += 8
-            out[:, j] = cost
-        return out
-
-
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced).
+    """Code lengths of bytes by context: tables of counts by depth, and those of the head as sorted arrays."""
+
+    def __init__(self, langs: list[str], counts: DataFrame, space: Workspace, head: int):
+        self.langs = langs
+        by_depth = counts.select("lang", "n", F.posexplode(F.array(*[_suffix(k) for k in range(ORDER + 1)])).alias("k", "key"))
+        self.seen = space.write(by_depth.groupBy("k", "lang", "key").agg(F.sum("n").alias("n")), "seen")
+        followed = self.seen.groupBy("k", "lang", F.shiftright("key", 8).alias("context"))
+        self.contexts = space.write(followed.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")), "contexts")
+        self.keys, self.costs = self._head(counts, head // len(langs))
+
+    def resolve(self, asked: DataFrame) -> DataFrame:
+        """``(gram, lang, bits)``: code length of the last byte of every ``gram`` in ``asked``, ``lang`` by its number.
+
+        Contexts and strings of up to two bytes are 65,536 a language at most, so they are broadcast.
+        """
+        out = asked.select("gram", F.posexplode(F.array(*[F.lit(x) for x in self.langs])).alias("number", "lang"))
+        for k in range(ORDER, -1, -1):
+            seen = self.seen.where(F.col("k") == k).select("lang", F.col("key").alias("key"), F.col("n").alias(f"n{k}"))
+            context = self.contexts.where(F.col("k") == k).select("lang", "context", F.col("total").alias(f"t{k}"), F.col("distinct").alias(f"d{k}"))
+            seen, context = (F.broadcast(seen) if k < 2 else seen), (F.broadcast(context) if k < 3 else context)
+            out = out.withColumn("key", _suffix(k)).join(seen, ["lang", "key"], "left")
+            out = out.withColumn("context", F.shiftright("key", 8)).join(context, ["lang", "context"], "left").drop("key", "context")
+        bits = F.lit(8.0)
+        for k in range(ORDER + 1):
+            n, total, distinct = F.col(f"n{k}"), F.col(f"t{k}"), F.col(f"d{k}")
+            found, escaped = -F.log2(n / (total + distinct)), -F.log2(distinct / (total + distinct))
+            bits = F.when(n.isNotNull(), found).when(total.isNotNull(), escaped + bits).otherwise(bits)
+        return out.select("gram", F.col("number").alias("lang"), bits.cast("float").alias("bits"))
+
+    def _head(self, counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``most`` strings, by powers of two of their counts, and their code lengths, a column a language."""
+        grams = counts.groupBy("gram").agg(F.floor(F.log2(F.sum("n"))).alias("power"))
+        sizes = {r["power"]: r["count"] for r in grams.groupBy("power").count().collect()}  # 64 rows at most
+        least, held = 64, 0
+        for power in sorted(sizes, reverse=True):
+            held += sizes[power]
+            if held > most:
+                break
+            least = power
+        table = self.resolve(grams.where(F.col("power") >= least).select("gram")).toArrow()
+        gram, lang = table["gram"].to_numpy(), table["lang"].to_numpy()
+        order = np.lexsort((lang, gram))
+        return gram[order][:: len(self.langs)], table["bits"].to_numpy()[order].reshape(-1, len(self.langs))
+
+
+def _choice(totals: Column) -> tuple[Column, Column]:
+    """Number of the first language with the least total, and its share by two to the minus code length."""
+    least = F.array_min(totals)
+    share = 1 / F.aggregate(totals, F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), F.greatest(least - x, F.lit(-1000.0))))
+    return F.array_position(totals, least).cast("int"), share
+
+
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all, if not given) with ``lang_pred`` and ``score`` (columns of these names are replaced).
 
     The score is the winner's share when languages are weighed by two to the minus code length; 0 for ``und``:
     a null text, one without any letter, or no model. Equal code lengths go to the first language by name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # model_grams numbers at most, whatever the corpus
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at = kept.index(text_col)
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score")]
+    if model is None:
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs))  # HEAD numbers, whatever the corpus
+    langs = model.langs
+    names = [f"c{i}" for i in range(len(kept))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).alias("text"))
+    if text_col in kept:
+        rows, at = rows.drop("text"), kept.index(text_col)
+    else:
+        at = len(kept)
+    pairs = T.ArrayType(T.StructType().add("gram", T.LongType()).add("n", T.LongType()))
+    schema = rows.select(*names).schema.add("letters", T.BooleanType()).add("bits", T.ArrayType(T.DoubleType())).add("rest", pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        keys, costs = shared.value
         for batch in batches:
-            texts = batch.column(at)
-            n = batch.num_rows
-            best, score = np.zeros(n, dtype=np.int64), np.zeros(n)
-            for p in parts(texts) if model else ():
+            texts, n = batch.column(at), batch.num_rows
+            bits, others = np.zeros((n, len(langs))), [(np.zeros(0, np.int64),) * 3]
+            for p in parts(texts):
                 code, lengths = grams(p.data, p.offsets)
                 if not len(code):
                     continue
                 asked = np.sort(code)
                 asked = asked[np.concatenate([[True], asked[1:] != asked[:-1]])]
-                costs, where = model.costs(asked.astype(np.int64)), np.searchsorted(asked, code)
+                where = np.searchsorted(asked, code)
+                asked = asked.astype(np.int64)
+                spot = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+                known = keys[spot] == asked if len(keys) else np.zeros(len(asked), bool)
                 some = np.flatnonzero(lengths)
-                bits = np.zeros((len(lengths), len(model.langs)))
-                for j in range(len(model.langs)):
-                    bits[some, j] = np.add.reduceat(costs[:, j][where], p.offsets[:-1][some], dtype=np.float64)
-                best[p.first : p.last] = bits.argmin(axis=1)
-                least = bits.min(axis=1, keepdims=True)
-                score[p.first : p.last] = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1)
-            letters = pc.fill_null(pc.match_substring_regex(texts, HAS_LETTER), False).to_numpy(zero_copy_only=False) if n else np.zeros(0, bool)
-            letters = letters & (model is not None)
-            names = np.array(model.langs if model else [UNKNOWN], dtype=object)[best]
-            out = [pa.array(np.where(letters, names, UNKNOWN), type=pa.string()), pa.array(np.where(letters, score, 0.0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*kept, "lang_pred", "score"])
-
-    return docs.select(*kept).mapInArrow(run, schema)
+                for j in range(len(langs)):
+                    cost = np.zeros(len(asked))
+                    cost[known] = costs[spot[known], j]
+                    bits[p.first + some, j] = np.add.reduceat(cost[where], p.offsets[:-1][some])
+                left = ~known[where]
+                if left.any():
+                    pair = np.repeat(np.arange(len(lengths)), lengths)[left] * len(asked) + where[left]
+                    pair, times = np.unique(pair, return_counts=True)
+                    others.append((p.first + pair // len(asked), asked[pair % len(asked)], times))
+            doc, gram, times = (np.concatenate(x) for x in zip(*others, strict=True))
+            begins = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+            rest = pa.ListArray.from_arrays(begins, pa.StructArray.from_arrays([pa.array(gram), pa.array(times.astype(np.int64))], names=["gram", "n"]))
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(langs)), pa.array(bits.ravel()))
+            letters = pc.fill_null(pc.match_substring_regex(texts, HAS_LETTER), False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], letters, wide, rest], names=[*names, "letters", "bits", "rest"])
+
+    space = Workspace(docs.sparkSession, "langid")
+    scored = space.write(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    more = scored.where(F.col("letters") & (F.size("rest") > 0)).select("row", F.inline("rest"))
+    priced = model.resolve(more.select("gram").distinct()).groupBy("gram").agg(*[F.max(F.when(F.col("lang") == j, F.col("bits"))).alias(f"b{j}") for j in range(len(langs))])
+    priced = priced.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    more = more.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(priced, ["gram", "salt"])
+    more = more.groupBy("row").agg(*[F.sum(F.col("n") * F.col(f"b{j}").cast("double")).alias(f"b{j}") for j in range(len(langs))])
+    number, share = _choice(F.array(*[F.col("bits")[j] + F.col(f"b{j}") for j in range(len(langs))]))
+    decided = scored.select("row", "bits").join(more, "row").select("row", number.alias("number"), share.alias("share"))
+    decided = space.write(decided, "decided")
+    if decided.count() <= BROADCAST_ROWS:  # else the kept columns are shuffled, evenly
+        decided = F.broadcast(decided)
+    number, share = _choice(F.col("bits"))
+    lang_pred = F.element_at(F.array(*[F.lit(x) for x in langs]), F.coalesce("number", number))
+    return scored.join(decided, "row", "left").select(
+        *[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)],
+        F.when(F.col("letters"), lang_pred).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("letters"), F.coalesce("share", share)).otherwise(0.0).alias("score"),
+    )
 
 
 def rejected(lang_pred="lang_pred", score="score", least: float = 0.5) -> Column:

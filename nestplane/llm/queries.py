@@ -23,7 +23,7 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs.select("doc_id", "text"), model)
+    found = langid.predict(docs, model, columns=["doc_id"])
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 

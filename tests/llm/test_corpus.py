@@ -180,10 +180,30 @@ def test_code_length_by_hand(spark):
             bits[0] -= np.log2(len(c) / total)
         return bits[0] + 8
 
-    for before, b in (("  a", "b"), ("   ", "b"), ("bab", "z"), ("zzz", "a")):
+    cases = [("  a", "b"), ("   ", "b"), ("bab", "z"), ("zzz", "a")]
+    codes = [int.from_bytes((before + b).encode(), "big") for before, b in cases]
+    found = {(r["gram"], model.langs[r["lang"]]): r["bits"] for r in model.resolve(spark.createDataFrame([(c,) for c in codes], "gram bigint")).collect()}
+    for (before, b), code in zip(cases, codes, strict=True):
         bits = [0.0]
-        code = int.from_bytes((before + b).encode(), "big")
-        assert model.costs(np.array([code]))[0, model.langs.index("x")] == pytest.approx(cost(before, b), abs=1e-4)
+        assert found[code, "x"] == pytest.approx(cost(before, b), abs=1e-4)
+    assert model.costs[list(model.keys).index(codes[0]), model.langs.index("x")] == pytest.approx(found[codes[0], "x"])
+
+
+@pytest.mark.parametrize("most", [0, 300])
+def test_language_strings_beyond_the_head(spark, sf, most, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("row", F.lit("x"))
+    few, whole = (langid.train(docs, head=h) for h in (most, langid.HEAD))
+    assert len(few.keys) <= most // len(few.langs) < len(whole.keys)
+    want = {r["doc_id"]: r for r in langid.predict(docs, whole).collect()}
+    for rows in (langid.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(langid, "BROADCAST_ROWS", rows)
+        found = langid.predict(docs, few)
+        assert found.columns == [*docs.columns, "lang_pred", "score"]
+        got = {r["doc_id"]: r for r in found.collect()}
+        assert got.keys() == want.keys()
+        for d, r in got.items():
+            assert r["lang_pred"] == want[d]["lang_pred"] and r["text"] == want[d]["text"]
+            assert r["score"] == pytest.approx(want[d]["score"], abs=1e-3)
 
 
 def test_language_edge_cases(edge, empty):
