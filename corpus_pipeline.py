@@ -13,15 +13,32 @@ from nestplane.llm import decontam, langid, packing, quality, simhash
 from nestplane.sources.shared import Workspace
 from nestplane.sources.ship import ship
 
-#: Row numbers of dropped copies that may be broadcast.
+#: Row numbers of dropped documents that may be broadcast.
 BROADCAST_ROWS = 4_000_000
 
 
+def _numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str, Workspace]:
+    """``docs``, written with a row number, the name of that column and the workspace."""
+    row, space = "_row", Workspace(docs.sparkSession, purpose)
+    while row in docs.columns:
+        row += "_"
+    return space.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row, space
+
+
+def _without(whole: DataFrame, dropped: DataFrame, row: str, space: Workspace) -> DataFrame:
+    """``whole`` without the rows numbered in ``dropped``."""
+    dropped = space.write(dropped, "dropped")
+    if dropped.count() <= BROADCAST_ROWS:  # 8 bytes each; else texts and row numbers are shuffled
+        dropped = F.broadcast(dropped)
+    return whole.join(dropped, row, "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no learned language explains better than all others together (or without a letter)."""
     ship(spark)
-    judged = langid.predict(docs, langid.train(docs))
-    return judged.where(~langid.rejected()).select(*docs.columns)
+    whole, row, space = _numbered(docs, "langid")
+    judged = langid.predict(whole, langid.train(whole), columns=[row])
+    return _without(whole, judged.where(langid.rejected()).select(row), row, space).select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +51,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every SimHash component (one row, if an id repeats; a null id stays)."""
     ship(spark)
-    space = Workspace(spark, "dedup")
-    whole = space.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = simhash.near_duplicates(whole.select(F.struct("doc_id", "_row").alias("key"), "text"), "key")
-    copies = space.write(found.where(F.col("key") != F.col("component_id")).select(F.col("key._row").alias("_row")), "copies")
-    if copies.count() <= BROADCAST_ROWS:  # 8 bytes each; else texts and row numbers are shuffled
-        copies = F.broadcast(copies)
-    return whole.join(copies, "_row", "left_anti").select(*docs.columns)
+    whole, row, space = _numbered(docs, "dedup")
+    found = simhash.near_duplicates(whole.select(F.struct("doc_id", row).alias("key"), "text"), "key")
+    copies = found.where(F.col("key") != F.col("component_id")).select(F.col("key").getField(row).alias(row))
+    return _without(whole, copies, row, space).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
