@@ -1,24 +1,26 @@
 """URL verdicts from rules, and beyond them from a tree of path templates per host.
 
-The tree is grown level by level over the distinct (host, path) pairs. Below a node, a segment stays literal if
-it is frequent there; all others become one wildcard. Literal branches whose labels and continuations do
-not differ significantly from the heaviest branch beside them are merged into it. A template is rejected if the
+The tree is grown level by level over the distinct (host, path) pairs, to the deepest path. Below a node, a
+segment with enough urls for a test stays literal, however small its share of the node; of these, branches whose labels and
+continuations do not differ significantly are merged, each into the heaviest that it is like. Rarer segments become one
+wildcard, except labelled ones whose labels differ significantly from the wildcard's. A template is rejected if the
 smoothed share of blocked urls among its labelled ones is a half or more; urls under a rule are the labels.
 
-Only DataFrame operations; one aggregation chain per level over distinct paths.
+One aggregation chain per level over distinct paths; merging sees a row per node and distinct numbers of a branch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestplane.sources.shared import Workspace
 
-DEPTH = 6  # levels of the tree; what lies deeper is one more segment
-LEAST = 5  # urls that a literal branch needs ...
-SHARE = 0.02  # ... and its least share of its node, so a node has at most 50 literal branches
+LEAST = 5  # urls that a literal branch needs
+TABLES = 16  # tables of finished paths that are kept before they are written as one
 SMOOTH = 5.0  # labelled urls' worth of ...
 PRIOR = 0.25  # ... the blocked share that a template without labels is given
 Z = 1.96  # branches that differ by less, in standard errors, are alike
@@ -42,39 +44,88 @@ def ruled(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
+COUNTS = ("n", "blocked", "labelled", "end", "number", "word")
+
+
+def apart(a, n, b, m):
+    """Whether shares ``a / n`` and ``b / m`` differ significantly; shares of nothing do not tell, so they differ (arrays or numbers)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pool = (a + b) / (n + m)
+        error = np.sqrt(pool * (1 - pool) * (1 / n + 1 / m))
+        return np.where((n == 0) | (m == 0), n != m, np.abs(a / n - b / m) > Z * error + 1e-12)
+
+
+def merged(branches: pa.Table) -> pa.Table:
+    """``name`` of the different kinds of literal branches of one node: the heaviest branch before it that a kind is like, else itself."""
+    c = {k: branches.column(k).to_numpy().astype(np.float64) for k in COUNTS}
+    segs = branches.column("seg").to_pylist()
+    left = np.array(sorted(range(len(segs)), key=lambda i: (c["n"][i], segs[i]), reverse=True))
+    names: list[str] = [""] * len(segs)
+    while len(left):
+        top = left[0]
+        unlike = apart(c["blocked"][left], c["labelled"][left], c["blocked"][top], c["labelled"][top])
+        for k in ("end", "number", "word"):
+            unlike = unlike | apart(c[k][left], c["n"][left], c[k][top], c["n"][top])
+        unlike[0] = False
+        for i in left[~unlike]:
+            names[i] = segs[top]
+        left = left[unlike]
+    return pa.table([*[branches.column(k) for k in ("host", "prefix", *COUNTS)], pa.array(names, pa.string())], names=["host", "prefix", *COUNTS, "name"])
+
+
 def templates(paths: DataFrame, space: Workspace) -> DataFrame:
     """``(host, path, template)`` of ``(host, path, n, blocked, labelled)``; templates are slash-joined segments."""
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
-    deep = F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.array_join(F.slice(segments, DEPTH + 1, 1 << 30), "/")))).otherwise(segments)
-    now = space.write(paths.withColumns({"segments": F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(deep), "prefix": F.lit("")}), "level0")
-    deepest = now.agg(F.max(F.size("segments"))).first()[0] or 0  # DEPTH + 1 at most
-    for d in range(1, deepest + 1):
-        here = now.where(F.size("segments") >= d).withColumn("seg", F.element_at("segments", d))
+    now = space.write(paths.withColumns({"segments": F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments), "prefix": F.lit("")}), "level0")
+    columns, done, d = now.columns, [], 0
+    while True:
+        ended = now.where(F.size("segments") <= d)
+        if d == 0 or ended.head(1):
+            done.append(space.write(ended, f"ended{d}"))
+        d += 1
+        here = now.where(F.size("segments") >= d)
+        if not here.head(1):
+            break
         after = F.when(F.size("segments") == d, "end").when(F.element_at("segments", d + 1).rlike("[0-9]"), "number").otherwise("word")
+        here = here.withColumn("seg", F.element_at("segments", d))
         branch = here.groupBy("host", "prefix", "seg").agg(
             *[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")],
             *[F.sum(F.when(after == k, F.col("n")).otherwise(0)).alias(k) for k in ("end", "number", "word")],
         )
         branch = space.write(branch, f"branches{d}")
-        node = branch.groupBy("host", "prefix").agg(F.sum("n").alias("all"), F.max(F.struct("n", "seg", "blocked", "labelled", "end", "number", "word")).alias("top"))
-        literal = branch.where(F.col("n") >= LEAST).join(node, ["host", "prefix"]).where(F.col("n") >= SHARE * F.col("all"))
-
-        def apart(a: Column, n: Column, b: Column, m: Column) -> Column:
-            """Two shares differ significantly; shares of nothing do not tell, so they differ."""
-            pool = (a + b) / (n + m)
-            error = F.sqrt(pool * (1 - pool) * (1 / n + 1 / m))
-            return F.when((n == 0) | (m == 0), n != m).otherwise(F.abs(a / n - b / m) > Z * error + 1e-12)
-
-        unlike = apart(F.col("blocked"), F.col("labelled"), F.col("top.blocked"), F.col("top.labelled"))
-        for k in ("end", "number", "word"):
-            unlike = unlike | apart(F.col(k), F.col("n"), F.col(f"top.{k}"), F.col("top.n"))
-        named = literal.select("host", "prefix", "seg", F.when(unlike, F.col("seg")).otherwise(F.col("top.seg")).alias("name"))
+        # branches of one node with equal numbers have equal tests, so one of them stands for all
+        kinds = branch.where(F.col("n") >= LEAST).groupBy("host", "prefix", *COUNTS).agg(F.max("seg").alias("seg"))
+        types = branch.select("host", "prefix", *COUNTS).schema.add("name", "string")
+        names = kinds.groupBy("host", "prefix").applyInArrow(merged, types)
+        literal = branch.join(names, ["host", "prefix", *COUNTS]).select("host", "prefix", "seg", "name")
+        rare = branch.where(F.col("n") < LEAST)
+        pool = rare.groupBy("host", "prefix").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"))
+        share = (F.col("blocked") + F.col("b")) / (F.col("labelled") + F.col("m"))
+        error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / F.col("m")))
+        odd = rare.where("labelled > 0").join(pool, ["host", "prefix"]).where(F.abs(F.col("blocked") / F.col("labelled") - F.col("b") / F.col("m")) > Z * error + 1e-12)
+        named = literal.unionByName(odd.select("host", "prefix", "seg", F.col("seg").alias("name")))
         grown = here.join(named, ["host", "prefix", "seg"], "left").withColumn("prefix", F.concat_ws("/", "prefix", F.coalesce("name", F.lit(WILD))))
-        same = [c for c in now.columns]
-        before, now = now, space.write(now.where(F.size("segments") < d).select(*same).unionByName(grown.select(*same)), f"level{d}")
-        space.drop(before)
-        space.drop(branch)
-    return now.select("host", "path", "n", "blocked", "labelled", F.col("prefix").alias("template"))
+        grown = space.write(grown.select(*columns), f"grown{d}")
+        # below a node of fewer urls no branch can be literal: the rest of such paths is wild
+        small = grown.groupBy("host", "prefix").agg(F.sum("n").alias("all")).where(F.col("all") < LEAST).select("host", "prefix", F.lit(True).alias("small"))
+        wild = F.concat("prefix", F.repeat(F.lit("/" + WILD), F.size("segments") - d))
+        marked = grown.join(small, ["host", "prefix"], "left").withColumns({"prefix": F.when(F.col("small"), wild).otherwise(F.col("prefix")), "segments": F.when(F.col("small"), F.slice("segments", 1, d)).otherwise(F.col("segments"))})
+        before, now = now, space.write(marked.select(*columns), f"level{d}")
+        for old in (before, branch, grown):
+            space.drop(old)
+        if len(done) >= TABLES:
+            whole = space.write(_together(done), f"done{d}")
+            for old in done:
+                space.drop(old)
+            done = [whole]
+    return _together(done).select("host", "path", "n", "blocked", "labelled", F.col("prefix").alias("template"))
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:

@@ -536,6 +536,24 @@ def test_url_purity_spreads_to_unlabelled(spark):
     assert got["http://s.net/a/25"] == "block" and got["http://t.net/1"] == "allow"
 
 
+def test_url_small_sections_stay_apart(spark):
+    rules = [("block", "s.net/bad/1"), ("allow", "s.net/fine/1")]
+    rows = [f"http://s.net/big/{k}" for k in range(4000)] + [f"http://s.net/{s}/{k}" for s in ("bad", "fine") for k in range(100, 230) if k < 130 or k >= 200]
+    got = {r["url"]: r for r in urls.judge(spark.createDataFrame([(u,) for u in rows], "url string"), rules).collect()}
+    assert len(got) == len(rows)  # both sections are under 2 % of their host
+    assert got["http://s.net/bad/205"]["verdict"] == "block" and got["http://s.net/fine/205"]["verdict"] == "allow"
+    assert got["http://s.net/big/5"]["verdict"] == "allow"
+
+
+def test_url_tree_reaches_the_deepest_path(spark):
+    deep = "http://s.net/" + "/".join("abcdefgh")
+    rules = [("block", deep[7:] + "/bad/1"), ("allow", deep[7:] + "/fine/1")]
+    rows = [f"{deep}/{s}/{k}" for s in ("bad", "fine") for k in range(100, 230) if k < 130 or k >= 200]
+    got = {r["url"]: r for r in urls.judge(spark.createDataFrame([(u,) for u in rows], "url string"), rules).collect()}
+    assert got[f"{deep}/bad/205"]["verdict"] == "block" and got[f"{deep}/fine/205"]["verdict"] == "allow"
+    assert got[f"{deep}/bad/205"]["template"] == deep[12:] + "/bad/*"
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
