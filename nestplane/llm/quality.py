@@ -264,11 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     ``labels`` (``id_col, quality 0/1, toxic 0/1``) may cover any part of the documents or be absent; several labels
     of one document count by their worst. Vote patterns are counted over all documents; the scorer learns
-    from at most ``sample`` of them, whole.
+    from at most ``sample`` ids, whole, and of a repeated id from its first row.
     """
     spark, insults = docs.sparkSession, list(insults or INSULTS)
     space = Workspace(spark, "quality")
-    votes_of = votes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, insults)
+    # row numbers must be the same in both readings, so they are written
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = space.write(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    votes_of = votes(texts.select(F.struct("id", "row").alias("key"), "text"), "key", "text", insults).select("id.id", "id.row", "votes")
     if labels is not None:
         low, toxic = (1 - F.col("quality")).cast("tinyint"), F.col("toxic").cast("tinyint")
         known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(low).alias("low"), F.max(toxic).alias("toxic"))
@@ -277,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         votes_of = votes_of.withColumns({"low": F.lit(None).cast("tinyint"), "toxic": F.lit(None).cast("tinyint")})
     none = F.lit(-1).cast("tinyint")
     both = F.concat("votes", F.array(F.coalesce("low", none), F.coalesce("toxic", none)))
-    voted = space.write(votes_of.select("id", both.alias("pattern")), "votes")
+    voted = space.write(votes_of.select("id", "row", both.alias("pattern")), "votes")
     counts = voted.groupBy("pattern").count().collect()  # at most 3 ** labellers rows
     if not counts:
         return None
@@ -286,9 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     post = np.stack([weak.posterior(t, patterns) for t in TASKS], axis=1)
     named = spark.createDataFrame([(list(r["pattern"]), p.tolist()) for r, p in zip(counts, post, strict=True)], "pattern array<tinyint>, target array<double>")
     human = F.greatest(F.element_at("pattern", -1), F.element_at("pattern", -2)) >= 0
-    chosen = voted.orderBy(F.desc(human), F.xxhash64("id"), "id").limit(sample).join(F.broadcast(named), "pattern").select("id", "target").dropDuplicates(["id"])
+    single = voted.groupBy("id").agg(F.min(F.struct("row", "pattern")).alias("first")).select("id", "first.*")
+    chosen = single.orderBy(F.desc(human), F.xxhash64("id"), "id").limit(sample).join(F.broadcast(named), "pattern").select("row", "target")
     chosen = space.write(chosen, "chosen")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = texts.join(F.broadcast(chosen), "row")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -358,6 +358,17 @@ def test_quality_edge_cases(spark, edge, empty):
     assert {r["low_score"] for r in quality.scored(edge, None).collect()} == {1.0}
 
 
+def test_quality_sample_holds_every_id_once(spark, monkeypatch):
+    rows = [(i, f"plain words number {i} in a row of some text") for i in range(40)] + [(i, f"other text {k}") for i in (3, 17, 25) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written = {}
+    keep = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.setdefault(name, keep(self, df, name)))
+    labels = spark.createDataFrame([(3, 1, 0), (17, 1, 0), (25, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality.fit(docs, labels, sample=30) is not None
+    assert written["chosen"].count() == written["features"].count() == 30
+
+
 def test_em_finds_good_and_bad_labellers():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.3
