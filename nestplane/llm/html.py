@@ -1,7 +1,8 @@
 """Main-text extraction by composite text density (Sun, Song and Liao, SIGIR 2011).
 
 The page becomes a tree of block elements, without the parts that are never main text (menus, page heads
-and feet, asides, forms, scripts, adverts, notices, reader comments). Each node's density is its characters per
+and feet, asides, form controls, scripts) and without those forms and parts named as adverts, notices or comments
+that are link-heavy or small against the page. Each node's density is its characters per
 tag, lowered for the share of link text against the body's. The node with the greatest sum of child
 densities is taken, then widened upwards while the parent is at least as dense as the body as a whole.
 """
@@ -21,14 +22,25 @@ from pyspark.sql import functions as F
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-DROPPED = RAW | set("head nav header footer aside form button select noscript template svg canvas object audio video menu dialog".split())
+DROPPED = RAW | set("head nav header footer aside button select noscript template svg canvas object audio video menu dialog".split())
+#: Elements that may stand in a page's head (fixed by HTML); the first other start tag ends a head.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements whose names never make them unwanted: what they hold is text of its own or the page.
+TEXTUAL = set("html body article main p h1 h2 h3 h4 h5 h6".split())
+#: A suspect part is cut if this share of its text is link text, ...
+LINKED = 0.5
+#: ... or if its text is at most this share of what the page holds outside parts never wanted.
+MINOR = 0.4
+#: ... or if it has neither paragraph nor heading, and the page an article elsewhere or the part fewer characters than this.
+SPARSE = 200
+PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd".split())
 #: Elements that stay inside the block they stand in.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that end an open paragraph (fixed by HTML).
 ENDS_P = set("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Start tags that end an open element of the group, up to the container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class, id or role that name a part which is not main text.
+#: Words of a class, id or role that make a part suspect of not being main text.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|footer|header|masthead|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|discussion|disqus|replies|widget|pagination|pager|search)(?=$|[\s_-])",
     re.IGNORECASE,
@@ -39,21 +51,61 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)|
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "link", "density", "total", "chars", "tags", "linked", "link_tags")
+    __slots__ = ("name", "parent", "children", "dropped", "suspect", "link", "density", "total", "chars", "tags", "linked", "link_tags")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool = False, link: bool = False):
         self.name, self.parent, self.dropped, self.link = name, parent, dropped, link
+        self.suspect = False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.linked = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def unwanted(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    return any(MARKED.search(a or b or c) for a, b, c in NAMES.findall(attributes)) or bool(HIDDEN.search(attributes))
+    return name in DROPPED or (name not in TEXTUAL and bool(attributes) and bool(HIDDEN.search(attributes)))
+
+
+def suspected(name: str, attributes: str) -> bool:
+    """A form, or a part whose names say that it is not main text; its share of text and links decides."""
+    return name == "form" or (name not in TEXTUAL and bool(attributes) and any(MARKED.search(a or b or c) for a, b, c in NAMES.findall(attributes)))
+
+
+def cut(root: Node) -> None:
+    """Drops the suspect parts that are link-heavy, sparse, or small against the page; outer ones first.
+
+    A suspect part that holds most of the page (a wrapper) or the page's ``article`` or ``main`` stays.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+    if not any(n.suspect for n in order):
+        return
+    sizes: dict[Node, tuple[int, int, bool, bool]] = {}
+    for node in reversed(order):
+        chars = linked = 0
+        holds, told = node.name in ("article", "main"), node.name in PARAGRAPHS
+        for c in node.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                chars, linked = chars + n, linked + n * node.link
+            elif not c.dropped:
+                n, m, h, t = sizes[c]
+                chars, linked, holds, told = chars + n, linked + m, holds or h, told or t
+        sizes[node] = chars, linked, holds and chars > 0, told
+    whole, _, marked, _ = sizes[root]
+    inside: set[Node] = set()  # below an article: a part is a section of the text unless it is link-heavy
+    for node in order:
+        if node.parent is not None and (node.parent.dropped or node.parent in inside):
+            (inside.add(node) if node.parent in inside else None)
+            node.dropped = node.dropped or node.parent.dropped
+        if node.name in ("article", "main"):
+            inside.add(node)
+        if node.suspect and not node.dropped:
+            chars, linked, holds, told = sizes[node]
+            sparse = not told and chars < whole and (marked or chars < SPARSE)
+            node.dropped = linked > LINKED * chars or (not holds and node not in inside and (sparse or chars <= MINOR * whole))
 
 
 def tree(page: str) -> Node:
@@ -65,6 +117,8 @@ def tree(page: str) -> Node:
         m = TAG.search(page, at)
         stop = m.start() if m else size
         if stop > at:
+            if open_.name == "head" and not page[at:stop].isspace():
+                open_ = out_of_head(open_)
             open_.children.append(page[at:stop])
         if not m:
             break
@@ -79,6 +133,8 @@ def tree(page: str) -> Node:
             if node is not None and node.parent is not None:
                 open_ = node.parent
             continue
+        if name == "body" or (name != "html" and name != "head" and name not in HEAD):
+            open_ = out_of_head(open_)
         if name in ("html", "body"):
             continue
         if name in ENDS_P:
@@ -86,15 +142,25 @@ def tree(page: str) -> Node:
         if name in SIBLINGS:
             open_ = closed(open_, *SIBLINGS[name])
         node = Node(name, open_, open_.dropped or unwanted(name, m[3]), open_.link or name == "a")
+        node.suspect = suspected(name, m[3])
         open_.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not m[3].endswith("/"):
             open_ = node
+    cut(root)
     return root
 
 
+def out_of_head(node: Node) -> Node:
+    """Where we stand once an open head (nothing open in it but elements of a head) has ended."""
+    seen: Node | None = node
+    while seen is not None and seen.name in HEAD:
+        seen = seen.parent
+    return seen.parent if seen is not None and seen.name == "head" and seen.parent is not None else node
+
+
 def closed(node: Node, names: set[str], limits: set[str]) -> Node:
     """Where we stand after the nearest open element of ``names`` (this side of ``limits``) has ended."""
     seen: Node | None = node

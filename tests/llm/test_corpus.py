@@ -398,6 +398,21 @@ def test_html_parts():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_names_alone_cut_nothing():
+    text = "<p>" + "Long enough words of an article, told plainly. " * 6 + "</p>"
+    plain = ("Long enough words of an article, told plainly. " * 6).strip()
+    sections = "".join(f"<section id='{i}'><h2 id='{i}-head'>About {i}</h2>{text}</section>" for i in ("side-effects", "related-work", "discussion", "search-results"))
+    lines = [x for i in ("side-effects", "related-work", "discussion", "search-results") for x in (f"About {i}", plain)]
+    assert html.main_text(f"<article>{text}{sections}</article>").split("\n") == [plain, *lines]
+    for wrapper in ("div class='content has-sidebar'", "div class='no-sidebar'", "form action=x"):
+        tag = wrapper.split()[0]
+        assert html.main_text(f"<body><{wrapper}>{text}{text}<input></{tag}>") == f"{plain}\n{plain}"
+    assert html.main_text(f"<html><head><title>T</title><meta charset=x><body>{text}") == plain
+    assert html.main_text(f"<head><title>T</title>{text}") == plain
+    links = "<a href=x>one of many links</a> " * 9
+    assert html.main_text(f"<article>{text}<div class=related>{links}</div></article>") == plain
+
+
 def test_html_query(spark, sf):
     import html as entities
 
