@@ -233,7 +233,7 @@ def matrix_multiply_rows(spark, sf):
 
 def validate_points(spark, sf):
     points = by_label(spark, sf)
-    checked = pt.validate_points(points)
+    checked = pt.validate_points(points).drop("tasks")
     first = pt.first_rows(points).select("dataset_id", "x")
     return long(checked.join(first, "dataset_id"), ["dataset_id", "n", "dims", "first_id"])
 
@@ -268,7 +268,7 @@ def root_front(points: DataFrame):
 
 
 def node_scatter(spark, sf):
-    front, centers, _ = root_front(prices(spark, sf))
+    front, centers, shape = root_front(prices(spark, sf))
     entries = sv.scatter_entries(sv.scatter(front, centers))
     sizes = centers.df.select("dataset_id", "node_id", "n")
     return entries.join(sizes, ["dataset_id", "node_id"]).select(

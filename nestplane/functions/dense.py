@@ -48,12 +48,17 @@ def farthest(x: np.ndarray, ids: np.ndarray, c: np.ndarray) -> int:
     return int(best[np.argmin(ids[best])])
 
 
-def mark(ids: np.ndarray) -> int:
-    """Order-free fingerprint of a set of ids (xor of mixed bits)."""
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """Ids with their bits mixed, one to one."""
     h = ids.astype(np.uint64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h = h ^ (h >> np.uint64(31))
+    return h ^ (h >> np.uint64(31))
+
+
+def mark(ids: np.ndarray) -> int:
+    """Order-free fingerprint of a set of ids (xor of mixed bits)."""
+    h = mixed(ids)
     return int(np.bitwise_xor.reduce(h).astype(np.int64)) if h.size else 0
 
 
@@ -86,6 +91,12 @@ def plane_of_rows(centered: np.ndarray, d: int, tol: float = SCATTER_TOL):
     return top_components(s, vt, d, tol)
 
 
+def plane_of_factor(r: np.ndarray, d: int, tol: float = DIRECT_TOL):
+    """The same from any factor ``r`` with the rows' inner products."""
+    _, s, vt = np.linalg.svd(r, full_matrices=False)
+    return top_components(s, vt, d, tol)
+
+
 def basis_cosine(a: np.ndarray, b: np.ndarray) -> float | None:
     """Signed cosine of two bases; None when either is empty."""
     if len(a) == 0 or len(b) == 0:

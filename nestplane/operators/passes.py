@@ -1,13 +1,16 @@
 """One pass over the points, folding the points of every node against that node's parameters.
 
-The points are never shuffled or rewritten here.  Each task finds the node of a point by walking the
-separating centers chosen so far, adds the point to a per-node accumulator, and emits one partial per
+The points are never shuffled here.  Each task takes the node of a point from the level table (or the root),
+steps on by the separating centers chosen since, adds the point to a per-node accumulator, and emits one partial per
 node; partials are what gets shuffled.  A root that holds every row therefore still costs each task
 one small accumulator.
 
+A level table holds the points of the nodes that are still split, and nothing else.  It is written once a level by
+a narrow pass, one folder per part; a part holds the points of neighbouring nodes, or of one large node.  The
+directory of parts says which of them a pass over some nodes has to read.
+
 Node parameters reach the tasks by broadcast while their size, known from node count and dimension,
-is under ``Limits.broadcast_bytes``.  Above it the located points are written once per level and
-joined with the parameters on the node key instead (AQE splits the heavy keys of that join).
+is under ``Limits.broadcast_bytes``.  Above it they are joined with the located points on the node key instead.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,7 @@ KEYS = ["dataset_id", "node_id"]
 BLOCK = 128  # doubles per shuffled row of a partial sum
 FILTER_DATASETS = 500  # up to this many datasets a pass names the ones it needs, beyond it it joins them; either way the scan can prune
 SALTS = 32  # parts of a node's points when they are joined with parameters too large to broadcast
+JOINED_PARTS = 64  # parts of a level table whose nodes are too many to list on the driver
 
 _ARROW = {
     "string": pa.string(),
@@ -68,6 +72,7 @@ class Limits:
     task_bytes: int = 256 << 20  # accumulators of one task before they are emitted
     local_rows: int = 20_000  # a node up to this size is finished in one task
     local_bytes: int = 128 << 20  # ... and up to this many bytes of coordinates
+    part_bytes: int = 256 << 20  # coordinates of one part of a level table (a larger node is a part of its own)
 
 
 class NodeTable:
@@ -185,9 +190,9 @@ def by_dataset(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
         yield encoded.dictionary[code].as_py(), batch if rows.size == batch.num_rows else batch.take(pa.array(rows))
 
 
-def walk(x: np.ndarray, splits: dict[int, tuple]) -> np.ndarray:
-    """Heap id reached from the root by always stepping to the nearer of two centers."""
-    node = np.zeros(len(x), dtype=np.int64)
+def walk(x: np.ndarray, splits: dict[int, tuple], start: np.ndarray | None = None) -> np.ndarray:
+    """Heap id reached from ``start`` (the root) by always stepping to the nearer of two centers."""
+    node = np.zeros(len(x), dtype=np.int64) if start is None else start.copy()
     moving = np.arange(len(x)) if splits else np.zeros(0, dtype=np.int64)
     while moving.size:
         moved = []
@@ -211,17 +216,23 @@ LOCATED_FIELDS: Fields = (
 )
 
 
+ASIDE = -1  # the part of nodes that wait for the local finish
+PART_FIELDS: Fields = LOCATED_FIELDS + (("part", "int"),)
+
+
 @dataclass(frozen=True)
 class Front:
     """Points together with what is needed to tell the node each of them is in."""
 
-    points: DataFrame  # dataset_id, point_id, x; node_id too once ``placed``
+    points: DataFrame  # dataset_id, point_id, x; node_id too once ``placed``, part in a level table
     limits: Limits
     work: Workspace
     splits: dict[str, dict[int, tuple]] = field(default_factory=dict)
     split_bytes: int = 0
     placed: bool = False
     sent: list = field(default_factory=list)
+    directory: dict[tuple[str, int], int] | None = None  # part of every node of a level table
+    tasks: int = 0  # of a pass, about; 0: not known
 
     def tree(self) -> Broadcast:
         """The separating centers, broadcast once however many passes read them."""
@@ -229,20 +240,48 @@ class Front:
             self.sent.append(self.points.sparkSession.sparkContext.broadcast(self.splits))
         return self.sent[0]
 
+    def gathers(self, nbytes: int) -> bool:
+        """Whether the driver may take the partials of all tasks, ``nbytes`` at most from each, without a shuffle."""
+        return 0 < self.tasks * nbytes <= self.limits.broadcast_bytes
+
+    def release(self) -> None:
+        for b in self.sent:
+            b.destroy()
+        self.sent.clear()
+
+    def of_nodes(self, nodes: dict[str, dict[int, tuple]]) -> DataFrame:
+        """The points, without parts (or datasets) that hold none of ``nodes``."""
+        points = self.points
+        if self.directory is not None:
+            wanted = {self.part_of(d, j) for d, own in nodes.items() for j in own}
+            if not wanted >= set(self.directory.values()):
+                points = points.where(F.col("part").isin(sorted(wanted - {None})))
+        if len(nodes) <= FILTER_DATASETS:
+            return points.where(F.col("dataset_id").isin(list(nodes)))
+        named = points.sparkSession.createDataFrame([(d,) for d in nodes], "dataset_id string")
+        return points.join(F.broadcast(named), "dataset_id", "left_semi")  # fewer rows than the held parameters
+
+    def part_of(self, name: str, node: int) -> int | None:
+        """Part of the node of the level table that ``node`` is, or descends from."""
+        while (name, node) not in self.directory:
+            if node == 0:
+                return None
+            node = (node - 1) // 2
+        return self.directory[name, node]
+
     def located(self) -> DataFrame:
         columns = ["dataset_id", "node_id", "point_id", "x"]
-        if self.placed:
+        if self.placed and not self.splits:
             return self.points.select(*columns)
-        base = self.points.select("dataset_id", "point_id", "x")
+        base = self.points.select("dataset_id", "point_id", "x", *["node_id"] * self.placed)
         if not self.splits:
             return base.withColumn("node_id", F.lit(0).cast("bigint")).select(*columns)
-        known = self.tree()
-        schema = arrow_schema(LOCATED_FIELDS)
+        known, schema, start = self.tree(), arrow_schema(LOCATED_FIELDS), start_of(self.placed)
 
         def locate(batches):
             for batch in batches:
                 for name, part in by_dataset(batch):
-                    node = walk(matrix(part.column("x")), known.value.get(name, {}))
+                    node = walk(matrix(part.column("x")), known.value.get(name, {}), start(part))
                     yield pa.RecordBatch.from_arrays(
                         [part.column("dataset_id"), pa.array(node), part.column("point_id"), part.column("x")],
                         schema=schema,
@@ -252,7 +291,7 @@ class Front:
 
     def extend(self, pairs: NodeTable, name: str) -> Front:
         """Move the points of freshly split nodes to the nearer child."""
-        if pairs.held is not None and not self.placed:
+        if pairs.held is not None:
             grown = self.split_bytes + pairs.held.nbytes
             if grown <= self.limits.broadcast_bytes:
                 merged = {d: dict(m) for d, m in self.splits.items()}
@@ -262,8 +301,76 @@ class Front:
         moved = move_joined(self.located(), pairs.df, keep=True)
         written = self.work.write(moved, name)
         if self.placed:
-            self.work.drop(self.points)  # superseded by the table just written
-        return replace(self, points=written, splits={}, split_bytes=0, placed=True, sent=[])
+            self.work.drop(self.points, keep_part=ASIDE)  # superseded by the table just written
+        return replace(self, points=written, splits={}, split_bytes=0, placed=True, sent=[], directory=None)
+
+    def settle(self, live: NodeTable, aside: NodeTable, dims: int, name: str) -> tuple[Front, DataFrame | None]:
+        """The level table of the ``live`` nodes, and the points of the nodes set ``aside`` (None: there are none).
+
+        Every other point, of a leaf or of a node that was finished, is left behind. The tables of nodes have ``n``.
+        """
+        columns = [n for n, _ in PART_FIELDS]
+        directory = None
+        if live.held is not None and aside.held is not None:
+            directory = pack(live.held, dims, self.limits.part_bytes)
+            put: dict[str, dict[int, int]] = {}
+            for (d, j), part in directory.items():
+                put.setdefault(d, {})[j] = part
+            for row in table_records(aside.held):
+                put.setdefault(row["dataset_id"], {})[row["node_id"]] = ASIDE
+            df = self.dealt(put).select(*columns)
+        else:
+            parts = F.pmod(F.xxhash64(*KEYS), F.lit(JOINED_PARTS)).cast("int")
+            nodes = live.df.select(*KEYS, parts.alias("part")).unionByName(aside.df.select(*KEYS, F.lit(ASIDE).alias("part")))
+            df = spread_join(self.located(), nodes, KEYS).select(*columns)
+        table = self.work.write(df, name, by="part")
+        self.release()
+        if self.placed:
+            self.work.drop(self.points, keep_part=ASIDE)
+        front = replace(
+            self, points=table.where(F.col("part") != ASIDE), splits={}, split_bytes=0, placed=True, sent=[], directory=directory,
+            tasks=self.tasks + len(set(directory.values())) if directory is not None and self.tasks else 0,
+        )
+        self.work.follow(front.points, table)
+        return front, table.where(F.col("part") == ASIDE) if aside.count() else None
+
+    def dealt(self, put: dict[str, dict[int, int]]) -> DataFrame:
+        """The points of the nodes in ``put``, with their node and its part, by one narrow pass."""
+        context, schema, start = self.points.sparkSession.sparkContext, arrow_schema(PART_FIELDS), start_of(self.placed)
+        known, tree = context.broadcast(put), self.tree()
+
+        def deal(batches):
+            for batch in batches:
+                for name, part in by_dataset(batch):
+                    here = known.value.get(name)
+                    if not here:
+                        continue
+                    node = walk(matrix(part.column("x")), tree.value.get(name, {}), start(part))
+                    for j, rows in segments(node):
+                        if j in here:
+                            at = pa.array(rows)
+                            fixed = [pa.array(np.full(len(rows), j)), part.column("point_id").take(at), part.column("x").take(at), pa.array(np.full(len(rows), here[j], np.int32))]
+                            yield pa.RecordBatch.from_arrays([part.column("dataset_id").take(at), *fixed], schema=schema)
+
+        nodes = {d: dict.fromkeys(own, ()) for d, own in put.items()}
+        base = self.of_nodes(nodes).select("dataset_id", "point_id", "x", *["node_id"] * self.placed)
+        return base.mapInArrow(deal, ddl(PART_FIELDS))
+
+
+def start_of(placed: bool):
+    return lambda part: part.column("node_id").to_numpy() if placed else None
+
+
+def pack(nodes: pa.Table, dims: int, part_bytes: int) -> dict[tuple[str, int], int]:
+    """Part of every node: neighbours by dataset and id together, up to ``part_bytes`` of coordinates."""
+    out, part, held = {}, 0, 0
+    for row in table_records(nodes.sort_by([(k, "ascending") for k in KEYS])):
+        size = row["n"] * dims * 8
+        if held and held + size > part_bytes:
+            part, held = part + 1, 0
+        out[row["dataset_id"], row["node_id"]] = part
+        held += size
+    return out
 
 
 def move_joined(located: DataFrame, pairs: DataFrame, keep: bool) -> DataFrame:
@@ -344,22 +451,17 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
     columns, task_bytes, placed = fold.params, front.limits.task_bytes, front.placed
     held = params is not None and params.held is not None
     attached = params is not None and not held
-    points = front.located() if placed or attached else front.points.select("dataset_id", "point_id", "x")
+    wanted = ["dataset_id", "point_id", "x", *["node_id"] * placed]
     known, tree = None, None
     if attached:
-        points = spread_join(points, params.df.select(*KEYS, *columns), KEYS)
+        points = spread_join(front.located(), params.df.select(*KEYS, *columns), KEYS)
     else:
-        context = points.sparkSession.sparkContext
-        if held:
-            nodes = arrays_by_node(params.held, columns)
-            if len(nodes) <= FILTER_DATASETS:
-                points = points.where(F.col("dataset_id").isin(list(nodes)))
-            else:
-                named = points.sparkSession.createDataFrame([(d,) for d in nodes], "dataset_id string")
-                points = points.join(F.broadcast(named), "dataset_id", "left_semi")  # fewer rows than the held parameters
-            known = context.broadcast(nodes)
-        if not placed:
-            tree = front.tree()
+        context = front.points.sparkSession.sparkContext
+        nodes = arrays_by_node(params.held, columns) if held else None
+        points = (front.of_nodes(nodes) if held else front.points).select(*wanted)
+        known = context.broadcast(nodes) if held else None
+        tree = front.tree() if front.splits or not placed else None
+    start = start_of(placed)
 
     def run(batches):
         acc = Accumulators(fold, task_bytes)
@@ -369,10 +471,10 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
                 if known is not None and not here:
                     continue
                 x, ids = matrix(part.column("x")), part.column("point_id").to_numpy()
-                place = walk(x, tree.value.get(name, {})) if tree is not None else part.column("node_id").to_numpy()
+                place = walk(x, tree.value.get(name, {}), start(part)) if tree is not None else part.column("node_id").to_numpy()
                 for node, rows in segments(place):
                     if attached:
-                        given = tuple(np.asarray(part.column(c)[int(rows[0])].as_py(), dtype=np.float64) for c in columns)
+                        given = tuple(as_parameter(part.column(c)[int(rows[0])].as_py()) for c in columns)
                     elif here is None or node in here:
                         given = here[node] if here else ()
                     else:
@@ -385,10 +487,14 @@ def node_pass(front: Front, fold, params: NodeTable | None = None) -> DataFrame:
     return points.mapInArrow(run, ddl(fold.fields))
 
 
+def as_parameter(value):
+    return np.asarray(value, dtype=np.float64) if isinstance(value, list) else value
+
+
 SUM_FIELDS: Fields = (
     ("dataset_id", "string"),
     ("node_id", "bigint"),
-    ("block", "int"),
+    ("block", "bigint"),
     ("n", "bigint"),
     ("mark", "bigint"),
     ("v", "array<double>"),
@@ -445,11 +551,12 @@ FAR_FIELDS: Fields = (
     ("node_id", "bigint"),
     ("d2", "double"),
     ("point_id", "bigint"),
+    ("x", "array<double>"),
 )
 
 
 class FarFold:
-    """The id of the point of each node farthest from ``center``, smallest id among equals; no vector leaves a task."""
+    """The point of each node farthest from ``center``, smallest id among equals: one row a node and task."""
 
     params = ("center",)
     fields = FAR_FIELDS
@@ -457,32 +564,100 @@ class FarFold:
     def add(self, acc, x, ids, params):
         at = dense.farthest(x, ids, params[0])
         d2 = float(dense.comparable(dense.squared_distances(x[at : at + 1], params[0]))[0])
-        found = (d2, int(ids[at]))
+        found = (d2, int(ids[at]), x[at].copy())
         return found if acc is None or (found[0], -found[1]) > (acc[0], -acc[1]) else acc
 
     def size(self, acc):
-        return 64
+        return 96 + acc[2].nbytes
 
     def emit(self, acc):
         yield acc
 
 
+SCATTER_FIELDS: Fields = (
+    ("dataset_id", "string"),
+    ("node_id", "bigint"),
+    ("slot", "int"),
+    ("row", "bigint"),
+    ("block", "int"),
+    ("n", "bigint"),
+    ("v", "array<double>"),
+)
+SLOT_ROWS = 4  # rows, in widths, that a task of the combining step gets
+
+
 class ScatterFold:
-    """Upper triangle of the scatter matrix about ``center``."""
+    """What a node's scatter matrix about ``center`` is made of, in the smaller of two forms.
 
-    params = ("center",)
-    fields = SUM_FIELDS
+    While a task has met fewer than D/2 points of a node, it keeps their centered rows; then it folds them into the upper triangle
+    of the scatter matrix, which is no larger.  ``slot`` -1 marks blocks of the triangle; rows, cut into blocks as well, have their
+    point's id as ``row`` and a slot in which they can meet others of the node.
+    """
+
+    params = ("center", "n")
+    fields = SCATTER_FIELDS
 
     def add(self, acc, x, ids, params):
         c = x - params[0]
-        n, s = (0, 0.0) if acc is None else acc
-        return n + len(x), s + c.T @ c
+        n, rows, own, s, size = (0, [], [], None, int(params[1])) if acc is None else acc
+        rows, own = [*rows, c], [*own, ids]
+        if s is not None or 2 * sum(map(len, rows)) >= x.shape[1]:
+            c = np.concatenate(rows)
+            s, rows, own = (0.0 if s is None else s) + c.T @ c, [], []
+        return n + len(x), rows, own, s, size
 
     def size(self, acc):
-        return acc[1].nbytes
+        return acc[3].nbytes if acc[3] is not None else 4 * acc[1][0].shape[1] ** 2
 
     def emit(self, acc):
-        yield from blocks(acc[0], 0, dense.pack(acc[1]))
+        n, rows, own, s, size = acc
+        if s is not None:
+            for b, n, _, v in blocks(n, 0, dense.pack(s)):
+                yield -1, 0, b, n, v
+            return
+        slots = max(1, size // (SLOT_ROWS * rows[0].shape[1]))
+        for i, line in zip(np.concatenate(own).tolist(), np.concatenate(rows)):
+            for b, n, _, v in blocks(1, 0, line):
+                yield i % slots, i, b, n, v
+
+
+QR_FIELDS: Fields = (
+    ("dataset_id", "string"),
+    ("node_id", "bigint"),
+    ("slot", "int"),
+    ("row", "int"),
+    ("n", "bigint"),
+    ("v", "array<double>"),
+)
+
+
+class QrFold:
+    """The triangular factor of each node's points about ``center``, one row of it a row; ``slot`` is the task."""
+
+    params = ("center",)
+    fields = QR_FIELDS
+
+    def add(self, acc, x, ids, params):
+        return self.fold(acc, x - params[0], len(x))
+
+    def fold(self, acc, c: np.ndarray, n: int):
+        """Keep rows until they are twice as many as columns, then factor them together with what was factored."""
+        seen, held, size = (0, [], 0) if acc is None else acc
+        held, size = [*held, c], size + len(c)
+        if size >= 2 * c.shape[1]:
+            held = [np.linalg.qr(np.concatenate(held), mode="r")]
+            size = len(held[0])
+        return seen + n, held, size
+
+    def size(self, acc):
+        return 16 * acc[1][0].shape[1] ** 2
+
+    def emit(self, acc):
+        n, held, size = acc
+        r = np.concatenate(held)
+        r = np.linalg.qr(r, mode="r") if len(r) > r.shape[1] else r
+        task = TaskContext.get().partitionId()
+        yield from ((task, i, n if i == 0 else 0, line) for i, line in enumerate(r))
 
 
 class ProbeFold:
@@ -538,21 +713,34 @@ def node_totals(partials: DataFrame) -> DataFrame:
 
 
 def pin_totals(partials: DataFrame, nbytes: int, front: Front, name: str) -> NodeTable:
-    """``node_totals`` as a node table.  When it is held anyway, the blocks are put together on arrival."""
+    """``node_totals`` as a node table.
+
+    When it is held anyway, the blocks are put together on arrival; small partials are even added there, in the order of tasks.
+    """
     spark = partials.sparkSession
     if nbytes > front.limits.broadcast_bytes:
         return NodeTable(spark, TOTAL_FIELDS, written=front.work.write(node_totals(partials), name))
-    found: dict[tuple, list] = {}
-    for row in table_records(sum_partials(partials).toArrow()):
-        found.setdefault((row["dataset_id"], row["node_id"]), []).append((row["block"], row["n"], row["mark"], row["v"]))
-    rows = []
-    for key, parts in found.items():
-        parts.sort(key=lambda p: p[0])
-        rows.append((*key, parts[0][1], parts[0][2], np.concatenate([p[3] for p in parts])))
+    found: dict[tuple, dict[int, list]] = {}
+    for row in table_records((partials if front.gathers(nbytes) else sum_partials(partials)).toArrow()):
+        own = found.setdefault((row["dataset_id"], row["node_id"]), {})
+        held = own.setdefault(row["block"], [0, 0, 0.0])
+        own[row["block"]] = [held[0] + row["n"], held[1] ^ row["mark"], held[2] + row["v"]]
+    rows = [(*key, own[0][0], own[0][1], np.concatenate([own[b][2] for b in sorted(own)])) for key, own in found.items()]
     return NodeTable(spark, TOTAL_FIELDS, pa.Table.from_batches([batch_of(rows, TOTAL_FIELDS)]))
 
 
 def farthest_of(partials: DataFrame) -> DataFrame:
     """Best candidate of each node over all tasks."""
-    best = F.max(F.struct("d2", (-F.col("point_id")).alias("neg_id"))).alias("b")
-    return partials.groupBy(*KEYS).agg(best).select(*KEYS, "b.d2", (-F.col("b.neg_id")).alias("point_id"))
+    best = F.max_by(F.struct("d2", "point_id", "x"), F.struct("d2", (-F.col("point_id")).alias("neg_id"))).alias("b")
+    return partials.groupBy(*KEYS).agg(best).select(*KEYS, "b.d2", "b.point_id", "b.x")
+
+
+def farthest_held(table: pa.Table) -> pa.Table:
+    """The same of a few gathered candidates."""
+    best: dict[tuple, dict] = {}
+    for row in table_records(table):
+        key = row["dataset_id"], row["node_id"]
+        if key not in best or (row["d2"], -row["point_id"]) > (best[key]["d2"], -best[key]["point_id"]):
+            best[key] = row
+    rows = [tuple(row[n] for n, _ in FAR_FIELDS) for row in best.values()]
+    return pa.Table.from_batches([batch_of(rows, FAR_FIELDS)])

@@ -2,12 +2,14 @@
 
 Seeds are the point farthest from the node center and the point farthest from that one.  Then each
 step assigns every point to the nearer center and recenters; after ``steps`` of them one last
-assignment decides the sides.  Every step is one pass over the points, whatever the number of nodes.
+assignment decides the sides.  Every step is one pass over the points of the nodes that still change, whatever
+their number.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,13 @@ from .passes import (
     SideFold,
     SumFold,
     arrow_schema,
+    batch_of,
+    farthest_held,
     farthest_of,
     node_pass,
     pin,
     pin_totals,
+    table_records,
 )
 from .points import validate_points
 from ..sources.shared import Workspace
@@ -55,23 +60,21 @@ def center_rows(row: dict):
 
 
 def seeds(front: Front, centers: NodeTable, nbytes: int, tag: str) -> NodeTable:
-    """Starting pair of every node that has two different points.
-
-    A pass finds each node's farthest id; the vectors of these few ids are then fetched by key.
-    """
-
-    def far(params: NodeTable, name: str) -> DataFrame:
-        """``(dataset_id, node_id, d2, x)`` of each node's farthest point."""
-        best = farthest_of(node_pass(front, FarFold(), params))
-        best = pin(best, FAR_FIELDS, nbytes, front.limits, front.work, f"{tag}-{name}")
-        wanted = F.broadcast(best.df) if best.held is not None else best.df
-        points = front.points.select("dataset_id", "point_id", "x")
-        return points.join(wanted, ["dataset_id", "point_id"]).select(*KEYS, "d2", "x")
-
-    start = far(centers, "far0").select(*KEYS, F.lit(0).cast("bigint").alias("n"), F.col("x").alias("center"))
-    first = pin(start, CENTER_FIELDS, nbytes, front.limits, front.work, f"{tag}-seed0")
-    other = far(first, "far1").where("d2 > 0").select(*KEYS, F.col("x").alias("right"))
-    both = first.df.select(*KEYS, F.col("center").alias("left")).join(other, KEYS)
+    """Starting pair of every node that has two different points.  Each is found, with its vector, by one pass."""
+
+    def far(params: NodeTable, name: str) -> NodeTable:
+        partials = node_pass(front, FarFold(), params)
+        if front.gathers(nbytes):
+            return NodeTable(partials.sparkSession, FAR_FIELDS, held=farthest_held(partials.toArrow()))
+        return pin(farthest_of(partials), FAR_FIELDS, nbytes, front.limits, front.work, f"{tag}-{name}")
+
+    first = far(centers, "far0").map(lambda r: [(r["dataset_id"], r["node_id"], 0, r["x"])], CENTER_FIELDS)
+    other = far(first, "far1").map(lambda r: [(r["dataset_id"], r["node_id"], 0, r["x"])] if r["d2"] > 0 else [], CENTER_FIELDS)
+    if first.held is not None and other.held is not None:
+        left = {(r["dataset_id"], r["node_id"]): r["center"] for r in table_records(first.held)}
+        rows = [(r["dataset_id"], r["node_id"], left[r["dataset_id"], r["node_id"]], r["center"]) for r in table_records(other.held)]
+        return NodeTable(first.spark, PAIR_FIELDS, held=pa.Table.from_batches([batch_of(rows, PAIR_FIELDS)]))
+    both = first.df.select(*KEYS, F.col("center").alias("left")).join(other.df.select(*KEYS, F.col("center").alias("right")), KEYS)
     return pin(both, PAIR_FIELDS, 2 * nbytes, front.limits, front.work, f"{tag}-seed1")
 
 
@@ -102,34 +105,53 @@ def children_of(sides: NodeTable) -> NodeTable:
 def same_assignment(a: NodeTable, b: NodeTable) -> bool:
     """Whether two steps put the same points on the left of every node (sizes and fingerprints agree)."""
     columns = [*KEYS, "n_left", "n_right", "mark"]
-    if a.held is not None and b.held is not None:
-        rows = [set(zip(*(t.held.column(c).to_pylist() for c in columns))) for t in (a, b)]
-        return rows[0] == rows[1]
     return a.df.select(*columns).exceptAll(b.df.select(*columns)).isEmpty()
 
 
+def settled(before: NodeTable, after: NodeTable) -> set[tuple[str, int]]:
+    """Nodes whose points stayed on their sides, from two held steps."""
+    columns = [*KEYS, "n_left", "n_right", "mark"]
+    rows = [set(zip(*(t.held.column(c).to_pylist() for c in columns))) for t in (before, after)]
+    return {r[:2] for r in rows[0] & rows[1]}
+
+
 def two_means(front: Front, centers: NodeTable, rows: int, dims: int, steps: int = STEPS, tag: str = "split"):
     """Pairs of centers that separate each node, and the sizes and means of the resulting sides.
 
-    Stops before ``steps`` only when a step left every point of every node where it was.
+    A node whose points all stayed where they were is done; later steps pass over the other nodes only. (Node tables
+    too large to hold go on together until no node changes.)
     """
     nbytes = level_bytes(rows, dims)
     pairs = seeds(front, centers, nbytes, tag)
     if pairs.count() == 0:
         return pairs, NodeTable(pairs.spark, SIDE_FIELDS, held=arrow_schema(SIDE_FIELDS).empty_table())
-    before = None
+    before, done = None, []
     for step in range(steps + 1):
         after = recenter(front, pairs, nbytes, f"{tag}-step{step}")
-        if step == steps or (before is not None and same_assignment(before, after)):
-            return pairs, after
+        if after.held is None or pairs.held is None:
+            if step == steps or (before is not None and same_assignment(before, after)):
+                return pairs, after
+        else:
+            still = settled(before, after) if before is not None and step < steps else set()
+            over = lambda r: step == steps or (r["dataset_id"], r["node_id"]) in still  # noqa: B023,E731
+            if step == steps or still:
+                done.append((pairs.where(over), after.where(over)))
+                after = after.where(lambda r: not over(r))  # noqa: B023
+            if not after.held.num_rows:
+                return joined([p for p, _ in done], PAIR_FIELDS), joined([a for _, a in done], SIDE_FIELDS)
         before = pairs = after
     raise AssertionError("unreachable")
 
 
+def joined(tables: list[NodeTable], fields: Fields) -> NodeTable:
+    names = [n for n, _ in fields]
+    return NodeTable(tables[0].spark, fields, held=pa.concat_tables([t.held.select(names) for t in tables]))
+
+
 def split_roots(points: DataFrame, steps: int = STEPS, limits: Limits = Limits()):
     """2-means of each dataset as one node: the points' front, the separating pairs, the resulting sides."""
-    front = Front(points, limits, Workspace(points.sparkSession, "split"))
     shape = checked_size(points)
+    front = Front(points, limits, Workspace(points.sparkSession, "split"), tasks=shape["tasks"])
     centers = root_centers(front, shape["datasets"], shape["dims"])
     return front, *two_means(front, centers, shape["datasets"], shape["dims"], steps)
 
@@ -144,9 +166,12 @@ def size_of(points: DataFrame) -> dict[str, int]:
 
 
 def checked_size(points: DataFrame) -> dict[str, int]:
-    """``size_of`` points that are sound: one width a dataset, finite numbers, no id twice; others raise."""
+    """``size_of`` points that are sound, with about the ``tasks`` of a pass; ``validate_points`` says what raises."""
     row = validate_points(points).agg(
-        F.count("*").alias("datasets"), F.coalesce(F.max("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("dims"), F.lit(0)).alias("dims")
+        F.count("*").alias("datasets"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.max("dims"), F.lit(0)).alias("dims"),
+        F.coalesce(F.max("tasks"), F.lit(0)).alias("tasks"),
     ).first()
     return row.asDict()
 
@@ -175,19 +200,5 @@ def two_means_assign(points: DataFrame, steps: int = STEPS, limits: Limits = Lim
     return moved.select("dataset_id", "point_id", heap.side(F.col("node_id")).alias("side"))
 
 
-def assign_nearest(points: DataFrame, pairs: DataFrame, pair_rows: int, dims: int, limits: Limits = Limits()) -> DataFrame:
-    """Nearest of two given centers per dataset (``dataset_id, node_id=0, left, right``); left wins a tie."""
-    work = Workspace(points.sparkSession, "assign")
-    front = Front(points, limits, work)
-    table = pin(pairs, PAIR_FIELDS, level_bytes(pair_rows, dims, 2), limits, work, "pairs")
-    moved = front.extend(table, "moved").located()
-    return moved.select("dataset_id", "point_id", heap.side(F.col("node_id")).alias("side"))
-
-
-def select_side(assigned: DataFrame, side: int) -> DataFrame:
-    """Rows of one side, label dropped."""
-    return assigned.where(F.col("side") == side).drop("side")
-
-
 def split_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("dataset_id", "side").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dense
 from ..operators.passes import KEYS, Front, Limits, pin
 from ..operators.split import CENTER_FIELDS, checked_size, level_bytes, root_centers
-from ..operators.svd import PLANE_FIELDS, components, gram_planes, left_vectors
+from ..operators.svd import PLANE_FIELDS, components, gram_planes, left_vectors, qr_planes
 from ..sources.shared import Workspace
 from .score import project_points
 
@@ -33,16 +33,18 @@ def svd(
 ) -> Svd:
     """Top ``k`` singular values and vectors of every dataset of ``points (dataset_id, point_id, x)``.
 
-    Singular values of ``tol`` times the first or less are left out. ``centered`` subtracts the column means first.
+    Singular values of ``tol`` times the first or less are left out; below 1e-7 the decomposition goes by QR factors instead of the
+    scatter matrix, whose eigenvalues are their squares. ``centered`` subtracts the column means first.
     """
     work = Workspace(points.sparkSession, "svd")
     shape = checked_size(points)
-    front = Front(points, limits, work)
+    front = Front(points, limits, work, tasks=shape["tasks"])
     centers = root_centers(front, shape["datasets"], shape["dims"])
     if not centered:
         centers = centers.map(lambda r: [(r["dataset_id"], r["node_id"], r["n"], np.zeros(len(r["center"])))], CENTER_FIELDS)
     nbytes = level_bytes(shape["datasets"], shape["dims"], k + 1)
-    found = pin(gram_planes(front, centers, k, tol), PLANE_FIELDS, nbytes, limits, work, "planes").df
+    planes = qr_planes(front, centers, k, tol) if tol < dense.SCATTER_TOL else gram_planes(front, centers, k, tol)
+    found = pin(planes, PLANE_FIELDS, nbytes, limits, work, "planes").df
     left = None
     if compute_u:
         roots = centers.df.select(*KEYS, "center").join(found, KEYS).withColumn("depth", F.lit(0))

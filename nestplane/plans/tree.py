@@ -1,8 +1,9 @@
 """Fitting the tree of planes.
 
-The driver loops over levels, never over nodes, and sees only node rows within a size bound.  Nodes
-small enough for one task are set aside on the way and finished together at the end, in one grouped
-pass, so an oversized node never holds up or joins that pass.
+The driver loops over levels, never over nodes, and sees only node rows within a size bound.  After a level the
+points of the nodes that are still split are written once, clustered by node, and the next level reads
+these only.  Nodes small enough for one task are set aside on the way, in the same write, and finished
+together at the end, in one grouped pass, so an oversized node never holds up or joins that pass.
 """
 
 from __future__ import annotations
@@ -69,15 +70,15 @@ def fit(
 ) -> DataFrame:
     """Nodes of the tree of every dataset in ``points (dataset_id, point_id, x)``.
 
-    The result is a written table.  Points are checked first: uneven widths, numbers that are not finite and
-    repeated ids raise.  ``split_left`` / ``split_right`` are the centers that separated a
+    The result is a written table.  Points are checked first (``validate_points`` says what raises), the same whatever
+    the limits.  ``split_left`` / ``split_right`` are the centers that separated a
     node's points; ``center`` is the mean of the points that ended up in it.
     """
     what = Settings(d, max_depth, prune, steps)
     work = Workspace(points.sparkSession, "fit")
     shape = checked_size(points)
     dims = shape["dims"]
-    front = Front(points, limits, work)
+    front = Front(points, limits, work, tasks=shape["tasks"])
     if local_size(shape["rows"], dims, limits):
         return work.write(finish_locally(front.located(), what), "nodes")
 
@@ -85,6 +86,7 @@ def fit(
     large = lambda row: not small(row)
     roots = root_centers(front, shape["datasets"], dims)
     waiting = [roots.where(small)]
+    aside = [front.located().join(waiting[0].df.select(*KEYS), KEYS, "left_semi")] if waiting[0].count() else []
     live, rows = settle(roots.where(large), dims, limits, work, "level0-live")
     top = node_rows(live.df, planes(front, live, d))
     levels = [pin(top, ROW_FIELDS, level_bytes(rows, dims, d + 1), limits, work, "level0").df]
@@ -100,9 +102,15 @@ def fit(
         splits.append(step.splits)
         if depth < max_depth:
             opened = pin(step.nodes.where("n > 1"), CENTER_FIELDS, level_bytes(2 * rows, dims), limits, work, f"level{depth}-open")
-            waiting.append(opened.where(small))
+            put_aside = opened.where(small)
             live, rows = settle(opened.where(large), dims, limits, work, f"level{depth}-live")
-    nodes = work.write(assemble(levels, splits, front, waiting, what), "nodes")
+            if rows or put_aside.count():
+                front, left = front.settle(live, put_aside, dims, f"level{depth}-points")
+                if left is not None:
+                    waiting.append(put_aside)
+                    aside.append(left)
+    nodes = work.write(assemble(levels, splits, waiting, aside, what), "nodes")
+    front.release()
     if front.placed:
         work.drop(front.points)
     return nodes
@@ -166,13 +174,13 @@ def expand_roots(points: DataFrame, d: int, prune: float = PRUNE_COSINE, steps:
     """One level under every root: the children kept, as node rows."""
     work = Workspace(points.sparkSession, "expand")
     shape = checked_size(points)
-    front = Front(points, limits, work)
+    front = Front(points, limits, work, tasks=shape["tasks"])
     roots = root_centers(front, shape["datasets"], shape["dims"]).where(lambda row: row["n"] > 1)
     return expand_level(front, roots, roots.count(), shape["dims"], Settings(d, 1, prune, steps), 1).nodes
 
 
-def assemble(levels: list[DataFrame], splits: list[DataFrame], front: Front, waiting: list[NodeTable], what: Settings) -> DataFrame:
-    """All node rows, leaves marked; nodes set aside are finished here and replace their own row."""
+def assemble(levels: list[DataFrame], splits: list[DataFrame], waiting: list[NodeTable], aside: list[DataFrame], what: Settings) -> DataFrame:
+    """All node rows, leaves marked; the points set aside are finished here and their nodes' rows replaced."""
     top = reduce(DataFrame.unionByName, levels)
     if splits:
         tried = reduce(DataFrame.unionByName, splits)
@@ -196,7 +204,7 @@ def assemble(levels: list[DataFrame], splits: list[DataFrame], front: Front, wai
     if not waiting:
         return top.select(*NODE_COLUMNS)
     keys = reduce(DataFrame.unionByName, [w.df.select(*KEYS) for w in waiting])
-    finished = finish_locally(front.located().join(keys, KEYS, "left_semi"), what)
+    finished = finish_locally(reduce(DataFrame.unionByName, [p.select("dataset_id", "node_id", "point_id", "x") for p in aside]), what)
     return top.join(keys, KEYS, "left_anti").select(*NODE_COLUMNS).unionByName(finished)
 
 
