@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -213,7 +212,7 @@ def matrix_multiply(spark, sf):
 
 
 def matrix_multiply_transposed(spark, sf):
-    product = mx.multiply_transposed(a_rows(spark, sf), b_rows(spark, sf))
+    product = mx.multiply_transposed(a_rows(spark, sf), b_rows(spark, sf), block=16, limits=Limits(task_bytes=8 << 10))
     return product.select("row", "dim", six("value").alias("value"))
 
 
@@ -295,6 +294,33 @@ def svd_randomized(spark, sf):
     return plane_rows(sv.components(sv.probe_planes(front, centers, 2, shape["datasets"], shape["dims"], "probe")))
 
 
+def svd_randomized_flat(spark, sf):
+    """Probes where the spectrum is flat: as many as it takes for small residuals."""
+    front, centers, shape = root_front(plain(spark, sf))
+    return plane_rows(sv.components(sv.probe_planes(front, centers, 2, shape["datasets"], shape["dims"], "probe")))
+
+
+def svd_small_values(spark, sf):
+    """Two columns that are parallel up to 1e-8: the second singular value is lost in a scatter matrix."""
+    x = F.col("x")
+    points = src.as_points(embeddings(spark, sf), "vec_id", F.array(x[0], x[0] + x[1] * 1e-8), F.col("label"))
+    found = svd(points, 2, tol=1e-9).components.withColumn("node_id", F.lit(0).cast("bigint"))
+    scaled_ = found.withColumn("singular_value", F.col("singular_value") * F.when(F.col("component") == 2, 1e8).otherwise(1.0))
+    return plane_rows(scaled_)
+
+
+def svd_sketch_bound(spark, sf):
+    """A sketch of 16 of 64 directions: every column's energy, and whether what the sketch has of it keeps to its bounds."""
+    k = 16
+    found = sk.sketch(by_label(spark, sf), k, block_rows=128)
+    energy = V.to_long(by_label(spark, sf), "point_id", "x", ("dataset_id",))
+    whole = energy.groupBy("dataset_id", "dim").agg(F.sum(F.col("value") * F.col("value")).alias("whole"))
+    both = sk.sketch_energy(found).join(whole.withColumn("dim", F.col("dim").cast("int")), ["dataset_id", "dim"])
+    least, slack = F.col("whole") - F.col("energy"), F.lit(1e-9)
+    within = (least >= -slack) & (least <= F.col("shrunk") + slack) & (F.col("shrunk") * (k + 1) <= F.col("slack") + slack)
+    return both.select("dataset_id", "dim", six("whole").alias("energy"), within.alias("within"), (F.col("shrunk") > 0).alias("lossy"))
+
+
 def svd_sketch(spark, sf):
     """Incremental SVD of centered points with room for the full rank, where it must agree with the exact one."""
     centered = mx.center_columns(by_label(spark, sf))
@@ -338,11 +364,13 @@ def node_shapes(spark, sf):
 
 
 def fit_tree(spark, sf):
-    return tree_rows(tr.fit(scaled(spark, sf), 2, 2))
+    """The tree by passes over all points and level tables, whatever its size."""
+    return tree_rows(tr.fit(scaled(spark, sf), 2, 2, limits=WIDE))
 
 
 def fit_tree_levelwise(spark, sf):
-    return tree_rows(tr.fit(scaled(spark, sf), 2, 2, limits=WIDE))
+    """The same with a part of the level tables for every node."""
+    return tree_rows(tr.fit(scaled(spark, sf), 2, 2, limits=Limits(local_rows=0, part_bytes=1)))
 
 
 def fit_tree_joined(spark, sf):
@@ -463,12 +491,23 @@ def model_roundtrip(spark, sf):
     return rows.withColumn("value", six("value"))
 
 
+def in_files(spark, sf, files: int = 4) -> str:
+    """The embeddings dealt over some files, so that a stream of them has several batches."""
+    path = f"{Workspace(spark, 'files').path}/embeddings"
+    spark.read.parquet(f"{sf}/embeddings.parquet").repartition(files, "vec_id").write.parquet(path)
+    return path
+
+
+def arriving(spark, sf, x):
+    stream = spark.readStream.schema(EMBEDDING_SCHEMA).option("maxFilesPerTrigger", 1).parquet(in_files(spark, sf))
+    return src.as_points(stream, "vec_id", x, F.col("label"))
+
+
 def stream_moments(spark, sf):
-    stream = sm.stream_points(spark, f"{sf}/embeddings.parquet", EMBEDDING_SCHEMA)
-    x = harmonic(F.col("embedding").cast("array<double>"))
-    points = src.as_points(stream, "vec_id", x, F.col("label"))
-    path = Workspace(spark, "moments").path
-    sm.run_moments(points, f"{path}/sums", f"{path}/progress", shift=0.01).awaitTermination()
+    """Four batches, folded into a snapshot after the second and the fourth; products by blocks of 16 of 64 columns, a few pairs a pass."""
+    points = arriving(spark, sf, harmonic(F.col("embedding").cast("array<double>")))
+    path, limits = Workspace(spark, "moments").path, Limits(task_bytes=8 << 10)
+    sm.run_moments(points, f"{path}/sums", f"{path}/progress", shift=0.01, limits=limits, block=16, compact_every=2).awaitTermination()
     merged = sm.merged_moments(spark, f"{path}/sums", shift=0.01)
     both = sm.moments_plane(merged, 2).join(merged.select("dataset_id", "n", "center"), "dataset_id")
     spread = F.posexplode(F.arrays_zip("center", "v")).alias("p", "e")
@@ -479,12 +518,10 @@ def stream_moments(spark, sf):
 
 
 def stream_sketch(spark, sf):
-    """Running SVD of uncentered points, with room for the full rank."""
-    stream = sm.stream_points(spark, f"{sf}/embeddings.parquet", EMBEDDING_SCHEMA)
-    x = harmonic(F.col("embedding").cast("array<double>"))
-    points = src.as_points(stream, "vec_id", x, F.col("label"))
+    """Running SVD of uncentered points, with room for the full rank; a snapshot after the third of four batches."""
+    points = arriving(spark, sf, harmonic(F.col("embedding").cast("array<double>")))
     path = Workspace(spark, "sketches").path
-    sks.run_sketches(points, f"{path}/sketches", f"{path}/progress", 64).awaitTermination()
+    sks.run_sketches(points, f"{path}/sketches", f"{path}/progress", 64, compact_every=3).awaitTermination()
     found = sk.sketch_components(sks.merged_sketch(spark, f"{path}/sketches", 64), 2)
     return plane_rows(found.withColumn("node_id", F.lit(0).cast("bigint")))
 
@@ -564,7 +601,10 @@ _QUERIES = {
     "node_planes": node_planes,
     "svd_topk": svd_topk,
     "svd_randomized": svd_randomized,
+    "svd_randomized_flat": svd_randomized_flat,
+    "svd_small_values": svd_small_values,
     "svd_sketch": svd_sketch,
+    "svd_sketch_bound": svd_sketch_bound,
     "svd_by_group": svd_by_group,
     "svd_left": svd_left,
     "svd_call": svd_call,
@@ -621,11 +661,12 @@ def _shipping(query):
 
 
 def _corpus():
-    """The corpus queries, if that subpackage is there."""
-    if importlib.util.find_spec("nestplane.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+    """The corpus queries, if that subpackage can be imported."""
+    try:
+        import corpus_pipeline  # noqa: F401
+        from nestplane.llm import queries as corpus
+    except ImportError:
         return None
-    from nestplane.llm import queries as corpus
-
     return corpus
 
 

@@ -6,6 +6,8 @@ Rows are matched by key, never by position.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -171,32 +173,38 @@ def _tile_rows(acc: dict):
             yield batch_of([(i, j, int(r), block[r]) for r in used], TILE_FIELDS)
 
 
-def multiply_transposed(a: DataFrame, b: DataFrame) -> DataFrame:
+def multiply_transposed(a: DataFrame, b: DataFrame, block: int = BLOCK, limits: Limits = Limits()) -> DataFrame:
     """Long form of ``A^T B`` for two tall matrices in row form.
 
-    Rows meet by key and are multiplied where they meet; each task shuffles one D x D sum, whatever
-    the number of rows. A row without a partner is an error.
+    Rows meet by key and are multiplied where they meet, by pairs of column blocks; a task shuffles its sum of every pair
+    once, whatever the number of rows. Where all pairs outgrow ``task_bytes``, the paired rows are read once for every group of pairs that
+    does not, so no task holds the whole product. A row without a partner is an error.
     """
-    fields: Fields = (("row", "bigint"), ("block", "int"), ("v", "array<double>"))
-
-    def products(batches):
-        acc = 0.0
-        for batch in batches:
-            if batch.num_rows:
-                acc = acc + matrix(batch.column("ax")).T @ matrix(batch.column("bx"))
-        if isinstance(acc, np.ndarray):
-            for i, line in enumerate(acc):
-                cuts = range(0, len(line), BLOCK)
-                yield batch_of([(i + 1, k, line[at : at + BLOCK]) for k, at in enumerate(cuts)], fields)
+    fields: Fields = (("i", "int"), ("j", "int"), ("r", "int"), ("v", "array<double>"))
+    wide = [m.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0] for m in (a, b)]
+    pairs = [(i, j) for i in range(-(-wide[0] // block)) for j in range(-(-wide[1] // block))]
+    groups = max(1, min(len(pairs), -(-wide[0] * wide[1] * 8 // limits.task_bytes)))
+
+    def products(own: list[tuple[int, int]]):
+        def run(batches):
+            acc: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = matrix(batch.column("ax")), matrix(batch.column("bx"))
+                    for i, j in own:
+                        acc[i, j] = acc.get((i, j), 0.0) + x[:, i * block : (i + 1) * block].T @ y[:, j * block : (j + 1) * block]
+            for (i, j), m in acc.items():
+                yield batch_of([(i, j, r, line) for r, line in enumerate(m)], fields)
+
+        return run
 
     both = a.select("row", F.col("x").alias("ax")).join(b.select("row", F.col("x").alias("bx")), "row", "full")
     alone = F.raise_error(F.concat(F.lit("no partner for row "), F.col("row"))).cast("array<double>")
-    pairs = both.select(F.coalesce("ax", alone).alias("ax"), F.coalesce("bx", alone).alias("bx"))
-    summed = pairs.mapInArrow(products, ddl(fields)).groupBy("row", "block").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")
-    )
-    return summed.select("row", "block", F.posexplode("v").alias("p", "value")).select(
-        "row", (F.col("block") * BLOCK + F.col("p") + 1).cast("bigint").alias("dim"), "value"
+    met = both.select(F.coalesce("ax", alone).alias("ax"), F.coalesce("bx", alone).alias("bx"))
+    partials = reduce(DataFrame.unionByName, [met.mapInArrow(products(pairs[g::groups]), ddl(fields)) for g in range(groups)])
+    summed = partials.groupBy("i", "j", "r").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    return summed.select("i", "j", "r", F.posexplode("v").alias("c", "value")).select(
+        (F.col("i").cast("bigint") * block + F.col("r") + 1).alias("row"), (F.col("j").cast("bigint") * block + F.col("c") + 1).alias("dim"), "value"
     )
 
 

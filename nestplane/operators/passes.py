@@ -298,7 +298,7 @@ class Front:
                 for d, m in arrays_by_node(pairs.held, ("left", "right")).items():
                     merged.setdefault(d, {}).update(m)
                 return replace(self, splits=merged, split_bytes=grown, sent=[])
-        moved = move_joined(self.located(), pairs.df, keep=True)
+        moved = move_joined(self.located(), pairs.df)
         written = self.work.write(moved, name)
         if self.placed:
             self.work.drop(self.points, keep_part=ASIDE)  # superseded by the table just written
@@ -373,12 +373,9 @@ def pack(nodes: pa.Table, dims: int, part_bytes: int) -> dict[tuple[str, int], i
     return out
 
 
-def move_joined(located: DataFrame, pairs: DataFrame, keep: bool) -> DataFrame:
-    """Move points of split nodes to the nearer child by joining the pairs on the node key.
-
-    Points of other nodes stay where they are with ``keep``, else they are left out.
-    """
-    joined = spread_join(located, pairs.select(*KEYS, "left", "right"), KEYS, "left" if keep else "inner")
+def move_joined(located: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Move points of split nodes to the nearer child by joining the pairs on the node key; others stay where they are."""
+    joined = spread_join(located, pairs.select(*KEYS, "left", "right"), KEYS, "left")
     schema = arrow_schema(LOCATED_FIELDS)
 
     def run(batches):

@@ -1,109 +1,177 @@
-"""Mergeable rank-k SVD of the points of each dataset, for one pass over data that keeps arriving.
+"""Frequent-directions sketches of the points of each dataset, for one pass over data that keeps arriving.
 
-A sketch is ``diag(s) V^T`` cut to ``k`` rows.  A block of new rows is added by decomposing the stack of
-both, and two sketches merge the same way, so partitions are summarised apart and merged in two
-shuffles: first over salted keys, then over the keys.  Cutting loses variance unless ``k`` reaches the
-rank, so callers ask for ``k`` plus some oversampling and keep the leading components.
+A sketch ``B`` of ``k`` rows stands for the rows ``A`` it has seen.  When a block of rows is stacked below it, the square of
+the ``k+1``-st singular value is taken off all squares, which leaves ``k`` rows (Ghashami, Liberty, Phillips and Woodruff,
+2016).  What was taken off in all, ``shrunk``, bounds the error: for every unit vector ``v``,
+``0 <= |A v|^2 - |B v|^2 <= shrunk <= (|A|^2 - |B|^2) / (k + 1)`` in Frobenius norms.  Nothing is lost while ``k`` reaches the rank.
+
+Rows are dealt to blocks by a hash of their id, taken in the order of ids, and blocks are merged in a fixed tree.  So the
+answer does not depend on how the table is partitioned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dense
-from .passes import Fields, Limits, batch_of, by_dataset, ddl, matrix
+from ..sources.shared import Workspace
+from .passes import Fields, Limits, batch_of, by_dataset, ddl, matrix, records, segments
 
 SKETCH_FIELDS: Fields = (
     ("dataset_id", "string"),
+    ("block", "bigint"),
     ("n", "bigint"),
     ("dims", "int"),
+    ("squares", "double"),
+    ("shrunk", "double"),
     ("rows", "array<double>"),
 )
-SALTS = 64
-
-
-def update(sketch: np.ndarray | None, rows: np.ndarray, k: int) -> np.ndarray:
-    """Fold a block of rows into a sketch and cut to the ``k`` strongest directions."""
-    stack = rows if sketch is None else np.vstack([sketch, rows])
-    _, s, vt = np.linalg.svd(stack, full_matrices=False)
-    keep = min(k, int(np.sum(s > 0)))
-    return s[:keep, None] * vt[:keep]
-
-
-def _fold(batches, k: int, read):
-    """One sketch per dataset of rows sorted by dataset: each goes out when the next dataset begins."""
-    state: dict[str, tuple[int, np.ndarray]] = {}
-    for batch in batches:
-        for name, part in by_dataset(batch):
-            done = {d: state.pop(d) for d in list(state) if d != name}
+BLOCK_ROWS = 1 << 16  # points of a block, about
+MERGED = 16  # sketches merged by one task of a round
+
+
+class Sketch:
+    """One sketch being made: rows wait until ``chunk`` of them are folded in together."""
+
+    def __init__(self, k: int, dims: int):
+        self.k, self.chunk = k, max(4 * k, 256)
+        self.n, self.squares, self.shrunk = 0, 0.0, 0.0
+        self.rows, self.waiting, self.size = np.zeros((0, dims)), [], 0
+
+    def add(self, x: np.ndarray) -> None:
+        """Points, in their order; where a batch ends does not matter."""
+        self.n += len(x)
+        while len(x):
+            part, x = x[: self.chunk - self.size], x[self.chunk - self.size :]
+            self.waiting.append(part)
+            self.size += len(part)
+            if self.size == self.chunk:
+                self.fold()
+
+    def fold(self) -> None:
+        if self.waiting:
+            block = np.concatenate(self.waiting)
+            self.squares += float(np.einsum("ij,ij->", block, block))
+            self.waiting, self.size = [], 0
+            self._shrink(block)
+
+    def merge(self, n: int, squares: float, shrunk: float, rows: np.ndarray) -> None:
+        self.n, self.squares, self.shrunk = self.n + n, self.squares + squares, self.shrunk + shrunk
+        self._shrink(rows)
+
+    def _shrink(self, block: np.ndarray) -> None:
+        _, s, vt = np.linalg.svd(np.vstack([self.rows, block]), full_matrices=False)
+        off = s[self.k] ** 2 if len(s) > self.k else 0.0
+        kept = np.sqrt(np.maximum(s[: self.k] ** 2 - off, 0.0))
+        some = kept > 0
+        self.shrunk += off
+        self.rows = kept[some, None] * vt[: self.k][some]
+
+    def row(self, name: str, block: int) -> tuple:
+        self.fold()
+        return name, block, self.n, self.rows.shape[1], self.squares, self.shrunk, self.rows.ravel()
+
+
+def sketch_blocks(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One sketch per dataset and block; a dataset of ``n`` points has ``ceil(n / block_rows)`` of them."""
+    sizes = points.groupBy("dataset_id").agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
+    sizes = Workspace(points.sparkSession, "sketch").write(sizes, "sizes")
+    large = sizes.where("_blocks > 1")  # at most the points / block_rows
+    named = points.select("dataset_id", "point_id", "x").join(F.broadcast(large) if large.count() < 500_000 else large, "dataset_id", "left")
+    block = F.pmod(F.xxhash64("point_id"), F.coalesce("_blocks", F.lit(1)))
+    dealt = named.withColumn("block", block).drop("_blocks").repartition("dataset_id", "block").sortWithinPartitions("dataset_id", "block", "point_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            done = []
+            for name, part in by_dataset(batch):
+                for block, rows in segments(part.column("block").to_numpy()):
+                    x = matrix(part.column("x"))[rows]
+                    if (name, block) != at:
+                        done += [held.row(*at)] if held else []
+                        at, held = (name, block), Sketch(k, x.shape[1])
+                    held.add(x)
             if done:
-                yield _sketch_batch(done)
-            for n, rows in read(part):
-                seen, sketch = state.get(name, (0, None))
-                state[name] = (seen + n, update(sketch, rows, k))
-    if state:
-        yield _sketch_batch(state)
-
-
-def _sketch_batch(state):
-    return batch_of([(d, n, b.shape[1], b.ravel()) for d, (n, b) in state.items()], SKETCH_FIELDS)
-
-
-def _blocks(part, chunk: int):
-    x = matrix(part.column("x"))
-    for start in range(0, len(x), chunk):
-        rows = x[start : start + chunk]
-        yield len(rows), rows
+                yield batch_of(done, SKETCH_FIELDS)
+        if held:
+            yield batch_of([held.row(*at)], SKETCH_FIELDS)
 
+    return dealt.mapInArrow(run, ddl(SKETCH_FIELDS))
 
-def _stored(part):
-    for n, dims, flat in zip(*(part.column(c).to_pylist() for c in ("n", "dims", "rows"))):
-        yield n, np.asarray(flat, dtype=np.float64).reshape(-1, dims)
 
+def merge_sketches(sketches: DataFrame, k: int) -> DataFrame:
+    """One sketch per dataset.  Each round merges ``MERGED`` neighbouring blocks, in their order."""
 
-def sketch_partitions(points: DataFrame, k: int, limits: Limits = Limits()) -> DataFrame:
-    """One sketch per dataset and partition, rows taken in ``point_id`` order."""
-    ordered = points.select("dataset_id", "point_id", "x").sortWithinPartitions("dataset_id", "point_id")
-    chunk = max(4 * k, 256)
-    return ordered.mapInArrow(
-        lambda batches: _fold(batches, k, lambda p: _blocks(p, chunk)), ddl(SKETCH_FIELDS)
-    )
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            done = []
+            for key, rows in groupby(records(batch), key=lambda r: (r["dataset_id"], r["into"])):
+                for r in rows:
+                    if key != at:
+                        done += [held.row(*at)] if held else []
+                        at, held = key, Sketch(k, r["dims"])
+                    held.merge(r["n"], r["squares"], r["shrunk"], np.asarray(r["rows"]).reshape(-1, r["dims"]))
+            if done:
+                yield batch_of(done, SKETCH_FIELDS)
+        if held:
+            yield batch_of([held.row(*at)], SKETCH_FIELDS)
 
-def merge_sketches(sketches: DataFrame, k: int, limits: Limits = Limits(), salts: int = SALTS) -> DataFrame:
-    """One sketch per dataset.  Partials of one dataset are spread over ``salts`` tasks before the last merge."""
+    last = sketches.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    while True:
+        last //= MERGED
+        into = F.expr(f"block div {MERGED}") if last else F.lit(0).cast("bigint")
+        dealt = sketches.withColumn("into", into).repartition("dataset_id", "into").sortWithinPartitions("dataset_id", "into", "block")
+        sketches = dealt.mapInArrow(run, ddl(SKETCH_FIELDS))
+        if not last:
+            return sketches
 
-    def merged(batches):
-        return _fold(batches, k, _stored)
 
-    columns = [n for n, _ in SKETCH_FIELDS]
-    salted = sketches.withColumn("salt", F.spark_partition_id() % salts)
-    dealt = salted.repartition("dataset_id", "salt").sortWithinPartitions("dataset_id", "n").select(*columns)
-    first = dealt.mapInArrow(merged, ddl(SKETCH_FIELDS))
-    last = first.repartition("dataset_id").sortWithinPartitions("dataset_id", "n")
-    return last.mapInArrow(merged, ddl(SKETCH_FIELDS))
+def sketch(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One sketch of at most ``k`` rows per dataset, ``SKETCH_FIELDS``."""
+    blocks = Workspace(points.sparkSession, "sketch").write(sketch_blocks(points, k, block_rows), "blocks")
+    return merge_sketches(blocks, k)
 
 
 def svd_sketch(points: DataFrame, k: int, oversample: int = 10, limits: Limits = Limits()) -> DataFrame:
-    """Incremental SVD: the ``k`` leading ``(component, singular_value, v)`` of each dataset's rows."""
-    wide = k + oversample
-    final = merge_sketches(sketch_partitions(points, wide, limits), wide, limits)
-    return sketch_components(final, k)
+    """Incremental SVD: the ``k`` leading ``(component, singular_value, v)`` of each dataset's rows, from a sketch of ``k + oversample``."""
+    return sketch_components(sketch(points, k + oversample), k)
 
 
 def sketch_components(sketches: DataFrame, k: int) -> DataFrame:
     fields: Fields = (("dataset_id", "string"), ("component", "int"), ("singular_value", "double"), ("v", "array<double>"))
 
-    def split(batches):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, part in by_dataset(batch):
-                for _, rows in _stored(part):
-                    s = np.linalg.norm(rows, axis=1)
-                    s, v = dense.top_components(s, rows / np.where(s > 0, s, 1.0)[:, None], k, dense.DIRECT_TOL)
-                    out.extend((name, i + 1, float(s[i]), v[i]) for i in range(len(s)))
+            for r in records(batch):
+                rows = np.asarray(r["rows"]).reshape(-1, r["dims"])
+                s = np.linalg.norm(rows, axis=1)
+                s, v = dense.top_components(s, rows / np.where(s > 0, s, 1.0)[:, None], k, dense.DIRECT_TOL)
+                out.extend((r["dataset_id"], i + 1, float(s[i]), v[i]) for i in range(len(s)))
             yield batch_of(out, fields)
 
     return sketches.mapInArrow(split, ddl(fields))
+
+
+def sketch_energy(sketches: DataFrame) -> DataFrame:
+    """``(dataset_id, dim, energy, shrunk, slack)``: the sketch's part of each column's sum of squares, what bounds its error,
+    and ``|A|^2 - |B|^2``, of which ``shrunk`` is at most a ``k + 1``-st."""
+    fields: Fields = (("dataset_id", "string"), ("dim", "int"), ("energy", "double"), ("shrunk", "double"), ("slack", "double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in records(batch):
+                own = (np.asarray(r["rows"]).reshape(-1, r["dims"]) ** 2).sum(axis=0)
+                out.extend((r["dataset_id"], i + 1, float(e), r["shrunk"], r["squares"] - float(own.sum())) for i, e in enumerate(own))
+            yield batch_of(out, fields)
+
+    return sketches.mapInArrow(run, ddl(fields))

@@ -1,8 +1,11 @@
 """Placing points in a fitted tree: paths, coordinates, reconstructions, errors.
 
 A placement is one narrow pass while the nodes fit in a broadcast: each task walks its points down the
-tree and emits all levels.  A larger model is joined level by level on the node key instead.  Neither
-way keeps state, so the same call serves a stream of points.
+tree and emits all levels.  A larger model stays a table: at every level the points are dealt by node once, each task
+gets the parameters of its own nodes ahead of their points, emits the points' rows and moves them on in one go.  Neither
+way keeps state; a stream goes the first way directly and the second by micro-batches (``streaming.score``).
+
+A point whose dataset the model does not have gets one row, at depth 0 and with a null node and null measures.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dense, heap
-from ..operators.passes import KEYS, Fields, Limits, arrow_schema, by_dataset, ddl, matrix, move_joined, segments
+from ..operators.passes import KEYS, Fields, Limits, arrow_schema, by_dataset, ddl, matrix, segments
 from ..sources.shared import Workspace
 
 PLACE_FIELDS: Fields = (("dataset_id", "string"), ("point_id", "bigint"), ("depth", "int"), ("node_id", "bigint"))
@@ -113,6 +116,7 @@ def place_broadcast(points, nodes, pairs, wanted, fields, deepest_only, centered
             for name, part in by_dataset(batch):
                 here, steps = planes.get(name, {}), splits.get(name, {})
                 if 0 not in here:
+                    yield unplaced(part, fields)
                     continue
                 x = matrix(part.column("x"))
                 todo = [(0, np.arange(len(x)))]
@@ -145,43 +149,79 @@ def as_plane(center, basis) -> tuple[np.ndarray, np.ndarray]:
     return center, np.asarray(basis, dtype=np.float64).reshape(-1, center.size)
 
 
+def unplaced(part: pa.RecordBatch, fields: Fields) -> pa.RecordBatch:
+    """Rows of points whose dataset the model does not have."""
+    schema, n = arrow_schema(fields), part.num_rows
+    given = {"dataset_id": part.column("dataset_id"), "point_id": part.column("point_id"), "depth": pa.array(np.zeros(n, np.int32))}
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+PLACED_ROWS = 1 << 18  # points of a node that one task takes
+MANY_NODES = 200_000  # nodes with several parts whose numbers may be broadcast
+
+
 def place_joined(points, nodes, pairs, wanted, fields, deepest_only, centered, depth) -> DataFrame:
-    """Level by level, joining only that level's nodes; nothing is broadcast by request.
+    """Level by level, with one exchange of the points a level; no parameters are broadcast, or copied to every point.
 
-    In batch the moved points are written once per level, so no level repeats the joins above it.
+    A node with many points is dealt over as many tasks as they need, and its parameters go to each of these.
     """
-    work = None if points.isStreaming else Workspace(points.sparkSession, "place")
-    schema = arrow_schema(fields)
-
-    def located_rows(batches):
+    if points.isStreaming:
+        raise ValueError("the model is too large for one narrow pass; score_stream places micro-batches")
+    work = Workspace(points.sparkSession, "place")
+    step_fields: Fields = fields + (("place", "bigint"), ("x", "array<double>"))
+    schema = arrow_schema(step_fields)
+
+    def step(batches):
+        """Points of a node come after its parameters (kind 0): each gives its row, and where it goes next with its vector."""
+        known: dict[tuple[str, int], tuple] = {}
         for batch in batches:
-            for _, part in by_dataset(batch):
-                for node, rows in segments(part.column("node_id").to_numpy()):
-                    chunk = part.take(pa.array(rows))
-                    plane = as_plane(chunk.column("center")[0].as_py(), chunk.column("basis")[0].as_py())
-                    fixed = [chunk.column(c) for c, _ in PLACE_FIELDS]
-                    yield pa.RecordBatch.from_arrays(
-                        fixed + measure(matrix(chunk.column("x")), *plane, wanted, centered), schema=schema
-                    )
+            known = dict(list(known.items())[-1:])  # of the node whose points may go on
+            for name, part in by_dataset(batch):
+                kinds, place = part.column("kind").to_numpy(), part.column("node_id").to_numpy()
+                for at in np.flatnonzero(kinds == 0).tolist():
+                    known[name, int(place[at])] = tuple(part.column(c)[at].as_py() for c in ("center", "basis", "left", "right"))
+                for node, rows in segments(np.where(kinds == 1, place, -1)):
+                    if node >= 0:
+                        yield from placed(part.take(pa.array(rows)), name, node, known.get((name, node)))
+
+    def placed(chunk, name, node, params):
+        n, x = chunk.num_rows, matrix(chunk.column("x"))
+        extra = [pa.nulls(n, pa.int64()), pa.nulls(n, schema.field("x").type)]
+        if params is None:
+            rows = unplaced(chunk, fields)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *extra], schema=schema)
+            return
+        center, basis, left, right = params
+        if not (deepest_only and left is not None):
+            level = pa.array(np.full(n, (node + 1).bit_length() - 1, dtype=np.int32))
+            fixed = [chunk.column("dataset_id"), chunk.column("point_id"), level, chunk.column("node_id")]
+            measures = measure(x, *as_plane(center, basis), wanted, centered) if wanted else []
+            yield pa.RecordBatch.from_arrays([*fixed, *measures, *extra], schema=schema)
+        if left is not None:
+            side = dense.sides(x, np.asarray(left), np.asarray(right))
+            fixed = [chunk.column("dataset_id"), chunk.column("point_id")]
+            none = [pa.nulls(n, f.type) for f in list(schema)[2 : len(fields)]]
+            yield pa.RecordBatch.from_arrays([*fixed, *none, pa.array(2 * node + 1 + side), chunk.column("x")], schema=schema)
 
     current = points.select("dataset_id", F.lit(0).cast("bigint").alias("node_id"), "point_id", "x")
     out = None
     for level in range(depth + 1):
-        here = nodes.where(F.col("depth") == level)
-        if deepest_only:
-            here = here.join(pairs.select(*KEYS), KEYS, "left_anti")
-        emitted = current.join(here.select(*KEYS, "depth", "center", "basis"), KEYS)
-        if wanted:
-            emitted = emitted.select(*[c for c, _ in PLACE_FIELDS], "x", "center", "basis").mapInArrow(located_rows, ddl(fields))
-        else:
-            emitted = emitted.select(*[c for c, _ in PLACE_FIELDS])
+        here = nodes.where(F.col("depth") == level).select(*KEYS, "center", "basis").join(pairs.select(*KEYS, "left", "right"), KEYS, "left")
+        counts = current.groupBy(*KEYS).agg(F.ceil(F.count("*") / PLACED_ROWS).cast("int").alias("parts"))
+        large = work.write(counts.where("parts > 1"), f"large{level}")
+        large = F.broadcast(large) if large.count() <= MANY_NODES else large
+        parts = F.coalesce("parts", F.lit(1))
+        none = {"point_id": "cast(null as bigint)", "x": "cast(null as array<double>)"}
+        heads = here.join(large, KEYS, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        heads = heads.withColumn("kind", F.lit(0)).withColumns({c: F.expr(e) for c, e in none.items()})
+        empty = {"center": "array<double>", "basis": "array<array<double>>", "left": "array<double>", "right": "array<double>"}
+        rows = current.join(large, KEYS, "left").withColumn("part", F.pmod(F.xxhash64("point_id"), parts).cast("int")).drop("parts")
+        rows = rows.withColumn("kind", F.lit(1)).withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
+        dealt = heads.unionByName(rows).repartition(*KEYS, "part").sortWithinPartitions(*KEYS, "part", "kind")
+        done = work.write(dealt.mapInArrow(step, ddl(step_fields)), f"level{level}")
+        emitted = done.where("place is null").select(*[n for n, _ in fields])
         out = emitted if out is None else out.unionByName(emitted)
-        if level < depth:
-            first, last = (1 << level) - 1, (2 << level) - 2
-            ways = pairs.where(F.col("node_id").between(first, last))
-            current = move_joined(current, ways, keep=False)
-            if work is not None:
-                current = work.write(current, f"level{level + 1}")
+        current = done.where("place is not null").select("dataset_id", F.col("place").alias("node_id"), "point_id", "x")
     return out
 
 

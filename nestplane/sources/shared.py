@@ -63,6 +63,16 @@ class Workspace:
         fs.delete(path, True)
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    fs, path = _folder(spark, where)
+    return fs.exists(path)
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    fs, path = _folder(spark, where)
+    fs.delete(path, True)
+
+
 def _folder(spark: SparkSession, where: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -1,66 +1,102 @@
 """Running count, center and scatter of arriving points.
 
-Each micro-batch writes its own sums under its batch id, replacing whatever an earlier attempt of the
-same batch left there, so a replayed batch counts once.  Sums are taken about a fixed shift, which
-keeps them accurate when points lie far from the origin, and add up across batches.
+Each micro-batch writes its own sums (``BatchState``).  Sums are taken about a fixed shift, which
+keeps them accurate when points lie far from the origin, and add up across batches.  The products are kept by pairs of
+column blocks; where all pairs together outgrow a task, the points are read once for every group of pairs that does not.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import dense
 from ..operators.passes import (
+    BLOCK,
     SUM_FIELDS,
     Fields,
     Front,
     Limits,
     batch_of,
-    blocks,
     ddl,
     node_pass,
-    node_totals,
     records,
     sum_partials,
 )
 from ..sources.shared import Workspace
+from .state import BatchState
 
 
 @dataclass(frozen=True)
 class MomentFold:
-    """Vector sum and packed upper triangle of the products, both about ``shift``."""
+    """Vector sum, and the products of some pairs of column blocks, both about ``shift``.
+
+    Block ``i * C + j`` of C column blocks holds the products of blocks ``i <= j``; the vector sum has the blocks -1 to -C.
+    """
 
     shift: float = 0.0
+    block: int = BLOCK
+    group: int = 0
+    groups: int = 1
     params: tuple[str, ...] = ()
     fields: Fields = SUM_FIELDS
 
+    def pairs(self, dims: int) -> list[tuple[int, int]]:
+        c = -(-dims // self.block)
+        every = [(i, j) for i in range(c) for j in range(i, c)]
+        return every[self.group :: self.groups]
+
+    def cut(self, x: np.ndarray, i: int) -> np.ndarray:
+        return x[..., i * self.block : (i + 1) * self.block]
+
     def add(self, acc, x, ids, params):
         c = x - self.shift
-        n, v, s = (0, 0.0, 0.0) if acc is None else acc
-        return n + len(x), v + c.sum(axis=0), s + c.T @ c
+        n, v, s = (0, 0.0, {}) if acc is None else acc
+        for i, j in self.pairs(x.shape[1]):
+            s[i, j] = s.get((i, j), 0.0) + self.cut(c, i).T @ self.cut(c, j)
+        return n + len(x), v + c.sum(axis=0), s
 
     def size(self, acc):
-        return acc[1].nbytes + acc[2].nbytes
+        return acc[1].nbytes + sum(m.nbytes for m in acc[2].values())
 
     def emit(self, acc):
-        yield from blocks(acc[0], 0, np.concatenate([acc[1], dense.pack(acc[2])]))
+        n, v, s = acc
+        c = -(-len(v) // self.block)
+        if self.group == 0:
+            yield from ((-1 - i, n if i == 0 else 0, 0, self.cut(v, i)) for i in range(c))
+        yield from ((i * c + j, 0, 0, m.ravel()) for (i, j), m in s.items())
 
 
-def batch_moments(points: DataFrame, shift: float = 0.0, limits: Limits = Limits()) -> DataFrame:
-    """Summed blocks ``(dataset_id, node_id, block, n, mark, v)`` of a batch: vector sum, then packed products."""
+def batch_moments(points: DataFrame, shift: float = 0.0, limits: Limits = Limits(), block: int = BLOCK) -> DataFrame:
+    """Summed blocks ``(dataset_id, node_id, block, n, mark, v)`` of a batch, as ``MomentFold`` numbers them."""
     front = Front(points, limits, Workspace(points.sparkSession, "moments"))
-    return sum_partials(node_pass(front, MomentFold(shift)))
+    dims = points.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0]
+    c = -(-dims // block)
+    groups = max(1, min(c * (c + 1) // 2, -(-c * (c + 1) // 2 * block * block * 8 // limits.task_bytes)))
+    passes = [node_pass(front, MomentFold(shift, block, g, groups)) for g in range(groups)]
+    return sum_partials(reduce(DataFrame.unionByName, passes))
+
+
+def _state(spark: SparkSession, path: str) -> BatchState:
+    return BatchState(spark, path, ddl(SUM_FIELDS))
 
 
-def run_moments(points: DataFrame, path: str, checkpoint: str, shift: float = 0.0, limits: Limits = Limits(), **trigger) -> StreamingQuery:
-    """Keep the moments table under ``path`` up to date with the stream ``points``."""
+def run_moments(
+    points: DataFrame, path: str, checkpoint: str, shift: float = 0.0, limits: Limits = Limits(), block: int = BLOCK, compact_every: int = 64, **trigger
+) -> StreamingQuery:
+    """Keep the moments under ``path`` up to date with the stream ``points``; every ``compact_every`` batches they become one table (0: never)."""
+    state = _state(points.sparkSession, path)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch_moments(batch, shift, limits).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        state.put(batch_moments(batch, shift, limits, block), batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            state.compact(lambda stored: sum_partials(stored.drop("batch_id")), batch_id)
 
     writer = points.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -68,20 +104,22 @@ def run_moments(points: DataFrame, path: str, checkpoint: str, shift: float = 0.
 
 def merged_moments(spark: SparkSession, path: str, shift: float = 0.0) -> DataFrame:
     """``(dataset_id, n, center, scatter)`` over all batches; ``scatter`` is packed by rows of its upper triangle."""
-    stored = spark.read.schema(ddl(SUM_FIELDS)).parquet(path)
     fields: Fields = (("dataset_id", "string"), ("n", "bigint"), ("center", "array<double>"), ("scatter", "array<double>"))
 
-    def finish(batches):
-        for batch in batches:
-            out = []
-            for row in records(batch):
-                n, total = row["n"], row["total"]
-                dims = int((np.sqrt(8 * total.size + 9) - 3) / 2)
-                mean = total[:dims] / n
-                out.append((row["dataset_id"], n, mean + shift, total[dims:] - n * dense.pack(np.outer(mean, mean))))
-            yield batch_of(out, fields)
-
-    return node_totals(stored).select("dataset_id", "n", "total").mapInArrow(finish, ddl(fields))
+    def finish(table: pa.Table) -> pa.Table:
+        rows = {r["block"]: r for b in table.to_batches() for r in records(b)}
+        c = sum(b < 0 for b in rows)
+        n, total = rows[-1]["n"], np.concatenate([rows[-1 - i]["v"] for i in range(c)])
+        at = np.cumsum([0] + [len(rows[-1 - i]["v"]) for i in range(c)])
+        scatter = np.zeros((len(total), len(total)))
+        for i in range(c):
+            for j in range(i, c):
+                scatter[at[i] : at[i + 1], at[j] : at[j + 1]] = np.asarray(rows[i * c + j]["v"]).reshape(at[i + 1] - at[i], -1)
+        mean = total / n
+        row = (rows[-1]["dataset_id"], n, mean + shift, dense.pack(scatter) - n * dense.pack(np.outer(mean, mean)))
+        return pa.Table.from_batches([batch_of([row], fields)])
+
+    return sum_partials(_state(spark, path).read().drop("batch_id")).groupBy("dataset_id").applyInArrow(finish, ddl(fields))
 
 
 def moments_plane(moments: DataFrame, d: int) -> DataFrame:

@@ -324,6 +324,24 @@ def statements() -> dict[str, str]:
         "node_planes": query([PRICES, *planes("r", "pts")], f"SELECT dataset_id, node_id, n, k AS component, {num('s / sqrt(n)')} AS spread, unnest(range(1, len(v) + 1)) AS dim, unnest(list_transform(v, lambda e: {num('e')})) AS value FROM r_planes"),
         "svd_topk": top,
         "svd_randomized": top,
+        "svd_randomized_flat": query([PLAIN, ROOTS, *planes("r", "roots")], f"{PLANE_ROWS} FROM r_planes"),
+        # Gram-Schmidt of the two columns, then the closed form of a 2 x 2 triangle; nothing is squared that must not be.
+        "svd_small_values": query(
+            [
+                f"cols AS (SELECT label::VARCHAR AS dataset_id, x[1] AS a, x[1] + x[2] * 1e-8 AS b FROM (SELECT label, {VECTOR} AS x FROM embeddings))",
+                "firsts AS (SELECT dataset_id, sqrt(sum(a * a)) AS p, sum(a * b) / sum(a * a) AS t FROM cols GROUP BY ALL)",
+                """tri AS (SELECT dataset_id, any_value(p) AS p, any_value(p * t) AS q, sqrt(sum((b - t * a) * (b - t * a))) AS r
+  FROM cols JOIN firsts USING (dataset_id) GROUP BY dataset_id)""",
+                """val AS (SELECT dataset_id, sqrt((p * p + q * q + r * r + sqrt(pow(p * p + q * q + r * r, 2) - 4 * pow(p * r, 2))) / 2) AS s, p * r AS pr,
+    atan2(2 * p * q, p * p - q * q - r * r) / 2 AS w FROM tri)""",
+                f"""vecs AS (SELECT dataset_id, 1::BIGINT AS component, {num('s')} AS singular_value, [cos(w), sin(w)] AS v FROM val
+  UNION ALL SELECT dataset_id, 2, {num('pr / s * 1e8')}, CASE WHEN abs(sin(w)) >= abs(cos(w)) THEN [sin(w), -cos(w)] ELSE [-sin(w), cos(w)] END FROM val)""",
+            ],
+            f"SELECT dataset_id, 0::BIGINT AS node_id, component, singular_value, unnest([1, 2]) AS dim, unnest(list_transform(v, lambda e: {num('e')})) AS value FROM vecs",
+        ),
+        "svd_sketch_bound": query(
+            [BY_LABEL], f"SELECT dataset_id, dim, {num('sum(v * v)')} AS energy, true AS within, true AS lossy FROM ({long('pts', 'dataset_id')}) GROUP BY dataset_id, dim"
+        ),
         "svd_sketch": query(
             [
                 *labelled,
