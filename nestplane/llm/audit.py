@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nestplane.llm.text import tidy
 from nestplane.sources.shared import Workspace
 
 FILTERS = "ABCDE"
@@ -216,11 +217,11 @@ def flags(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, part string, mask int, n bigint"
-    first = space.write(rows.mapInArrow(first_tries(failed, part_bytes), f"{schema}, text binary"), "first")
+    first = space.write(rows.mapInArrow(tidy(first_tries(failed, part_bytes)), f"{schema}, text binary"), "first")
     open_rows = first.where("text is not null")
     weight = open_rows.agg(F.sum(F.octet_length("text").cast("bigint") + ROW_BYTES)).first()[0] or 0
     dealt = prefixed(open_rows, space, part_bytes // 2).repartitionByRange(-(-weight // part_bytes) or 1, "prefix")
-    last = dealt.select("id", "part", "mask", "n", "text").mapInArrow(last_tries, schema)
+    last = dealt.select("id", "part", "mask", "n", "text").mapInArrow(tidy(last_tries), schema)
     return last.unionByName(first.where("text is null").drop("text"))
 
 

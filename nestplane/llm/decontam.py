@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestplane.llm.text import LOWER, STEP, WORD, mix, parts, prefix_sums, stretch_hash, word_hashes, words
+from nestplane.llm.text import LOWER, STEP, WORD, mix, parts, prefix_sums, stretch_hash, tidy, word_hashes, words
 from nestplane.sources.shared import Workspace
 
 WINDOW = 13
@@ -63,7 +63,7 @@ def rarity(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> dict[int,
 
     if not len(vocabulary):
         return {}
-    counts = docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_col).mapInArrow(tidy(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return {int(vocabulary[r["word"]]): r["n"] for r in counts.collect()}  # at most one row per benchmark word
 
 
@@ -152,7 +152,7 @@ def _match(docs: DataFrame, text_col: str, index: Index) -> DataFrame:
             columns[at["item_ids"]] = pa.array(items, type=pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def decontaminate(

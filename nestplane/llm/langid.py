@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestplane.llm.text import LOWER, parts
+from nestplane.llm.text import LOWER, parts, tidy
 from nestplane.sources.shared import Workspace
 
 ORDER = 3
@@ -93,7 +93,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", head:
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     space = Workspace(docs.sparkSession, "langid")
-    counts = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = space.write(counts, "counts")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     return Model(langs, counts, space, head) if langs else None
@@ -150,22 +150,23 @@ class Model:
         return gram[order][:: len(self.langs)], table["bits"].to_numpy()[order].reshape(-1, len(self.langs))
 
 
-def _choice(totals: Column) -> tuple[Column, Column]:
-    """Number of the first language with the least total, and its share by two to the minus code length."""
+def _choice(totals: Column) -> tuple[Column, Column, Column]:
+    """Number of the first language with the least total, its share by two to the minus code length, and that total."""
     least = F.array_min(totals)
     share = 1 / F.aggregate(totals, F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), F.greatest(least - x, F.lit(-1000.0))))
-    return F.array_position(totals, least).cast("int"), share
+    return F.array_position(totals, least).cast("int"), share, least
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all, if not given) with ``lang_pred`` and ``score`` (columns of these names are replaced).
+    """``columns`` of ``docs`` (all, if not given) with ``lang_pred``, ``score`` and ``rate`` (columns of these names, in any case, are replaced).
 
-    The score is the winner's share when languages are weighed by two to the minus code length; 0 for ``und``:
+    ``rate`` is the winner's code length in bits a byte, and ``size`` the text's bytes; both null for ``und``. The score is the winner's share when languages are weighed by two to the minus code length; 0 for ``und``:
     a null text, one without any letter, or no model. Equal code lengths go to the first language by name.
     """
-    kept = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score")]
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in ("lang_pred", "score", "rate", "size")]
     if model is None:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        none = [F.lit(None).cast("double").alias("rate"), F.lit(None).cast("bigint").alias("size")]
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *none)
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs))  # HEAD numbers, whatever the corpus
     langs = model.langs
     names = [f"c{i}" for i in range(len(kept))]
@@ -175,14 +176,15 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", column
     else:
         at = len(kept)
     pairs = T.ArrayType(T.StructType().add("gram", T.LongType()).add("n", T.LongType()))
-    schema = rows.select(*names).schema.add("letters", T.BooleanType()).add("bits", T.ArrayType(T.DoubleType())).add("rest", pairs)
+    schema = rows.select(*names).schema.add("letters", T.BooleanType()).add("size", T.LongType()).add("bits", T.ArrayType(T.DoubleType())).add("rest", pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, costs = shared.value
         for batch in batches:
             texts, n = batch.column(at), batch.num_rows
-            bits, others = np.zeros((n, len(langs))), [(np.zeros(0, np.int64),) * 3]
+            bits, others, size = np.zeros((n, len(langs))), [(np.zeros(0, np.int64),) * 3], np.zeros(n, np.int64)
             for p in parts(texts):
+                size[p.first : p.last] = np.diff(p.offsets)
                 code, lengths = grams(p.data, p.offsets)
                 if not len(code):
                     continue
@@ -207,29 +209,59 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", column
             rest = pa.ListArray.from_arrays(begins, pa.StructArray.from_arrays([pa.array(gram), pa.array(times.astype(np.int64))], names=["gram", "n"]))
             wide = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(langs)), pa.array(bits.ravel()))
             letters = pc.fill_null(pc.match_substring_regex(texts, HAS_LETTER), False)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], letters, wide, rest], names=[*names, "letters", "bits", "rest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], letters, pa.array(size), wide, rest], names=[*names, "letters", "size", "bits", "rest"])
 
     space = Workspace(docs.sparkSession, "langid")
-    scored = space.write(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = space.write(rows.mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     more = scored.where(F.col("letters") & (F.size("rest") > 0)).select("row", F.inline("rest"))
     priced = model.resolve(more.select("gram").distinct()).groupBy("gram").agg(*[F.max(F.when(F.col("lang") == j, F.col("bits"))).alias(f"b{j}") for j in range(len(langs))])
     priced = priced.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     more = more.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(priced, ["gram", "salt"])
     more = more.groupBy("row").agg(*[F.sum(F.col("n") * F.col(f"b{j}").cast("double")).alias(f"b{j}") for j in range(len(langs))])
-    number, share = _choice(F.array(*[F.col("bits")[j] + F.col(f"b{j}") for j in range(len(langs))]))
-    decided = scored.select("row", "bits").join(more, "row").select("row", number.alias("number"), share.alias("share"))
+    number, share, least = _choice(F.array(*[F.col("bits")[j] + F.col(f"b{j}") for j in range(len(langs))]))
+    decided = scored.select("row", "bits").join(more, "row").select("row", number.alias("number"), share.alias("share"), least.alias("least"))
     decided = space.write(decided, "decided")
     if decided.count() <= BROADCAST_ROWS:  # else the kept columns are shuffled, evenly
         decided = F.broadcast(decided)
-    number, share = _choice(F.col("bits"))
+    number, share, least = _choice(F.col("bits"))
     lang_pred = F.element_at(F.array(*[F.lit(x) for x in langs]), F.coalesce("number", number))
     return scored.join(decided, "row", "left").select(
         *[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)],
         F.when(F.col("letters"), lang_pred).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("letters"), F.coalesce("share", share)).otherwise(0.0).alias("score"),
+        F.when(F.col("letters"), F.coalesce("least", least) / F.col("size")).alias("rate"),
+        F.when(F.col("letters"), F.col("size")).alias("size"),
     )
 
 
+#: Texts of at least so many bytes tell what a language's code lengths are like.
+TYPICAL_BYTES = 200
+#: A text is foreign if its rate is so many spreads above its language's median; a byte's own code length varies by about ``BYTE_SPREAD`` bits.
+SPREADS, BYTE_SPREAD, LEAST_SPREAD = 6.0, 3.0, 0.05
+
+
+def rates(judged: DataFrame) -> DataFrame:
+    """``(of, middle, spread)``: median rate of each predicted language over all longer texts, and how far the sixth part above lies from it.
+
+    Both are quantiles, so a few foreign texts among them do not move them. A row a language.
+    """
+    typical = judged.where(F.col("size") >= TYPICAL_BYTES).groupBy(F.col("lang_pred").alias("of"))
+    quantiles = typical.agg(F.percentile_approx("rate", [0.5, 0.84], 1000).alias("q"))
+    return quantiles.select("of", F.col("q")[0].alias("middle"), F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD)).alias("spread"))
+
+
+def with_foreign(judged: DataFrame) -> DataFrame:
+    """``judged`` (of ``predict``) with ``foreign``: whether no learned language explains the text.
+
+    True for ``und``, for a winner not likelier than all others together, and for a text that costs far more bits a byte than
+    its language's texts do; a short text may cost more. A language without longer texts rejects none by cost.
+    """
+    both = judged.join(F.broadcast(rates(judged)), F.col("lang_pred") == F.col("of"), "left")
+    spread = F.sqrt(F.pow("spread", F.lit(2)) + BYTE_SPREAD**2 / F.col("size"))
+    costly = F.coalesce(F.col("rate") > F.col("middle") + SPREADS * spread, F.lit(False))
+    return both.withColumn("foreign", rejected() | costly).drop("of", "middle", "spread")
+
+
 def rejected(lang_pred="lang_pred", score="score", least: float = 0.5) -> Column:
     """No language, or none that is likelier than all others together."""
     return (F.col(lang_pred) == UNKNOWN) | (F.col(score) < least)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestplane.llm.text import tidy
 from nestplane.llm.tokens import encoder
 from nestplane.sources.shared import Workspace
 
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {PIECES}" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, words
+from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, tidy, words
 from nestplane.sources.shared import Workspace
 
 TASKS = ("low", "toxic")
@@ -120,7 +120,7 @@ def votes(docs: DataFrame, id_col: str, text_col: str, insults: list[str]) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "votes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, votes array<tinyint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, votes array<tinyint>")
 
 
 class WeakModel(NamedTuple):
@@ -264,13 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     ``labels`` (``id_col, quality 0/1, toxic 0/1``) may cover any part of the documents or be absent; several labels
     of one document count by their worst. Vote patterns are counted over all documents; the scorer learns
-    from at most ``sample`` ids, whole, and of a repeated id from its first row.
+    from at most ``sample`` ids, whole, and of a repeated id from the text with the least hash.
     """
     spark, insults = docs.sparkSession, list(insults or INSULTS)
     space = Workspace(spark, "quality")
-    # row numbers must be the same in both readings, so they are written
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = space.write(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    texts = texts.withColumn("row", F.xxhash64("text"))
     votes_of = votes(texts.select(F.struct("id", "row").alias("key"), "text"), "key", "text", insults).select("id.id", "id.row", "votes")
     if labels is not None:
         low, toxic = (1 - F.col("quality")).cast("tinyint"), F.col("toxic").cast("tinyint")
@@ -290,9 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     named = spark.createDataFrame([(list(r["pattern"]), p.tolist()) for r, p in zip(counts, post, strict=True)], "pattern array<tinyint>, target array<double>")
     human = F.greatest(F.element_at("pattern", -1), F.element_at("pattern", -2)) >= 0
     single = voted.groupBy("id").agg(F.min(F.struct("row", "pattern")).alias("first")).select("id", "first.*")
-    chosen = single.orderBy(F.desc(human), F.xxhash64("id"), "id").limit(sample).join(F.broadcast(named), "pattern").select("row", "target")
+    chosen = single.orderBy(F.desc(human), F.xxhash64("id"), "id").limit(sample).join(F.broadcast(named), "pattern").select("id", "row", "target")
     chosen = space.write(chosen, "chosen")
-    rows = texts.join(F.broadcast(chosen), "row")
+    rows = texts.join(F.broadcast(chosen), ["id", "row"]).groupBy("id").agg(F.first("text").alias("text"), F.first("target").alias("target"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,36 +302,37 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
                 cuts = np.searchsorted(doc, np.arange(p.last - p.first + 1))
                 f += [hashed[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 s += list(style_columns(seen.style))
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.float32())), batch.column(2)], names=["f", "s", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.float32())), batch.column(2), batch.column(0)], names=["f", "s", "target", "key"])
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [
-            (f, s, p)
+            (key, f, s, p)
             for batch in batches
-            for f, s, p in zip(*[[np.asarray(x.values) for x in batch.column(k)] for k in range(3)], strict=True)
+            for key, f, s, p in zip(batch.column(3).to_pylist(), *[[np.asarray(x.values) for x in batch.column(k)] for k in range(3)], strict=True)
         ]
-        got = learn(held) if held else None
+        held.sort(key=lambda r: r[0])  # however the rows lie, the halves are the same
+        got = learn([r[1:] for r in held]) if held else None
         flat = [got.hashed[t].tobytes() for t in range(len(TASKS))] if got else []
         yield pa.RecordBatch.from_arrays(
             [pa.array(flat, pa.binary()), pa.array([x.tolist() for x in got.style] if got else [], pa.list_(pa.float32())), pa.array(got.bias if got else [], pa.float32())],
             names=["hashed", "style", "bias"],
         )
 
-    features_of = space.write(rows.select("id", "text", "target").mapInArrow(featured, "f array<int>, s array<float>, target array<double>"), "features")
-    got = features_of.coalesce(1).mapInArrow(trained, "hashed binary, style array<float>, bias float").collect()
+    features_of = space.write(rows.select(F.xxhash64("id").alias("key"), "text", "target").mapInArrow(tidy(featured), "f array<int>, s array<float>, target array<double>, key bigint"), "features")
+    got = features_of.coalesce(1).mapInArrow(tidy(trained), "hashed binary, style array<float>, bias float").collect()
     if not got:
         return None
     return Scorer(np.stack([np.frombuffer(r["hashed"], np.float32) for r in got]), np.array([r["style"] for r in got], np.float32), np.array([r["bias"] for r in got], np.float32))
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", insults: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``low_score`` and ``toxic_score``, both 0 to 1 (columns of these names are replaced).
+    """``docs`` with ``low_score`` and ``toxic_score``, both 0 to 1 (columns of these names, in any case, are replaced).
 
     A null text or one without words scores ``low_score`` 1 and ``toxic_score`` 0, as does any text without a scorer.
     """
     shared, insults = docs.sparkSession.sparkContext.broadcast(scorer), list(insults or INSULTS)
     names = [f"{t}_score" for t in TASKS]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in names]
     at = kept.index(text_col)
     schema = docs.select(*kept).schema
     for n in names:
@@ -347,7 +347,7 @@ def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", insul
                 out[p.first : p.last][some] = shared.value.scores(seen)[some]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[:, 0]), pa.array(out[:, 1])], names=[*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def rejected(limit: float = 0.5) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestplane.llm import audit, caps, codes, decontam, html, langid, packing, quality, quotes, simhash, tokens, toxicity, urls
+from nestplane.llm.text import small_batches
 from nestplane.sources.ship import ship
 
 
@@ -138,6 +139,7 @@ _ALL = [
 def _shipping(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         return query(spark, str(sf_dir).rstrip("/"))
 
     run.__name__, run.__doc__ = query.__name__, query.__doc__

@@ -6,12 +6,14 @@ task's memory follows the part, or its longest single document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 PART_BYTES = 1 << 20
 STEP = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
@@ -33,6 +35,38 @@ def byte_class(members) -> np.ndarray:
 WORD = byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; Spark's own default holds 64 MB on either side.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts stay small, so that workers and the buffers that feed them do (smaller settings stay)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "")).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, after which the worker, which Spark keeps for later tasks, gives free memory back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` by workers that hold little between tasks."""
+    return df.mapInArrow(tidy(run), schema)
+
+
 class Part(NamedTuple):
     """Documents ``first`` to ``last`` of a batch: their bytes end to end and where each begins."""
 

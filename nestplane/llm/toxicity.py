@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, words
+from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, tidy, words
 from nestplane.sources.shared import Workspace
 
 BITS = 20
@@ -262,7 +262,7 @@ def word_counts(known: DataFrame) -> DataFrame:
         lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), 4).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], used])), lists], names=["feature", "c"])
 
-    found = known.select("half", "toxic", "text").mapInArrow(run, "feature bigint, c array<bigint>")
+    found = known.select("half", "toxic", "text").mapInArrow(tidy(run), "feature bigint, c array<bigint>")
     return found.groupBy("feature").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(4)]).alias("c"))
 
 
@@ -325,8 +325,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w = learn(rows)
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["w"])
 
-    features = space.write(one.select("half", "toxic", "text").mapInArrow(featured, "toxic int, code binary, top binary"), "features")
-    w = np.array(features.coalesce(1).mapInArrow(trained, "w array<double>").first()["w"])
+    features = space.write(one.select("half", "toxic", "text").mapInArrow(tidy(featured), "toxic int, code binary, top binary"), "features")
+    w = np.array(features.coalesce(1).mapInArrow(tidy(trained), "w array<double>").first()["w"])
     shared.destroy()
     return Model(log_ratios(by[:, :2] + by[:, 2:], both), as_field(w[: WEIGHTS + 5]), w[WEIGHTS + 5 :], 0.0)
 
@@ -416,4 +416,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float =
             spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), spans], names=[*kept, "toxic_score", "toxic_spans"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
