@@ -10,63 +10,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestplane.llm import decontam, langid, packing, quality, simhash
+from nestplane.llm.text import small_batches
 from nestplane.sources.shared import Workspace
 from nestplane.sources.ship import ship
 
-#: Row numbers of dropped documents that may be broadcast.
+#: Keys of dropped documents that may be broadcast.
 BROADCAST_ROWS = 4_000_000
 
 
-def _numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str, Workspace]:
-    """``docs``, written with a row number, the name of that column and the workspace."""
-    row, space = "_row", Workspace(docs.sparkSession, purpose)
-    while row in docs.columns:
+def _begin(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
+
+
+def _keyed(docs: DataFrame, space: Workspace) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart: ``doc_id`` if it does, else a row number in a written copy."""
+    ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.count_if(F.col("doc_id").isNull())).first()
+    if (ids[0] or 0) <= 1 and not ids[1]:
+        return docs, "doc_id"
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
         row += "_"
-    return space.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row, space
+    return space.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def _without(whole: DataFrame, dropped: DataFrame, row: str, space: Workspace) -> DataFrame:
-    """``whole`` without the rows numbered in ``dropped``."""
+def _without(whole: DataFrame, dropped: DataFrame, key: str, space: Workspace) -> DataFrame:
+    """``whole`` without the rows whose key is in ``dropped``."""
     dropped = space.write(dropped, "dropped")
-    if dropped.count() <= BROADCAST_ROWS:  # 8 bytes each; else texts and row numbers are shuffled
+    if dropped.count() <= BROADCAST_ROWS:  # 8 bytes each; else texts and keys are shuffled
         dropped = F.broadcast(dropped)
-    return whole.join(dropped, row, "left_anti")
+    return whole.join(dropped, key, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that no learned language explains better than all others together (or without a letter)."""
-    ship(spark)
-    whole, row, space = _numbered(docs, "langid")
-    judged = langid.predict(whole, langid.train(whole), columns=[row])
-    return _without(whole, judged.where(langid.rejected()).select(row), row, space).select(*docs.columns)
+    """Drops documents that no learned language explains: none with a letter, none likelier than all others together, or
+    too many bits a byte for the language (``langid.with_foreign``). Every row is judged by itself, repeated and null ids included."""
+    _begin(spark)
+    space = Workspace(spark, "langid")
+    whole, key = _keyed(docs, space)
+    judged = space.write(langid.predict(whole, langid.train(whole), columns=[key]), "judged")
+    return _without(whole, langid.with_foreign(judged).where("foreign").select(key), key, space).select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops low-quality and toxic documents. The labels table trains; the decision is by text alone."""
-    ship(spark)
+    _begin(spark)
     scorer = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, scorer).where(~quality.rejected()).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every SimHash component (one row, if an id repeats; a null id stays)."""
-    ship(spark)
-    whole, row, space = _numbered(docs, "dedup")
-    found = simhash.near_duplicates(whole.select(F.struct("doc_id", row).alias("key"), "text"), "key")
-    copies = found.where(F.col("key") != F.col("component_id")).select(F.col("key").getField(row).alias(row))
-    return _without(whole, copies, row, space).select(*docs.columns)
+    """Keeps the document with the smallest id of every SimHash component: one row, if that id repeats. Rows with a null id all stay,
+    and stand for no other document."""
+    _begin(spark)
+    space = Workspace(spark, "dedup")
+    whole, key = _keyed(docs, space)
+    if key == "doc_id":
+        found = simhash.near_duplicates(whole.select(key, "text"), key)
+        copies = found.where(F.col(key) != F.col("component_id")).select(key)
+    else:
+        named = whole.where("doc_id is not null").select(F.struct("doc_id", key).alias("both"), "text")
+        found = simhash.near_duplicates(named, "both")
+        copies = found.where(F.col("both") != F.col("component_id")).select(F.col("both").getField(key).alias(key))
+    return _without(whole, copies, key, space).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more stands in benchmark items."""
-    ship(spark)
+    _begin(spark)
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~decontam.contaminated()).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents with their sequence and place."""
-    ship(spark)
+    _begin(spark)
     return packing.packed_documents(docs)
 
 
