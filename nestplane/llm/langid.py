@@ -157,16 +157,16 @@ def _choice(totals: Column) -> tuple[Column, Column, Column]:
     return F.array_position(totals, least).cast("int"), share, least
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all, if not given) with ``lang_pred``, ``score`` and ``rate`` (columns of these names, in any case, are replaced).
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", columns: list[str] | None = None, with_rate: bool = False) -> DataFrame:
+    """``columns`` of ``docs`` (all, if not given) with ``lang_pred`` and ``score`` (columns of these names, in any case, are replaced).
 
-    ``rate`` is the winner's code length in bits a byte, and ``size`` the text's bytes; both null for ``und``. The score is the winner's share when languages are weighed by two to the minus code length; 0 for ``und``:
+    ``with_rate`` adds ``rate``, the winner's code length in bits a byte, and ``size``, the text's bytes; both null for ``und``. The score is the winner's share when languages are weighed by two to the minus code length; 0 for ``und``:
     a null text, one without any letter, or no model. Equal code lengths go to the first language by name.
     """
-    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in ("lang_pred", "score", "rate", "size")]
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in ("lang_pred", "score", *("rate", "size") * with_rate)]
     if model is None:
-        none = [F.lit(None).cast("double").alias("rate"), F.lit(None).cast("bigint").alias("size")]
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *none)
+        none = [F.lit(None).cast("double").alias("rate"), F.lit(None).cast("bigint").alias("size")] * with_rate
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *none[:2])
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs))  # HEAD numbers, whatever the corpus
     langs = model.langs
     names = [f"c{i}" for i in range(len(kept))]
@@ -229,8 +229,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", column
         *[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)],
         F.when(F.col("letters"), lang_pred).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("letters"), F.coalesce("share", share)).otherwise(0.0).alias("score"),
-        F.when(F.col("letters"), F.coalesce("least", least) / F.col("size")).alias("rate"),
-        F.when(F.col("letters"), F.col("size")).alias("size"),
+        *[F.when(F.col("letters"), F.coalesce("least", least) / F.col("size")).alias("rate"), F.when(F.col("letters"), F.col("size")).alias("size")][: 2 * with_rate],
     )
 
 
@@ -251,7 +250,7 @@ def rates(judged: DataFrame) -> DataFrame:
 
 
 def with_foreign(judged: DataFrame) -> DataFrame:
-    """``judged`` (of ``predict``) with ``foreign``: whether no learned language explains the text.
+    """``judged`` (of ``predict``, with rates) with ``foreign``: whether no learned language explains the text.
 
     True for ``und``, for a winner not likelier than all others together, and for a text that costs far more bits a byte than
     its language's texts do; a short text may cost more. A language without longer texts rejects none by cost.

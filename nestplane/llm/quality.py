@@ -318,7 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             names=["hashed", "style", "bias"],
         )
 
-    features_of = space.write(rows.select(F.xxhash64("id").alias("key"), "text", "target").mapInArrow(tidy(featured), "f array<int>, s array<float>, target array<double>, key bigint"), "features")
+    kind = docs.schema[id_col].dataType.simpleString()
+    features_of = space.write(rows.select("id", "text", "target").mapInArrow(tidy(featured), f"f array<int>, s array<float>, target array<double>, key {kind}"), "features")
     got = features_of.coalesce(1).mapInArrow(tidy(trained), "hashed binary, style array<float>, bias float").collect()
     if not got:
         return None

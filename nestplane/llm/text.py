@@ -42,7 +42,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Batches of whole texts stay small, so that workers and the buffers that feed them do (smaller settings stay)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(name, "")).lower().rstrip("b")
+    now = str(spark.conf.get(name, "64m")).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
