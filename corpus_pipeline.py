@@ -48,7 +48,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin(spark)
     space = Workspace(spark, "langid")
     whole, key = _keyed(docs, space)
-    judged = space.write(langid.predict(whole, langid.train(whole), columns=[key]), "judged")
+    judged = space.write(langid.predict(whole, langid.train(whole), columns=[key], with_rate=True), "judged")
     return _without(whole, langid.with_foreign(judged).where("foreign").select(key), key, space).select(*docs.columns)
 
 
