@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars (Kiveris et al., 2014).
 
 Edges stay in Spark; each round is two aggregations that combine before the shuffle and two joins
-against one row per node. The table of a round is written to the shared folder, so a lost executor
+against one row per node, which spread the edges of a hub (``beside``). The table of a round is written to the shared folder, so a lost executor
 costs a task, and lineage does not grow.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestplane.llm.joins import beside
 from nestplane.sources.shared import Workspace
 
 
@@ -28,9 +29,9 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = beside(both, low, ["u"], ["v"], number=2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = beside(large, least, ["u"], ["v"], number=2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
         before, step = now, step + 1
         now = space.write(small, f"stars{step}")

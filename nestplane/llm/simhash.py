@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestplane.llm.components import components
+from nestplane.llm.joins import beside
 from nestplane.llm.text import tidy
 from nestplane.sources.shared import Workspace
 
@@ -116,5 +117,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = space.write(found.join(classes, "fp"), "members")
     lowest = joined.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = joined.join(lowest, "component").select("fp", "component_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = space.write(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
+    return beside(rows, named, ["fp"], ["id"]).select(F.col("id").alias(id_col), "fp", "component_id")
