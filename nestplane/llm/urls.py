@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nestplane.llm.joins import beside
 from nestplane.sources.shared import Workspace
 
 LEAST = 5  # urls that a literal branch needs
@@ -30,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def parsed(url: Column) -> tuple[Column, Column]:
     """``(host, path)``; both empty if the url is null or has no ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url_, instr(url_, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, url.substr(F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
@@ -103,15 +104,16 @@ def templates(paths: DataFrame, space: Workspace) -> DataFrame:
         share = (F.col("blocked") + F.col("b")) / (F.col("labelled") + F.col("m"))
         error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / F.col("m")))
         odd = rare.where("labelled > 0").join(pool, ["host", "prefix"]).where(F.abs(F.col("blocked") / F.col("labelled") - F.col("b") / F.col("m")) > Z * error + 1e-12)
-        named = literal.unionByName(odd.select("host", "prefix", "seg", F.col("seg").alias("name")))
-        grown = here.join(named, ["host", "prefix", "seg"], "left").withColumn("prefix", F.concat_ws("/", "prefix", F.coalesce("name", F.lit(WILD))))
+        named = space.write(literal.unionByName(odd.select("host", "prefix", "seg", F.col("seg").alias("name"))), f"named{d}")
+        grown = beside(here, named, ["host", "prefix", "seg"], ["path"], "left").withColumn("prefix", F.concat_ws("/", "prefix", F.coalesce("name", F.lit(WILD))))
         grown = space.write(grown.select(*columns), f"grown{d}")
         # below a node of fewer urls no branch can be literal: the rest of such paths is wild
-        small = grown.groupBy("host", "prefix").agg(F.sum("n").alias("all")).where(F.col("all") < LEAST).select("host", "prefix", F.lit(True).alias("small"))
+        small = grown.groupBy("host", "prefix").agg(F.sum("n").alias("all")).where(F.col("all") < LEAST)
+        small = space.write(small.select("host", "prefix", F.lit(True).alias("small")), f"small{d}")
         wild = F.concat("prefix", F.repeat(F.lit("/" + WILD), F.size("segments") - d))
-        marked = grown.join(small, ["host", "prefix"], "left").withColumns({"prefix": F.when(F.col("small"), wild).otherwise(F.col("prefix")), "segments": F.when(F.col("small"), F.slice("segments", 1, d)).otherwise(F.col("segments"))})
+        marked = beside(grown, small, ["host", "prefix"], ["path"], "left").withColumns({"prefix": F.when(F.col("small"), wild).otherwise(F.col("prefix")), "segments": F.when(F.col("small"), F.slice("segments", 1, d)).otherwise(F.col("segments"))})
         before, now = now, space.write(marked.select(*columns), f"level{d}")
-        for old in (before, branch, grown):
+        for old in (before, branch, grown, named, small):
             space.drop(old)
         if len(done) >= TABLES:
             whole = space.write(_together(done), f"done{d}")
@@ -129,15 +131,15 @@ def _together(tables: list[DataFrame]) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
-    """``pages`` with ``host, path, rule, template, purity, verdict`` (columns of these names are replaced).
+    """``pages`` with ``host, path, rule, template, purity, verdict`` (columns of these names, in any case, are replaced).
 
     ``template`` and ``purity`` (the smoothed blocked share) are null where a rule decides. Null or malformed
     urls have an empty host and path, and are judged as that template. ``rules`` is a short list on the driver.
     """
     space = Workspace(pages.sparkSession, "urls")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
-    host, path = parsed(F.col("url_"))
-    read = pages.select(*kept, F.col(url_col).cast("string").alias("url_")).withColumns({"host": host, "path": path}).drop("url_")
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "template", "purity", "verdict")]
+    host, path = parsed(F.col(url_col).cast("string"))
+    read = pages.select(*kept, host.alias("host"), path.alias("path"))
     rule, verdict = ruled(rules)
     read = read.withColumns({"rule": rule, "verdict": verdict})
     distinct = read.groupBy("host", "path").agg(
@@ -146,7 +148,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
     grown = space.write(templates(space.write(distinct, "paths"), space), "templates")
     each = grown.groupBy("host", "template").agg(((F.sum("blocked") + SMOOTH * PRIOR) / (F.sum("labelled") + SMOOTH)).alias("purity"))
     decided = grown.where(F.col("labelled") == 0).join(each, ["host", "template"]).select("host", "path", "template", "purity")
-    open_ = read.where("rule is null").drop("verdict").join(decided, ["host", "path"])
+    decided = space.write(decided, "decided")
+    open_ = beside(read.where("rule is null").drop("verdict"), decided, ["host", "path"], kept)
     method = open_.withColumn("verdict", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
     known = read.where("rule is not null").withColumns({"template": F.lit(None).cast(T.StringType()), "purity": F.lit(None).cast("double")})
     columns = [*kept, "host", "path", "rule", "template", "purity", "verdict"]
