@@ -89,48 +89,47 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges among underfull bins while the squared fill grows.
 
-    A bin is filled from emptier bins only, so every step increases the sum of squares; the emptiest bins
-    run empty. Work per bin is bounded by its own pieces times a search among the donors' pieces.
+    Bins are finished one after the other, the fullest first, each from emptier bins only, so every step increases the sum of squares and
+    the emptiest bins run empty. A finished bin's pieces leave the pool, so the longest piece that fits is found at once.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: -fill[b])
     live = [set(b) for b in bins]
     pool = sorted((lengths[i], i, b) for b in order for i in bins[b])  # pieces that may move
-    gone: set[int] = set()
 
-    def take(i: int, b: int, target: int) -> None:
+    def leave(i: int, b: int) -> None:
+        pool.pop(bisect_right(pool, (lengths[i], i, b)) - 1)
+
+    def take(i: int, b: int, into: int, target: int) -> None:
         live[b].discard(i)
-        live[target].add(i)
+        live[into].add(i)
         fill[b] -= lengths[i]
-        fill[target] += lengths[i]
-        pool.pop(bisect_right(pool, (lengths[i], i, b)) - 1)
-        insort(pool, (lengths[i], i, target))
+        fill[into] += lengths[i]
+        if b != target:
+            leave(i, b)
+        if into != target:
+            insort(pool, (lengths[i], i, into))
 
     def donor(most: int, least: int, target: int, but: int = -1):
         """The longest piece of ``least`` to ``most`` ids in a bin emptier than the target."""
         k = bisect_right(pool, (most, 1 << 62, 0)) - 1
-        for _ in range(64):
-            if k < 0 or pool[k][0] < least:
-                return None
+        while k >= 0 and pool[k][0] >= least:
             _, i, b = pool[k]
-            if b != target and i != but and b not in gone and fill[b] <= fill[target]:
+            if i != but and fill[b] <= fill[target]:
                 return pool[k]
             k -= 1
         return None
 
     for target in order:
-        if not live[target]:
-            continue
-        for _ in range(32):
+        for i in live[target]:
+            leave(i, target)
+        while live[target] and fill[target] < capacity:
             gap = capacity - fill[target]
-            if gap <= 0:
-                break
-            best = (0, None)
+            best = (0, None, None)
             if found := donor(gap, 1, target):
                 best = (found[0], [(found[1], found[2])], None)
             if best[0] < gap:
-                for i in sorted(live[target], key=lambda i: lengths[i])[:16]:
-                    n = lengths[i]
+                for n, i in sorted({lengths[i]: i for i in live[target]}.items()):
                     if (one := donor(n + gap, n + 1, target)) and fill[target] + one[0] - n > fill[one[2]] and one[0] - n > best[0]:
                         best = (one[0] - n, [(one[1], one[2])], i)
                     if (a := donor((n + gap) // 2 + 1, 1, target)) and (c := donor(n + gap - a[0], 1, target, a[1])):
@@ -142,20 +141,18 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
             if best[1] is None:
                 break
             _, moved, given = best
-            back = moved[0][1]
-            before = sum(fill[b] ** 2 for b in {target, *[b for _, b in moved]})
-            touched = {target, *[b for _, b in moved]}
+            back, touched = moved[0][1], {target, *[b for _, b in moved]}
+            before = sum(fill[b] ** 2 for b in touched)
             for i, b in moved:
-                take(i, b, target)
+                take(i, b, target, target)
             if given is not None:
-                take(given, target, back)
+                take(given, target, back, target)
             if fill[back] > capacity or sum(fill[b] ** 2 for b in touched) <= before:  # no gain: undo and stop
                 if given is not None:
-                    take(given, back, target)
+                    take(given, back, target, target)
                 for i, b in moved:
-                    take(i, target, b)
+                    take(i, target, b, target)
                 break
-        gone.add(target)
     return [sorted(b, key=lambda i: -lengths[i]) for b in live if b]
 
 
@@ -167,11 +164,14 @@ def packed(placed: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY,
     """Pieces (with a ``length`` up to ``capacity``) with their ``sequence_id`` and gapless ``offset``.
 
     Full pieces are sequences of their own. The others are packed in blocks dealt by a hash of the row;
-    equal rows stay separate pieces. All columns stay. Empty input gives an empty result.
+    equal rows stay separate pieces. All columns stay (those of the two names are replaced). Empty input gives an empty result.
     """
-    space = Workspace(placed.sparkSession, "packing")
-    stored = space.write(placed.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    out = [stored.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col("row") * 8 + 7, "offset": F.lit(0).cast("bigint")})]
+    space, row = Workspace(placed.sparkSession, "packing"), "row"
+    while row in {c.lower() for c in placed.columns}:
+        row += "_"
+    kept = [c for c in placed.columns if c.lower() not in ("sequence_id", "offset")]
+    stored = space.write(placed.select(*kept, F.monotonically_increasing_id().alias(row)), "pieces")
+    out = [stored.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col(row) * 8 + 7, "offset": F.lit(0).cast("bigint")})]
     rest = stored.where(F.col("length") < capacity)
     schema = "row bigint, length bigint, sequence_id bigint, offset bigint, open boolean"
 
@@ -192,7 +192,7 @@ def packed(placed: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY,
 
         return one
 
-    rest, n = rest.select("row", "length"), rest.count()
+    rest, n = rest.select(F.col(row).alias("row"), "length"), rest.count()
     places = []
     for level in range(LEVELS):
         if not n:
@@ -208,11 +208,11 @@ def packed(placed: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY,
         every = places[0]
         for p in places[1:]:
             every = every.unionByName(p)
-        out.append(stored.join(every.drop("length"), "row"))
+        out.append(stored.join(every.drop("length").withColumnRenamed("row", row), row))
     result = out[0]
     for p in out[1:]:
         result = result.unionByName(p)
-    return result.drop("row")
+    return result.drop(row)
 
 
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
