@@ -160,7 +160,7 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans`` (word ranges, joined), ``item_ids`` (sorted strings).
 
-    All rows and columns of ``docs`` stay; columns of these names are replaced. Null or empty texts have
+    All rows and columns of ``docs`` stay; columns of these names, in any case, are replaced. Null or empty texts have
     no words. Items without words have no window; rows of one item id count once; a null id counts as
     the empty string. Equal windows of several items name them all.
 
@@ -173,7 +173,7 @@ def decontaminate(
         "hit_spans": F.array().cast("array<struct<first:bigint,end:bigint>>"),
         "item_ids": F.array().cast("array<string>"),
     }
-    kept = [c for c in docs.columns if c not in {*state, "n_hit"}]
+    kept = [c for c in docs.columns if c.lower() not in {*state, "n_hit"}]
     out = docs.select(*kept, *[v.alias(k) for k, v in state.items()])
     space, block, size, done = Workspace(spark, "decontam"), [], 0, 0
 
