@@ -1,6 +1,6 @@
 """Weak-label quality model.
 
-Heuristic labellers vote good, bad or nothing on every document; human labels, where there are any, are
+Heuristic labellers vote good, bad or nothing on every document, several of them on either question; human labels, where there are any, are
 one more labeller. Expectation-maximisation over the counts of vote patterns of all documents estimates how
 often each labeller is right on either class. The posterior labels of a bounded sample train a linear
 scorer over hashed word beginnings and style features, which then scores every document from its text
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nestplane.llm import toxicity
 from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, tidy, words
 from nestplane.sources.shared import Workspace
 
@@ -30,8 +31,17 @@ TOGETHER = 500  # documents whose features are counted at once
 SHRINK = 10  # documents' worth of prior on a feature's class shares
 STRENGTHS = (0.0, 1.0, 2.0)  # evidence counted from these sizes on
 HUMAN = 0.995  # how often a human label is right
-#: Insults that one labeller looks for (plain lexicon; parameter of ``votes``).
-INSULTS = "clown disgusting dumb idiot loser moron pathetic scum stupid trash worthless".split()
+#: Insults that one labeller looks for (plain lexicon of four languages; parameter of ``votes``).
+INSULTS = (
+    "asshole bastard bitch clown coward creep degenerate disgusting dumb dumbass fool freak idiot imbecile jerk liar loser lunatic moron"
+    " pathetic pig retard scum scumbag stupid trash twat vermin worthless"
+    " abschaum arschloch dreckig dummkopf dumm feigling idioten miststück schwachkopf schwein trottel vollidiot widerlich"
+    " abruti connard connasse crétin débile imbécile lâche minable ordure salaud salope stupide"
+    " asqueroso basura cabrón capullo cobarde escoria estúpido gilipollas idiota imbécil inútil payaso"
+).split()
+#: Words that address the reader (plain list of four languages).
+ADDRESS = "you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous vos tú ti tus eres usted ustedes".split()
+NEAR = 4  # words between an address and an insult
 
 LETTER = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 UPPER, DIGIT = byte_class(range(0x41, 0x5B)), byte_class(range(0x30, 0x3A))
@@ -47,9 +57,17 @@ RULES = (
     ("low", "repeated", 0.65, 0.40),
     ("low", "stutter", 0.15, 0.05),
     ("low", "shouts", 0.30, 0.10),
-    ("toxic", "insults", 0.001, 0.00001),
+    ("toxic", "insults", 0.001, None),
 )
-STYLE = ("symbols", "lone_marks", "upper", "digits", "repeated", "stutter", "shouts", "insults")
+#: More labellers of toxicity, which overlap: insults near an address, shouting, and words that human labels show to be toxic (two or more; none is a vote for good). A
+#: labeller without a limit for good never votes it: the lexicons do not know every language.
+OVERLAPPING = (
+    ("toxic", "addressed", 0.001, None),
+    ("toxic", "shouts", 0.30, None),
+    ("toxic", "learned", 0.50, 0.0),
+)
+LABELLERS = RULES + OVERLAPPING
+STYLE = ("symbols", "lone_marks", "upper", "digits", "repeated", "stutter", "shouts", "insults", "learned")
 
 
 class Looked(NamedTuple):
@@ -62,8 +80,8 @@ def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
 
-def look(data: np.ndarray, offsets: np.ndarray, insults: list[str]) -> Looked:
-    """Words (between white space) and style shares of some texts."""
+def look(data: np.ndarray, offsets: np.ndarray, insults: list[str], learned: np.ndarray | None = None) -> Looked:
+    """Words (between white space) and style shares of some texts. ``learned`` marks hashed word features that human labels show to be toxic."""
     low = LOWER[data]
     w = words(low, offsets, TOKEN)
     n = np.diff(w.first)
@@ -82,7 +100,17 @@ def look(data: np.ndarray, offsets: np.ndarray, insults: list[str]) -> Looked:
     bang = (data[w.end - 1] == 0x21) if len(h) else same
     wicked = word_set(insults)
     core = words(low, offsets, LETTER)
-    rude = np.isin(stretch_hash(prefix_sums(low), core.start, core.end), wicked)
+    named = stretch_hash(prefix_sums(low), core.start, core.end)
+    rude, told = np.isin(named, wicked), np.isin(named, word_set(ADDRESS))
+    close = np.zeros(len(rude), dtype=bool)
+    for k in range(1, NEAR + 1):
+        same_text = core.doc[k:] == core.doc[:-k]
+        close[k:] |= rude[k:] & told[:-k] & same_text
+        close[:-k] |= rude[:-k] & told[k:] & same_text
+    hits = np.zeros(len(n))
+    if learned is not None:
+        chain = toxicity.read(data, offsets)
+        hits = per_document(learned[chain.hashed].any(axis=0), chain.words.first)
     # a short text repeats little by chance; a long one repeats its common words
     expected = np.minimum(1.0, 1.2 * np.maximum(n, 1) ** -0.12)
     style = {
@@ -94,6 +122,8 @@ def look(data: np.ndarray, offsets: np.ndarray, insults: list[str]) -> Looked:
         "stutter": share(per_document(same, w.first), n),
         "shouts": share(per_document(bang & (upper_before[w.end] - upper_before[w.start] > 1), w.first), n),
         "insults": share(per_document(rude, core.first), np.diff(core.first)),
+        "addressed": share(per_document(close, core.first), np.diff(core.first)),
+        "learned": np.minimum(hits, 4) / 4,
     }
     return Looked(low, w, style)
 
@@ -104,19 +134,23 @@ def word_set(items: list[str]) -> np.ndarray:
     return stretch_hash(prefix_sums(data), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-def votes(docs: DataFrame, id_col: str, text_col: str, insults: list[str]) -> DataFrame:
-    """``(id, votes array<tinyint>)``: per rule 1, 0, or -1 for none. Texts without words get no vote."""
+def votes(docs: DataFrame, id_col: str, text_col: str, insults: list[str], learned: np.ndarray | None = None) -> DataFrame:
+    """``(id, votes array<tinyint>)``: per labeller 1, 0, or -1 for none. Texts without words get no vote, nor does any from a
+    labeller that has learned nothing."""
+    known = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.full((batch.num_rows, len(RULES)), -1, dtype=np.int8)
+            out = np.full((batch.num_rows, len(LABELLERS)), -1, dtype=np.int8)
             for p in parts(batch.column(1)):
-                seen = look(p.data, p.offsets, insults)
+                seen = look(p.data, p.offsets, insults, known.value)
                 some = np.diff(seen.words.first) > 0
-                for k, (_, feature, bad, good) in enumerate(RULES):
-                    v = seen.style[feature]
-                    out[p.first : p.last, k] = np.where(~some, -1, np.where(v >= bad, 1, np.where(v <= good, 0, -1)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(RULES), dtype=np.int32)), pa.array(out.ravel()))
+                for k, (_, feature, bad, good) in enumerate(LABELLERS):
+                    if feature != "learned" or known.value is not None:
+                        v = seen.style[feature]
+                        rest = -1 if good is None else np.where(v <= good, 0, -1)
+                        out[p.first : p.last, k] = np.where(~some, -1, np.where(v >= bad, 1, rest))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(LABELLERS), dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "votes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -139,16 +173,16 @@ class WeakModel(NamedTuple):
         return np.where(human >= 0, np.where(human == 1, HUMAN, 1 - HUMAN), 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -500, 500))))
 
 
-def accuracies(patterns: np.ndarray, weights: np.ndarray, steps: int = 50) -> WeakModel:
+def accuracies(patterns: np.ndarray, weights: np.ndarray, steps: int = 50, labellers: tuple = RULES) -> WeakModel:
     """EM over vote patterns (one row each) with their numbers of documents.
 
-    Columns are the rules and then the human labels of either task. It starts from labellers that are
+    Columns are the ``labellers`` and then the human labels of either task. It starts from labellers that are
     right nine times in ten; each class keeps a pseudo-count, so no chance becomes 0. The human labeller's
     accuracy is given (``HUMAN``), not estimated: it says which of the hidden classes is meant.
     """
     prior, tables, columns = {}, {}, {}
     for t, task in enumerate(TASKS):
-        cols = [k for k, r in enumerate(RULES) if r[0] == task] + [len(RULES) + t]
+        cols = [k for k, r in enumerate(labellers) if r[0] == task] + [len(labellers) + t]
         v = patterns[:, cols]
         spoken = (v >= 0).mean(axis=0).clip(0.05, 0.95)
         table = np.zeros((len(cols), 2, 3))
@@ -170,7 +204,7 @@ def accuracies(patterns: np.ndarray, weights: np.ndarray, steps: int = 50) -> We
 def style_columns(style: dict[str, np.ndarray]) -> np.ndarray:
     """Style shares on a scale where small differences near 0 count."""
     every = [np.sqrt(np.clip(style[s], 0, 1)) for s in STYLE]
-    return np.stack([*every, (style["insults"] > 0).astype(float)], axis=1).astype(np.float32)
+    return np.stack([*every, (style["insults"] > 0).astype(float), (style["learned"] > 0.25).astype(float)], axis=1).astype(np.float32)
 
 
 def features(seen: Looked) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +225,7 @@ class Scorer(NamedTuple):
     hashed: np.ndarray  # (tasks, 2**BITS)
     style: np.ndarray  # (tasks, style)
     bias: np.ndarray
+    learned: np.ndarray | None = None  # hashed word features that human labels show to be toxic
 
     def scores(self, seen: Looked) -> np.ndarray:
         n = len(seen.words.first) - 1
@@ -270,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     space = Workspace(spark, "quality")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("row", F.xxhash64("text"))
-    votes_of = votes(texts.select(F.struct("id", "row").alias("key"), "text"), "key", "text", insults).select("id.id", "id.row", "votes")
+    learned = None if labels is None else toxic_features(docs, labels, id_col, text_col, space)
+    votes_of = votes(texts.select(F.struct("id", "row").alias("key"), "text"), "key", "text", insults, learned).select("id.id", "id.row", "votes")
     if labels is not None:
         low, toxic = (1 - F.col("quality")).cast("tinyint"), F.col("toxic").cast("tinyint")
         known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(low).alias("low"), F.max(toxic).alias("toxic"))
@@ -284,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     if not counts:
         return None
     patterns = np.array([r["pattern"] for r in counts], dtype=np.int64)
-    weak = accuracies(patterns, np.array([r["count"] for r in counts], dtype=np.float64))
+    weak = accuracies(patterns, np.array([r["count"] for r in counts], dtype=np.float64), labellers=LABELLERS)
     post = np.stack([weak.posterior(t, patterns) for t in TASKS], axis=1)
     named = spark.createDataFrame([(list(r["pattern"]), p.tolist()) for r, p in zip(counts, post, strict=True)], "pattern array<tinyint>, target array<double>")
     human = F.greatest(F.element_at("pattern", -1), F.element_at("pattern", -2)) >= 0
@@ -293,11 +329,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     chosen = space.write(chosen, "chosen")
     rows = texts.join(F.broadcast(chosen), ["id", "row"]).groupBy("id").agg(F.first("text").alias("text"), F.first("target").alias("target"))
 
+    known = spark.sparkContext.broadcast(learned)
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f, s = [], []
             for p in parts(batch.column(1)):
-                seen = look(p.data, p.offsets, insults)
+                seen = look(p.data, p.offsets, insults, known.value)
                 doc, hashed = features(seen)
                 cuts = np.searchsorted(doc, np.arange(p.last - p.first + 1))
                 f += [hashed[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -323,7 +361,20 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     got = features_of.coalesce(1).mapInArrow(tidy(trained), "hashed binary, style array<float>, bias float").collect()
     if not got:
         return None
-    return Scorer(np.stack([np.frombuffer(r["hashed"], np.float32) for r in got]), np.array([r["style"] for r in got], np.float32), np.array([r["bias"] for r in got], np.float32))
+    return Scorer(np.stack([np.frombuffer(r["hashed"], np.float32) for r in got]), np.array([r["style"] for r in got], np.float32), np.array([r["bias"] for r in got], np.float32), learned)
+
+
+def toxic_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, space: Workspace) -> np.ndarray | None:
+    """Whether each hashed feature of a word (``toxicity.KINDS``) is far likelier in documents that people labelled toxic; null without both classes."""
+    found = toxicity.word_counts(toxicity.labelled(docs, labels, id_col, text_col))
+    table = space.write(found, "words").toArrow()  # 2**BITS rows at most
+    feature, c = table["feature"].to_numpy(), table["c"].combine_chunks().flatten().to_numpy().reshape(-1, 2, 2).sum(axis=1)
+    number = c[feature < 0].sum(axis=0)
+    if not number.all():
+        return None
+    by = np.zeros((1 << toxicity.BITS, 2), np.int64)
+    by[feature[feature >= 0]] = c[feature >= 0]
+    return toxicity.log_ratios(by, number) >= toxicity.SURE
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", insults: list[str] | None = None) -> DataFrame:
@@ -343,7 +394,7 @@ def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", insul
         for batch in batches:
             out = np.tile([1.0, 0.0], (batch.num_rows, 1))
             for p in parts(batch.column(at)) if shared.value else ():
-                seen = look(p.data, p.offsets, insults)
+                seen = look(p.data, p.offsets, insults, shared.value.learned)
                 some = np.diff(seen.words.first) > 0
                 out[p.first : p.last][some] = shared.value.scores(seen)[some]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[:, 0]), pa.array(out[:, 1])], names=[*kept, *names])
