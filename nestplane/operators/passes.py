@@ -491,7 +491,7 @@ def as_parameter(value):
 SUM_FIELDS: Fields = (
     ("dataset_id", "string"),
     ("node_id", "bigint"),
-    ("block", "bigint"),
+    ("block", "int"),
     ("n", "bigint"),
     ("mark", "bigint"),
     ("v", "array<double>"),
@@ -677,6 +677,24 @@ class ProbeFold:
         yield from blocks(acc[0], 0, acc[1].ravel())
 
 
+class RitzFold:
+    """Inner products of the points' coordinates along the orthonormal rows of ``probe``."""
+
+    params = ("probe",)
+    fields = SUM_FIELDS
+
+    def add(self, acc, x, ids, params):
+        y = x @ params[0].reshape(-1, x.shape[1]).T
+        n, s = (0, 0.0) if acc is None else acc
+        return n + len(x), s + y.T @ y
+
+    def size(self, acc):
+        return acc[1].nbytes
+
+    def emit(self, acc):
+        yield from blocks(acc[0], 0, acc[1].ravel())
+
+
 TOTAL_FIELDS: Fields = (
     ("dataset_id", "string"),
     ("node_id", "bigint"),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dense
 from ..sources.shared import Workspace
-from .passes import Fields, Limits, batch_of, by_dataset, ddl, matrix, records, segments
+from .passes import KEYS, Fields, Front, Limits, RitzFold, batch_of, by_dataset, ddl, matrix, node_pass, node_totals, pin, records, segments
 
 SKETCH_FIELDS: Fields = (
     ("dataset_id", "string"),
@@ -78,7 +78,7 @@ class Sketch:
         return name, block, self.n, self.rows.shape[1], self.squares, self.shrunk, self.rows.ravel()
 
 
-def sketch_blocks(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def sketch_partitions(points: DataFrame, k: int, limits: Limits = Limits(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One sketch per dataset and block; a dataset of ``n`` points has ``ceil(n / block_rows)`` of them."""
     sizes = points.groupBy("dataset_id").agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
     sizes = Workspace(points.sparkSession, "sketch").write(sizes, "sizes")
@@ -106,8 +106,9 @@ def sketch_blocks(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> Da
     return dealt.mapInArrow(run, ddl(SKETCH_FIELDS))
 
 
-def merge_sketches(sketches: DataFrame, k: int) -> DataFrame:
-    """One sketch per dataset.  Each round merges ``MERGED`` neighbouring blocks, in their order."""
+def merge_sketches(sketches: DataFrame, k: int, limits: Limits = Limits(), salts: int = MERGED) -> DataFrame:
+    """One sketch per dataset.  Each round merges ``salts`` (two at least) neighbouring blocks a task, in their order."""
+    at_once = max(2, salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
@@ -126,8 +127,8 @@ def merge_sketches(sketches: DataFrame, k: int) -> DataFrame:
 
     last = sketches.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
     while True:
-        last //= MERGED
-        into = F.expr(f"block div {MERGED}") if last else F.lit(0).cast("bigint")
+        last //= at_once
+        into = F.expr(f"block div {at_once}") if last else F.lit(0).cast("bigint")
         dealt = sketches.withColumn("into", into).repartition("dataset_id", "into").sortWithinPartitions("dataset_id", "into", "block")
         sketches = dealt.mapInArrow(run, ddl(SKETCH_FIELDS))
         if not last:
@@ -136,13 +137,47 @@ def merge_sketches(sketches: DataFrame, k: int) -> DataFrame:
 
 def sketch(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One sketch of at most ``k`` rows per dataset, ``SKETCH_FIELDS``."""
-    blocks = Workspace(points.sparkSession, "sketch").write(sketch_blocks(points, k, block_rows), "blocks")
+    blocks = Workspace(points.sparkSession, "sketch").write(sketch_partitions(points, k, block_rows=block_rows), "blocks")
     return merge_sketches(blocks, k)
 
 
 def svd_sketch(points: DataFrame, k: int, oversample: int = 10, limits: Limits = Limits()) -> DataFrame:
-    """Incremental SVD: the ``k`` leading ``(component, singular_value, v)`` of each dataset's rows, from a sketch of ``k + oversample``."""
-    return sketch_components(sketch(points, k + oversample), k)
+    """Incremental SVD: the ``k`` leading ``(dataset_id, component, singular_value, v)`` of each dataset's rows.
+
+    A sketch of ``k + oversample`` rows finds the space; one more pass measures the points along it, so the singular values are those of
+    the points within that space and never above the true ones.
+    """
+    work = Workspace(points.sparkSession, "ritz")
+    found = work.write(sketch(points, k + oversample), "sketch")
+    probes: Fields = (("dataset_id", "string"), ("node_id", "bigint"), ("probe", "array<double>"))
+    fields: Fields = (("dataset_id", "string"), ("component", "int"), ("singular_value", "double"), ("v", "array<double>"))
+
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of([(r["dataset_id"], 0, _directions(r).ravel()) for r in records(batch)], probes)
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in records(batch):
+                m = int(np.sqrt(len(r["total"])))
+                core, rows = np.asarray(r["total"]).reshape(m, m), np.asarray(r["probe"]).reshape(m, -1)
+                w, u = np.linalg.eigh((core + core.T) / 2)
+                s, v = dense.top_components(np.sqrt(np.maximum(w, 0.0)), u.T @ rows, k, dense.DIRECT_TOL)
+                out.extend((r["dataset_id"], i + 1, float(s[i]), v[i]) for i in range(len(s)))
+            yield batch_of(out, fields)
+
+    nbytes = found.agg(F.coalesce(F.sum(8 * F.size("rows")), F.lit(0))).first()[0]
+    probe = pin(found.mapInArrow(directions, ddl(probes)), probes, nbytes, limits, work, "probes")
+    totals = node_totals(node_pass(Front(points, limits, work), RitzFold(), probe))
+    return totals.select(*KEYS, "total").join(probe.df, KEYS).mapInArrow(solved, ddl(fields))
+
+
+def _directions(r: dict) -> np.ndarray:
+    """Orthonormal rows of a stored sketch."""
+    rows = np.asarray(r["rows"]).reshape(-1, r["dims"])
+    s = np.linalg.norm(rows, axis=1)
+    return rows[s > 0] / s[s > 0][:, None]
 
 
 def sketch_components(sketches: DataFrame, k: int) -> DataFrame:

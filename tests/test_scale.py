@@ -271,7 +271,7 @@ def test_state_survives_replays_and_a_crash_before_the_mark(spark):
     assert total() is None
     put(0, 10), put(1, 100)
     # a snapshot that nobody marked does not count
-    merge(state.read(1)).write.parquet(f"{path}/snapshots/upto=1")
+    merge(state.read(1)).write.parquet(f"{path}/_snapshots/upto=1")
     assert total() == 110 and state.upto() == -1
     state.compact(merge, 1)
     assert total() == 110 and state.upto() == 1
