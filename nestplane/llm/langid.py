@@ -235,8 +235,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", column
 
 #: Texts of at least so many bytes tell what a language's code lengths are like.
 TYPICAL_BYTES = 200
-#: A text is foreign if its rate is so many spreads above its language's median; a byte's own code length varies by about ``BYTE_SPREAD`` bits.
-SPREADS, BYTE_SPREAD, LEAST_SPREAD = 6.0, 3.0, 0.05
+#: A text is foreign if its rate is so many spreads above its language's median; a byte's own code length varies by about ``BYTE_SPREAD`` bits. The least
+#: spread leaves room for texts that mix learned languages, which cost up to twice the usual rate; unlearned languages and codes cost far more.
+SPREADS, BYTE_SPREAD, LEAST_SPREAD = 6.0, 3.0, 0.75
 
 
 def rates(judged: DataFrame) -> DataFrame:
