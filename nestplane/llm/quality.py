@@ -366,15 +366,19 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
 def toxic_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, space: Workspace) -> np.ndarray | None:
     """Whether each hashed feature of a word (``toxicity.KINDS``) is far likelier in documents that people labelled toxic; null without both classes."""
-    found = toxicity.word_counts(toxicity.labelled(docs, labels, id_col, text_col))
-    table = space.write(found, "words").toArrow()  # 2**BITS rows at most
-    feature, c = table["feature"].to_numpy(), table["c"].combine_chunks().flatten().to_numpy().reshape(-1, 2, 2).sum(axis=1)
-    number = c[feature < 0].sum(axis=0)
-    if not number.all():
+    found = space.write(toxicity.word_counts(toxicity.labelled(docs, labels, id_col, text_col)), "words")
+    totals = found.where("feature < 0").first()
+    if totals is None:
         return None
-    by = np.zeros((1 << toxicity.BITS, 2), np.int64)
-    by[feature[feature >= 0]] = c[feature >= 0]
-    return toxicity.log_ratios(by, number) >= toxicity.SURE
+    number = [totals["c"][t] + totals["c"][t + 2] for t in (0, 1)]
+    if not all(number):
+        return None
+    k = toxicity.SHRINK / sum(number)
+    share = [F.log((F.get("c", F.lit(t)) + F.get("c", F.lit(t + 2)) + k * number[t]) / number[t]) for t in (0, 1)]
+    sure = found.where((F.col("feature") >= 0) & (share[1] - share[0] >= toxicity.SURE)).select("feature").toArrow()  # 2**BITS rows at most, few in practice
+    out = np.zeros(1 << toxicity.BITS, dtype=bool)
+    out[sure["feature"].to_numpy()] = True
+    return out
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", insults: list[str] | None = None) -> DataFrame:
