@@ -56,21 +56,6 @@ def shift(x: Column, amount: Column) -> Column:
     return F.transform(x, lambda v: v - amount)
 
 
-def mat_vec(rows: Column, x: Column) -> Column:
-    """Product of a small matrix, held as an array of rows, with ``x``."""
-    return F.transform(rows, lambda row: dot(row, x))
-
-
-def combine(coord: Column, rows: Column, start: Column) -> Column:
-    """``start + sum_k coord[k] * rows[k]`` without forming any square matrix."""
-    steps = F.zip_with(coord, rows, lambda c, r: F.struct(c.alias("c"), r.alias("r")))
-    return F.aggregate(
-        steps,
-        start.cast(DOUBLES),
-        lambda acc, s: F.zip_with(acc, s["r"], lambda p, q: p + s["c"] * q),
-    )
-
-
 def trace_of_product(a: Column, b: Column) -> Column:
     """``tr(A B^T)`` of two matrices given as arrays of rows; rows without a partner count zero."""
     return total(F.zip_with(a, b, lambda p, q: F.coalesce(dot(p, q), F.lit(0.0))))

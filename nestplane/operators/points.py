@@ -275,9 +275,6 @@ def _first_of_ties(tied: DataFrame, columns: list[str], space: Workspace) -> Dat
     return some.select(F.explode(F.array_repeat("_row", F.col("_times"))).alias("_row")).select("_row.*")
 
 
-_NTH_SCHEMA = pa.schema([("traj_id", pa.string()), ("frame_id", pa.int64())])
-
-
 def _nth(keys: DataFrame, n: int) -> DataFrame:
     """``(traj_id, frame_id, take, tied)`` of the ``n``-th id of each trajectory with more than ``n``: how many frames of
     that id are among the first ``n``, and whether there are more of them."""
