@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DOUBLES = "array<double>"
 
 
 def total(x: Column) -> Column:
