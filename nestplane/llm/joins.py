@@ -10,13 +10,13 @@ BROADCAST_FACTS = 1_000_000
 SALTS = 32
 
 
-def beside(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "inner", number: int | None = None) -> DataFrame:
+def beside(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "inner", number: int | None = None, most: int | None = None) -> DataFrame:
     """``rows`` with the ``facts`` of their key.
 
-    Facts, ``number`` of them (counted, if not given), are broadcast while they are few, so no row moves for its key. Beyond that every key's
+    Facts, ``number`` of them (counted, if not given), are broadcast up to ``most`` (``BROADCAST_FACTS``; less for wide ones), so no row moves for its key. Beyond that every key's
     rows are dealt over ``SALTS`` parts by a hash of the columns ``spread``, and its facts go to each part.
     """
-    if (facts.count() if number is None else number) <= BROADCAST_FACTS:
+    if (facts.count() if number is None else number) <= (BROADCAST_FACTS if most is None else most):
         return rows.join(F.broadcast(facts), keys, how)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

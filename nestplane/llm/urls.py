@@ -21,6 +21,7 @@ from nestplane.llm.joins import beside
 from nestplane.sources.shared import Workspace
 
 LEAST = 5  # urls that a literal branch needs
+BROADCAST_PATHS = 100_000  # facts of paths that may be broadcast, some hundred bytes each
 TABLES = 16  # tables of finished paths that are kept before they are written as one
 SMOOTH = 5.0  # labelled urls' worth of ...
 PRIOR = 0.25  # ... the blocked share that a template without labels is given
@@ -105,13 +106,13 @@ def templates(paths: DataFrame, space: Workspace) -> DataFrame:
         error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / F.col("m")))
         odd = rare.where("labelled > 0").join(pool, ["host", "prefix"]).where(F.abs(F.col("blocked") / F.col("labelled") - F.col("b") / F.col("m")) > Z * error + 1e-12)
         named = space.write(literal.unionByName(odd.select("host", "prefix", "seg", F.col("seg").alias("name"))), f"named{d}")
-        grown = beside(here, named, ["host", "prefix", "seg"], ["path"], "left").withColumn("prefix", F.concat_ws("/", "prefix", F.coalesce("name", F.lit(WILD))))
+        grown = beside(here, named, ["host", "prefix", "seg"], ["path"], "left", most=BROADCAST_PATHS).withColumn("prefix", F.concat_ws("/", "prefix", F.coalesce("name", F.lit(WILD))))
         grown = space.write(grown.select(*columns), f"grown{d}")
         # below a node of fewer urls no branch can be literal: the rest of such paths is wild
         small = grown.groupBy("host", "prefix").agg(F.sum("n").alias("all")).where(F.col("all") < LEAST)
         small = space.write(small.select("host", "prefix", F.lit(True).alias("small")), f"small{d}")
         wild = F.concat("prefix", F.repeat(F.lit("/" + WILD), F.size("segments") - d))
-        marked = beside(grown, small, ["host", "prefix"], ["path"], "left").withColumns({"prefix": F.when(F.col("small"), wild).otherwise(F.col("prefix")), "segments": F.when(F.col("small"), F.slice("segments", 1, d)).otherwise(F.col("segments"))})
+        marked = beside(grown, small, ["host", "prefix"], ["path"], "left", most=BROADCAST_PATHS).withColumns({"prefix": F.when(F.col("small"), wild).otherwise(F.col("prefix")), "segments": F.when(F.col("small"), F.slice("segments", 1, d)).otherwise(F.col("segments"))})
         before, now = now, space.write(marked.select(*columns), f"level{d}")
         for old in (before, branch, grown, named, small):
             space.drop(old)
@@ -149,7 +150,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
     each = grown.groupBy("host", "template").agg(((F.sum("blocked") + SMOOTH * PRIOR) / (F.sum("labelled") + SMOOTH)).alias("purity"))
     decided = grown.where(F.col("labelled") == 0).join(each, ["host", "template"]).select("host", "path", "template", "purity")
     decided = space.write(decided, "decided")
-    open_ = beside(read.where("rule is null").drop("verdict"), decided, ["host", "path"], kept)
+    open_ = beside(read.where("rule is null").drop("verdict"), decided, ["host", "path"], kept, most=BROADCAST_PATHS)
     method = open_.withColumn("verdict", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
     known = read.where("rule is not null").withColumns({"template": F.lit(None).cast(T.StringType()), "purity": F.lit(None).cast("double")})
     columns = [*kept, "host", "path", "rule", "template", "purity", "verdict"]

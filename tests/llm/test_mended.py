@@ -215,3 +215,13 @@ def test_language_stage(spark, sf):
         spread = (max(q[1] - q[0], langid.LEAST_SPREAD) ** 2 + langid.BYTE_SPREAD**2 / r["size"]) ** 0.5
         want[(r.doc_id, r.n_chars)] += r.rate <= q[0] + langid.SPREADS * spread
     assert kept == +want
+
+
+def test_url_facts_beyond_a_broadcast(spark, monkeypatch):
+    rules = [("block", "s.net/a/1"), ("allow", "t.net/")]
+    rows = [(f"http://s.net/a/{k}", 1) for k in range(10, 24)] + [("http://s.net/a/9", k) for k in range(20)] + [(None, 1), (None, 2), ("http://t.net/x", 1)]
+    pages = spark.createDataFrame(rows, "url string, page_id bigint")
+    key = lambda df: Counter(tuple(r) for r in df.collect())
+    want = key(urls.judge(pages, rules))
+    monkeypatch.setattr(urls, "BROADCAST_PATHS", 0)
+    assert key(urls.judge(pages, rules)) == want and sum(want.values()) == len(rows)
