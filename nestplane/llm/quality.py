@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestplane.llm import toxicity
-from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, tidy, words
+from nestplane.llm.text import LOWER, Words, byte_class, distinct_pairs, parts, per_document, prefix_sums, stretch_hash, tidy, words
 from nestplane.sources.shared import Workspace
 
 TASKS = ("low", "toxic")
@@ -71,8 +71,9 @@ STYLE = ("symbols", "lone_marks", "upper", "digits", "repeated", "stutter", "sho
 
 
 class Looked(NamedTuple):
-    low: np.ndarray
     words: Words
+    sums: np.ndarray  # prefix sums of the lower-case text
+    hashed: np.ndarray  # of each whole word
     style: dict[str, np.ndarray]
 
 
@@ -83,25 +84,21 @@ def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 def look(data: np.ndarray, offsets: np.ndarray, insults: list[str], learned: np.ndarray | None = None) -> Looked:
     """Words (between white space) and style shares of some texts. ``learned`` marks hashed word features that human labels show to be toxic."""
     low = LOWER[data]
-    w = words(low, offsets, TOKEN)
-    n = np.diff(w.first)
-    count = lambda member: np.diff(np.concatenate([[0], np.cumsum(member[data])])[offsets])
-    letters = count(LETTER)
-    letters_before = np.concatenate([[0], np.cumsum(LETTER[data])])
-    upper_before = np.concatenate([[0], np.cumsum(UPPER[data])])
-    own = letters_before[w.end] - letters_before[w.start]
-    h = stretch_hash(prefix_sums(low), w.start, w.end)
-    order = np.lexsort((h, w.doc))
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (w.doc[order][1:] != w.doc[order][:-1])
-    distinct = np.bincount(w.doc[order][new], minlength=len(n))
+    w, core = words(low, offsets, TOKEN), words(low, offsets, LETTER)
+    n, sums = np.diff(w.first), prefix_sums(low)
+    count = lambda places: np.diff(np.searchsorted(places, offsets))
+    upper = np.flatnonzero(UPPER[data])
+    letters = per_document(core.end - core.start, core.first)
+    lone = np.ones(len(w.doc), dtype=bool)  # a run of letters lies inside one word
+    lone[np.searchsorted(w.start, core.start, side="right") - 1] = False
+    h = stretch_hash(sums, w.start, w.end)
+    distinct = distinct_hashes(h, w)
     same = np.zeros(len(h), dtype=bool)
     same[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
-    bang = (data[w.end - 1] == 0x21) if len(h) else same
-    wicked = word_set(insults)
-    core = words(low, offsets, LETTER)
-    named = stretch_hash(prefix_sums(low), core.start, core.end)
-    rude, told = np.isin(named, wicked), np.isin(named, word_set(ADDRESS))
+    bang = np.flatnonzero(data[w.end - 1] == 0x21) if len(h) else np.zeros(0, np.int64)
+    shouted = bang[np.searchsorted(upper, w.end[bang]) - np.searchsorted(upper, w.start[bang]) > 1]
+    named = stretch_hash(sums, core.start, core.end)
+    rude, told = among(named, word_set(insults)), among(named, word_set(ADDRESS))
     close = np.zeros(len(rude), dtype=bool)
     for k in range(1, NEAR + 1):
         same_text = core.doc[k:] == core.doc[:-k]
@@ -109,23 +106,43 @@ def look(data: np.ndarray, offsets: np.ndarray, insults: list[str], learned: np.
         close[:-k] |= rude[:-k] & told[k:] & same_text
     hits = np.zeros(len(n))
     if learned is not None:
-        chain = toxicity.read(data, offsets)
-        hits = per_document(learned[chain.hashed].any(axis=0), chain.words.first)
+        hits = per_document(learned[toxicity.hashed_words(core, sums)].any(axis=0), core.first)
     # a short text repeats little by chance; a long one repeats its common words
     expected = np.minimum(1.0, 1.2 * np.maximum(n, 1) ** -0.12)
     style = {
-        "symbols": share(count(SYMBOL), np.diff(offsets)),
-        "lone_marks": share(per_document(own == 0, w.first), n),
-        "upper": share(count(UPPER), letters),
-        "digits": share(count(DIGIT), np.diff(offsets)),
+        "symbols": share(count(np.flatnonzero(SYMBOL[data])), np.diff(offsets)),
+        "lone_marks": share(per_document(lone, w.first), n),
+        "upper": share(count(upper), letters),
+        "digits": share(count(np.flatnonzero(DIGIT[data])), np.diff(offsets)),
         "repeated": np.where(n >= 8, 1 - np.minimum(1.0, share(distinct, n) / expected), 0.0),
         "stutter": share(per_document(same, w.first), n),
-        "shouts": share(per_document(bang & (upper_before[w.end] - upper_before[w.start] > 1), w.first), n),
+        "shouts": share(np.bincount(w.doc[shouted], minlength=len(n)), n),
         "insults": share(per_document(rude, core.first), np.diff(core.first)),
         "addressed": share(per_document(close, core.first), np.diff(core.first)),
         "learned": np.minimum(hits, 4) / 4,
     }
-    return Looked(low, w, style)
+    return Looked(w, sums, h, style)
+
+
+def distinct_hashes(h: np.ndarray, w: Words) -> np.ndarray:
+    """Distinct words of each text; the sorted keys hold the text in their first bits and the rest of the hash."""
+    n = len(w.first) - 1
+    bits = np.uint64(max(1, n.bit_length()))
+    key = w.doc.astype(np.uint64) << (np.uint64(64) - bits)
+    key |= h >> bits
+    key.sort()
+    new = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return per_document(new, w.first)  # sorted by text, so each text's keys stand where its words did
+
+
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each hash is one of the few ``known``; only those that share their first 16 bits with one are compared."""
+    first, out = np.zeros(1 << 16, dtype=bool), np.zeros(len(h), dtype=bool)
+    first[known >> np.uint64(48)] = True
+    near = np.flatnonzero(first[h >> np.uint64(48)])
+    out[near] = np.isin(h[near], known)
+    return out
 
 
 def word_set(items: list[str]) -> np.ndarray:
@@ -209,16 +226,19 @@ def style_columns(style: dict[str, np.ndarray]) -> np.ndarray:
 
 def features(seen: Looked) -> tuple[np.ndarray, np.ndarray]:
     """``(document, hashed feature)`` of the distinct word beginnings of each text."""
-    w, sums = seen.words, prefix_sums(seen.low)
-    found = []
+    w = seen.words
+    size, doc, found = w.end - w.start, [], []
     for k, most in enumerate(PREFIXES):
-        end = np.minimum(w.end, w.start + most)
-        long = np.ones(len(end), dtype=bool) if most > 1 << 20 else w.end - w.start >= most
-        h = stretch_hash(sums, w.start[long], end[long]) + np.uint64(k)
-        found.append((w.doc[long].astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
-    key = np.sort(np.concatenate(found))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        if most > 1 << 20:
+            doc.append(w.doc)
+            h = seen.hashed + np.uint64(k)
+        else:
+            long = np.flatnonzero(size >= most)
+            start = w.start[long]
+            doc.append(w.doc[long])
+            h = stretch_hash(seen.sums, start, start + most) + np.uint64(k)
+        found.append(h >> np.uint64(64 - BITS))
+    return distinct_pairs(np.concatenate(doc), np.concatenate(found), BITS)
 
 
 class Scorer(NamedTuple):

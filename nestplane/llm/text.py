@@ -106,8 +106,8 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
     limits = limits[limits > 0] - 1
     ends[limits] = inside[limits]
     start = np.flatnonzero(begins)
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(doc, start, np.flatnonzero(ends) + 1, np.searchsorted(doc, np.arange(n + 1)))
+    first = np.searchsorted(start, offsets)
+    return Words(np.repeat(np.arange(n), np.diff(first)), start, np.flatnonzero(ends) + 1, first)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -125,26 +125,42 @@ def powers(base: int, n: int) -> np.ndarray:
 def prefix_sums(values: np.ndarray, step: int = STEP) -> np.ndarray:
     """Weighted running sums from which the hash of any stretch follows in two look-ups."""
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(step, len(values)), out=out[1:])
+    np.add(values, np.uint64(1), out=out[1:], dtype=np.uint64)
+    out[1:] *= powers(step, len(values))
+    np.cumsum(out, out=out)
     return out
 
 
 def stretch_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int = INVERSE) -> np.ndarray:
     """64-bit hash of each stretch, equal for equal content wherever it stands."""
     h = (sums[end] - sums[start]) * powers(inverse, len(sums))[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(h)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    out = h ^ (h >> np.uint64(32))
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
     return stretch_hash(prefix_sums(data), w.start, w.end)
 
 
+def distinct_pairs(doc: np.ndarray, feature: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``(document, feature)``, sorted; features (one row, or several of equal length) are below ``2 ** bits``."""
+    kind = np.uint32 if doc.max(initial=0) < 1 << (32 - bits) else np.uint64  # half the bytes are sorted in half the time
+    key = np.sort((doc.astype(kind) << kind(bits)) | feature.astype(kind), axis=None)
+    new = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]
+    return (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64)
+
+
 def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` (one per word) by document."""
     sums = np.concatenate([[0], np.cumsum(values)])

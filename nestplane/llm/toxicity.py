@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestplane.llm.text import LOWER, Words, byte_class, parts, per_document, prefix_sums, stretch_hash, tidy, words
+from nestplane.llm.text import LOWER, Words, byte_class, distinct_pairs, parts, per_document, prefix_sums, stretch_hash, tidy, words
 from nestplane.sources.shared import Workspace
 
 BITS = 20
@@ -66,12 +66,21 @@ class Chain(NamedTuple):
 def read(data: np.ndarray, offsets: np.ndarray) -> Chain:
     low = LOWER[data]
     w = words(low, offsets, LETTER)
-    sums, hashed = prefix_sums(low), np.empty((len(KINDS), len(w.doc)), dtype=np.int32)
+    return Chain(w, hashed_words(w, prefix_sums(low)))
+
+
+def hashed_words(w: Words, sums: np.ndarray) -> np.ndarray:
+    """Hashed features of the words of a lower-case text with the prefix sums ``sums``, one row a kind."""
+    hashed = np.empty((len(KINDS), len(w.doc)), dtype=np.int32)
     for k, size in enumerate(KINDS):
         start = np.maximum(w.start, w.end + size) if size < 0 else w.start
         end = np.minimum(w.end, w.start + size) if size > 0 else w.end
-        hashed[k] = (stretch_hash(sums, start, end) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
-    return Chain(w, hashed)
+        h = stretch_hash(sums, start, end)
+        h += np.uint64(k)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - BITS)
+        hashed[k] = h
+    return hashed
 
 
 def codes(chain: Chain, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,9 +263,8 @@ def word_counts(known: DataFrame) -> DataFrame:
             docs += np.bincount(cell, minlength=4)
             for p in parts(batch.column(2)):
                 chain = read(p.data, p.offsets)
-                keys = (chain.words.doc << BITS)[None, :] | chain.hashed
-                keys = np.unique(keys)
-                np.add.at(counts, (keys & ((1 << BITS) - 1), cell[p.first : p.last][keys >> BITS]), 1)
+                doc, feature = distinct_pairs(chain.words.doc, chain.hashed, BITS)
+                np.add.at(counts.reshape(-1), 4 * feature + cell[p.first : p.last][doc], 1)
         used = np.flatnonzero(counts.any(axis=1))
         flat = np.concatenate([docs, counts[used].ravel()])
         lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), 4).cast(pa.list_(pa.int64()))

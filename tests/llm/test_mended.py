@@ -6,10 +6,12 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nestplane.llm import decontam, html, joins, langid, packing, quality, simhash, urls
+from nestplane.llm import decontam, html, joins, langid, packing, quality, simhash, text, toxicity, urls
 from nestplane.llm.components import components
 from nestplane.sources.shared import Workspace
 
@@ -62,6 +64,40 @@ def test_open_quotes_and_ends():
     assert html.main_text("a < b and <3 and c > d") == "a < b and <3 and c > d"
 
 
+# --- quality ------------------------------------------------------------------------------------
+
+
+def test_a_text_is_hashed_once_for_its_votes_and_score(monkeypatch):
+    """Votes, learned words and hashed features share one set of prefix sums and one hash of each word."""
+    sizes = []
+    for module in (quality, toxicity):
+        monkeypatch.setattr(module, "prefix_sums", lambda values: (sizes.append(len(values)), text.prefix_sums(values))[1])
+    (part,) = text.parts(pa.array(["You IDIOT, you fool!! STOP! 12 # ...", None, "plain words of a text, of a text " * 40]))
+    seen = quality.look(part.data, part.offsets, quality.INSULTS, np.ones(1 << toxicity.BITS, dtype=bool))
+    doc, feature = quality.features(seen)
+    assert sizes.count(len(part.data)) == 1
+    assert np.array_equal(quality.distinct_hashes(seen.hashed, seen.words), [7, 0, 6])
+    assert len(set(zip(doc, feature, strict=True))) == len(doc) and set(doc) == {0, 2}
+    assert [seen.style[k][0] for k in ("lone_marks", "shouts", "insults")] == [3 / 8, 1 / 8, 2 / 5]
+
+
+@pytest.mark.parametrize("shift", [0, 5000])  # keys of 32 and of 64 bits
+def test_distinct_pairs_beside_sets(shift):
+    rng = np.random.default_rng(5)
+    doc, feature = np.sort(rng.integers(0, 40, 900)) + shift, rng.integers(0, 1 << 20, (3, 900)) % 50 * 20_000
+    got = text.distinct_pairs(doc, feature, 20)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == sorted({(int(d), int(f)) for row in feature for d, f in zip(doc, row, strict=True)})
+    assert [len(x) for x in text.distinct_pairs(doc[:0], feature[:, :0], 20)] == [0, 0]
+
+
+def test_word_counts_by_half_and_class(spark):
+    rows = [(0, 0, "One two, one TWO"), (0, 1, "two"), (1, 1, "two two three"), (1, 1, None), (1, 0, "")]
+    found = {r.feature: r.c for r in toxicity.word_counts(spark.createDataFrame(rows, "half int, toxic int, text string")).collect()}
+    (part,) = text.parts(pa.array(["one two three"]))
+    one, two, three = toxicity.read(part.data, part.offsets).hashed[0].tolist()
+    assert (found[-1], found[one], found[two], found[three]) == ([1, 1, 1, 2], [1, 0, 0, 0], [1, 1, 0, 1], [0, 0, 0, 1])
+
+
 # --- column names -------------------------------------------------------------------------------
 
 
