@@ -261,3 +261,39 @@ def test_url_facts_beyond_a_broadcast(spark, monkeypatch):
     want = key(urls.judge(pages, rules))
     monkeypatch.setattr(urls, "BROADCAST_PATHS", 0)
     assert key(urls.judge(pages, rules)) == want and sum(want.values()) == len(rows)
+
+
+def test_copies_of_facts_are_never_broadcast(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 7).alias("k"), "id")
+    facts = spark.createDataFrame([(k, f"fact {k}", 60) for k in range(5)], "k bigint, fact string, size bigint")
+    want = Counter((k % 7, k, f"fact {k % 7}" if k % 7 < 5 else None) for k in range(400))
+    monkeypatch.setattr(joins, "CROWD", 9)
+    for more in ({"most": 0}, {"most": 0, "sizes": "size"}, {"most_bytes": 20, "sizes": "size"}, {"most_bytes": 200, "sizes": "size"}):
+        got = joins.beside(rows, facts if "sizes" in more else facts.drop("size"), ["k"], ["id"], "left", **more)
+        assert got.columns == ["k", "id", "fact"] and Counter(tuple(r) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (more.get("most_bytes") != 200)
+
+
+def test_url_tables_are_never_broadcast_for_their_files(spark, monkeypatch):
+    """What is small as a compressed file need not be in the driver's memory; long paths are not broadcast however few."""
+    rules = [("block", "s.net/a/1"), ("allow", "t.net/")]
+    rows = [(f"http://s.net/a/{k}", 1) for k in range(10, 24)] + [("http://s.net/a/9", k) for k in range(20)] + [(f"http://s.net/{'x' * 999}", 1), (None, 1), (None, 2), ("http://t.net/x", 1)]
+    pages = spark.createDataFrame(rows, "url string, page_id bigint")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: Counter(tuple(r) for r in df.collect())
+    want = key(urls.judge(pages, rules))
+    plans, write = {}, Workspace.write
+
+    def kept(self, df, name, by=None):
+        plans[name] = plan(df)
+        return write(self, df, name, by)
+
+    monkeypatch.setattr(Workspace, "write", kept)
+    monkeypatch.setattr(joins, "CROWD", 4)
+    for name, least, most in (("BROADCAST_BYTES", 900, 10**6), ("BROADCAST_PATHS", 0, 5000)):
+        monkeypatch.setattr(urls, name, least)
+        found = urls.judge(pages, rules)
+        assert "SortMergeJoin" in plan(found) and key(found) == want and sum(want.values()) == len(rows)
+        monkeypatch.setattr(urls, name, most)
+    assert all("SortMergeJoin" in plans[k] for k in ("named1", "grown1", "decided"))  # of no facts an empty table is broadcast
